@@ -135,6 +135,11 @@ _RENDERED = (
 )
 _EVENT_SCORES = "SELECT event_id AS seq, user_id, event_type, value FROM events"
 
+_MINMAX = ", ".join(
+    f"round(2.0 * ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) - 1, 6) AS {c}_scaled"
+    for c in ("present_evidence_count", "absent_evidence_count")
+)
+
 SQL = {
     "age_in_months": f"WITH {CASES} SELECT case_id, age_in_months FROM aged",
     "case_features": f"""WITH {CASES}
@@ -244,4 +249,55 @@ WHERE r = 1""",
 SELECT a.model_str, a.seq, coalesce(b.value, a.value) AS value, b.props
 FROM (SELECT * FROM ranked WHERE r = 1 AND event_type = 'view') a
 LEFT JOIN (SELECT * FROM ranked WHERE r = 1 AND event_type = 'purchase') b USING (model_str)""",
+    "sex_ordinal": f"WITH {CASES} SELECT case_id, CASE sex WHEN 'female' THEN 0 ELSE 1 END AS sex_code FROM people",
+    "age_standardized": f"""WITH {CASES}
+SELECT case_id, round((age_in_months - avg(age_in_months) OVER ()) / stddev_pop(age_in_months) OVER (), 6) AS age_scaled
+FROM aged""",
+    "evidence_count_minmax": f"""WITH {CASES}
+SELECT case_id, {_MINMAX} FROM case_counts""",
+    "assembled_features": f"""WITH {CASES},
+known AS (
+  SELECT evidence_id, row_number() OVER (ORDER BY evidence_id) + 3 AS place
+  FROM (SELECT DISTINCT evidence_id FROM lines WHERE state <> 'unknown')),
+scaled AS (SELECT case_id, {_MINMAX} FROM case_counts)
+SELECT case_id, CAST(place AS INTEGER) AS place, CAST(value AS DOUBLE) AS value FROM (
+  SELECT case_id, 0 AS place, CASE sex WHEN 'female' THEN 0.0 ELSE 1.0 END AS value FROM people
+  UNION ALL
+  SELECT case_id, 1, round((age_in_months - avg(age_in_months) OVER ()) / stddev_pop(age_in_months) OVER (), 6) FROM aged
+  UNION ALL SELECT case_id, 2, present_evidence_count_scaled FROM scaled
+  UNION ALL SELECT case_id, 3, absent_evidence_count_scaled FROM scaled
+  UNION ALL SELECT case_id, place, value FROM ternary JOIN known USING (evidence_id))
+WHERE value <> 0""",
+    "assembled_features_present_only": f"""WITH {CASES},
+known AS (
+  SELECT evidence_id, row_number() OVER (ORDER BY evidence_id) + 1 AS place
+  FROM (SELECT DISTINCT evidence_id FROM lines WHERE state = 'present'))
+SELECT case_id, CAST(place AS INTEGER) AS place, CAST(value AS DOUBLE) AS value FROM (
+  SELECT case_id, 0 AS place, CASE sex WHEN 'female' THEN 0.0 ELSE 1.0 END AS value FROM people
+  UNION ALL
+  SELECT case_id, 1, round((age_in_months - avg(age_in_months) OVER ()) / stddev_pop(age_in_months) OVER (), 6) FROM aged
+  UNION ALL
+  SELECT DISTINCT case_id, place, 1 FROM lines JOIN known USING (evidence_id) WHERE state = 'present')
+WHERE value <> 0""",
+    "pca_row_norms": """WITH cells AS (
+  SELECT vec_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+centred AS (SELECT vec_id, x - avg(x) OVER (PARTITION BY i) AS x FROM cells)
+SELECT vec_id, round(sum(x * x), 6) AS norm2 FROM centred GROUP BY vec_id""",
+    "svd_row_norms": """SELECT vec_id, round(sum(x * x), 6) AS norm2 FROM (
+  SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY vec_id""",
+    "majority_predict": f"""WITH {VECTOR_FOLDS}
+SELECT case_id AS vec_id, label, (
+  SELECT label FROM folded WHERE fold <> 0 GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) AS prediction
+FROM folded WHERE fold = 0""",
+    "knn_predict": f"""WITH {VECTOR_FOLDS},
+pairs AS (
+  SELECT q.case_id AS vec_id, q.label AS own, t.label AS label,
+         row_number() OVER (PARTITION BY q.case_id ORDER BY
+           list_distance(CAST(qe.embedding AS DOUBLE[]), CAST(te.embedding AS DOUBLE[])), t.case_id) AS r
+  FROM folded q JOIN embeddings qe ON q.case_id = qe.vec_id,
+       folded t JOIN embeddings te ON t.case_id = te.vec_id
+  WHERE q.fold = 0 AND t.fold <> 0),
+votes AS (SELECT vec_id, own, label, count(*) AS n FROM pairs WHERE r <= 5 GROUP BY vec_id, own, label)
+SELECT vec_id, own AS label, label AS prediction FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS r FROM votes) WHERE r = 1""",
 }
