@@ -154,7 +154,7 @@ class FourierFeatures(StatefulModel, HasInputCol, HasOutputCol):
             phases = random.uniform(0, 2 * np.pi, size)
             return np.sqrt(2.0 / size) * np.cos(block @ directions + phases)
 
-        return df.withColumn(self.getOutputCol(), block_map(F.col(self.getInputCol()), expand))
+        return df.select("*", block_map(F.col(self.getInputCol()), expand, self.getOutputCol(), size))
 
 
 class _Descent:

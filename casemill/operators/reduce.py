@@ -106,4 +106,5 @@ class ProjectionModel(StatefulModel, _ReducerParams):
             components, offset = shared.value
             return block @ components + offset
 
-        return df.withColumn(self.getOutputCol(), block_map(F.col(self.getInputCol()), project))
+        out = self.getOutputCol()
+        return df.select("*", block_map(F.col(self.getInputCol()), project, out, len(self.offset)))

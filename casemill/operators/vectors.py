@@ -24,15 +24,19 @@ def as_lists(block: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(starts, pa.array(np.ascontiguousarray(block).ravel()))
 
 
-def block_map(features: Column, f: Callable[[np.ndarray], np.ndarray]) -> Column:
-    """Apply ``f: (rows, d) -> (rows, k)`` to a vector column, batch by batch."""
+def block_map(features: Column, f: Callable[[np.ndarray], np.ndarray], name: str, width: int) -> Column:
+    """Apply ``f: (rows, d) -> (rows, width)`` to a vector column, batch by batch.
+
+    The result is called ``name`` and carries its width, so that later stages need no job for it.
+    """
 
     def run(lists: pa.Array) -> pa.Array:
         if len(lists) == 0:
             return pa.array([], pa.list_(pa.float64()))
         return as_lists(f(as_block(lists)))
 
-    return array_to_vector(arrow_udf(run, "array<double>")(vector_to_array(features)))
+    mapped = array_to_vector(arrow_udf(run, "array<double>")(vector_to_array(features)))
+    return mapped.alias(name, metadata={"ml_attr": {"num_attrs": width}})
 
 
 def block_score(features: Column, f: Callable[[np.ndarray], np.ndarray]) -> Column:

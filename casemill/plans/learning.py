@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casemill.operators import features as ft
 from casemill.operators.evidence import ABSENT_COUNT, PRESENT_COUNT
+from casemill.operators.isomap import Isomap
 from casemill.operators.reduce import CenteredPCA, TruncatedSVD
 from casemill.operators.registry import NamedClassifier
 from casemill.operators.splits import FOLD, stratified_folds
@@ -101,6 +102,11 @@ def svd_embedding(spark, sf):
     return _reduced(TruncatedSVD(k=10).fit(rows).transform(rows))
 
 
+def isomap_embedding(spark, sf):
+    rows = vectors(spark, sf)
+    return _reduced(Isomap(k=10, landmarks=64).fit(rows).transform(rows))
+
+
 def folded_vectors(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark, sf)
     folds = stratified_folds(rows.select(KEY, "label"), KEY, "label")
@@ -152,5 +158,6 @@ QUERIES = {
         svd_row_norms,
         pca_embedding,
         svd_embedding,
+        isomap_embedding,
     )
 } | {query: _classifier(*model) for query, model in CLASSIFIER_QUERIES.items()}

@@ -300,4 +300,14 @@ pairs AS (
 votes AS (SELECT vec_id, own, label, count(*) AS n FROM pairs WHERE r <= 5 GROUP BY vec_id, own, label)
 SELECT vec_id, own AS label, label AS prediction FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS r FROM votes) WHERE r = 1""",
+    "majority_sweep": f"""WITH {CASES},
+src AS (SELECT case_id, coalesce(min(block), 'None') AS label FROM case_block GROUP BY case_id),{_FOLDS},
+per_label AS (
+  SELECT i AS fold, label, count(*) FILTER (WHERE fold <> i) AS train, count(*) FILTER (WHERE fold = i) AS test
+  FROM folded, (VALUES (0), (1), (2), (3), (4)) k(i) GROUP BY i, label),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY fold ORDER BY train DESC, label) AS r,
+         sum(train) OVER (PARTITION BY fold) AS all_train, sum(test) OVER (PARTITION BY fold) AS all_test
+  FROM per_label)
+SELECT fold, round(train / all_train, 6) AS train_score, round(test / all_test, 6) AS test_score FROM best WHERE r = 1""",
 }

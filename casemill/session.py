@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "casemill") -> SparkSession:
@@ -47,3 +48,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that a lost executor costs a re-read only."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_through(df: DataFrame, *measures: Column):
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Like a checkpoint, but in one job and with sizes known to the optimizer: for loops. With
+    ``measures`` (aggregates with an alias) their values are taken while writing, and the
+    result is ``(table, {alias: value})``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/casemill-{uuid.uuid4().hex}"
+    if not measures:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, *measures).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
