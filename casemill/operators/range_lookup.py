@@ -124,14 +124,14 @@ def blocks_of_codes_joined(
         range_lookup(single, "_code", ranges, out="_block")
         .groupBy(key)
         .agg(
-            F.collect_set("_block").alias("_blocks"),
+            F.collect_set("_block").alias("_set"),
             F.max(F.col("_block").isNull()).alias("_unmatched"),
         )
     )
     return (
         df.join(found, key, "left")
-        .withColumn(out, sorted_blocks(F.col("_blocks"), F.col("_unmatched")))
-        .drop("_blocks", "_unmatched")
+        .withColumn(out, sorted_blocks(F.col("_set"), F.col("_unmatched")))
+        .drop("_set", "_unmatched")
     )
 
 
