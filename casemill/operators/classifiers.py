@@ -160,7 +160,7 @@ class FourierFeatures(StatefulModel, HasInputCol, HasOutputCol):
 class _Descent:
     """Limited-memory quasi-Newton steps of one class, fed with one evaluation at a time."""
 
-    def __init__(self, point: np.ndarray, memory: int = 10, tolerance: float = 1e-3):
+    def __init__(self, point: np.ndarray, memory: int = 10, tolerance: float = 1e-4):
         self.point, self.memory, self.tolerance = point, memory, tolerance
         self.value, self.gradient, self.pairs = None, None, []
         self.direction, self.step, self.done = None, 1.0, False
@@ -216,9 +216,9 @@ class LinearMargin(Estimator, ClassifierParams, DefaultParamsReadable, DefaultPa
     passes = param("passes", "largest number of passes over the data", "int")
 
     @keyword_only
-    def __init__(self, C=1.0, passes=100, featuresCol="features", labelCol="label", predictionCol="prediction"):
+    def __init__(self, C=1.0, passes=200, featuresCol="features", labelCol="label", predictionCol="prediction"):
         super().__init__()
-        self._setDefault(C=1.0, passes=100)
+        self._setDefault(C=1.0, passes=200)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> LinearScoreModel:
