@@ -73,18 +73,17 @@ def profile(df: DataFrame, minimal: bool = False) -> DataFrame:
     """
     counted = frequencies(df)
     rows = F.sum("n")
+    shown = F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("less"), "value"))
     base = counted.groupBy("column").agg(
         rows.alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
         F.count("value").alias("n_distinct"),
         (F.count("value") / rows).alias("distinct_share"),
-        F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("top_n"),
+        # Of equally frequent values the smallest is shown.
+        F.min(shown).alias("_top"),
     )
-    tops = counted.filter("value is not null").join(
-        base.select("column", "top_n"), "column"
-    ).filter("n = top_n").groupBy("column").agg(F.min("value").alias("top_value"))
-    # Of equally frequent values the smallest is shown.
-    base = base.join(tops, "column", "left")
+    top_n = F.when(F.col("_top").isNotNull(), -F.col("_top.less")).alias("top_n")
+    base = base.select("column", "n_rows", "n_missing", "n_distinct", "distinct_share", top_n, F.col("_top.value").alias("top_value"))
 
     numbers = [f for f in df.schema.fields if _is_number(f)]
     if not numbers:

@@ -11,6 +11,7 @@ from casemill.functions.scalar import category_of, in_closed_range
 from casemill.schema import ICD10_BLOCKS
 
 INLINE_LIMIT = 64
+MASK_LIMIT = 62
 
 
 class Range(NamedTuple):
@@ -45,6 +46,35 @@ def first_range(key: Column, ranges: Sequence[Range]) -> Column:
     return F.coalesce(*hits) if hits else F.lit(None).cast("string")
 
 
+def block_mask(key: Column, ranges: Sequence[Range] = ICD10_RANGES) -> Column:
+    """The block of a key as one bit of a long, for aggregation with ``bit_or``.
+
+    Bits follow the sorted values; the bit after the last marks a key without a block. A long
+    is combined in place by hash aggregation, where a set of strings is an object that makes
+    Spark sort.
+    """
+    values = _sorted_values(ranges)
+    bits = [Range(r.lo, r.hi, 1 << values.index(r.value)) for r in ranges]
+    return F.coalesce(first_range(key, bits), F.lit(1 << len(values)).cast("long"))
+
+
+def blocks_of_mask(mask: Column, ranges: Sequence[Range] = ICD10_RANGES) -> Column:
+    """Sorted blocks of an aggregated mask, a last null for unmatched keys; no mask gives []."""
+    values = _sorted_values(ranges)
+    numbered = F.array(
+        *[F.struct(F.lit(i).alias("bit"), F.lit(v).alias("value")) for i, v in enumerate([*values, None])]
+    )
+    has = F.coalesce(mask, F.lit(0).cast("long"))
+    return F.filter(numbered, lambda x: F.bit_get(has, x["bit"]) == 1)["value"]
+
+
+def _sorted_values(ranges: Sequence[Range]) -> list[str]:
+    values = sorted({r.value for r in ranges})
+    if len(values) > MASK_LIMIT:
+        raise ValueError(f"a mask holds at most {MASK_LIMIT} blocks; explode and use range_lookup")
+    return values
+
+
 def blocks_of_codes(
     codes: Column,
     ranges: Sequence[Range] = ICD10_RANGES,

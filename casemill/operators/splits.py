@@ -39,15 +39,14 @@ def stratified_folds(
     key: str,
     label: str,
     folds: int = 5,
-    key_source: DataFrame | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
     """Add ``fold``: stratified by ``label``, unshuffled, rows taken in ``key`` order.
 
-    ``key_source`` may name a cheaper table with the same key column, read to find the slice
-    bounds. The result should be written or persisted once and shared by all fits.
+    ``df`` is read three times (slice bounds, counts, rows), so it should be a stored or
+    persisted table, and so should the result, which all fits share.
     """
-    bounds = order_bounds(df if key_source is None else key_source, key, buckets or default_buckets(df))
+    bounds = order_bounds(df, key, buckets or default_buckets(df))
     ranked = rank_within(df, key, label, bounds, out="_rank")
     fold = fold_of_rank(F.col("_rank"), F.col("group_rows"), F.col("group_before"), folds)
     return ranked.withColumn(FOLD, fold).drop("_rank", "group_rows", "group_first", "group_before")

@@ -113,8 +113,8 @@ def index_labels(cases: DataFrame, target: str = TARGET) -> tuple[DataFrame, lis
     return model.transform(cases), list(model.labels)
 
 
-def with_folds(cases: DataFrame, folds: int = 5, key_source: DataFrame | None = None) -> DataFrame:
-    assigned = stratified_folds(cases.select(KEY, "label"), KEY, "label", folds, key_source)
+def with_folds(cases: DataFrame, folds: int = 5) -> DataFrame:
+    assigned = stratified_folds(cases.select(KEY, "label"), KEY, "label", folds)
     return cases.join(assigned.select(KEY, FOLD), KEY)
 
 

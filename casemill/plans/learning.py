@@ -14,6 +14,7 @@ from casemill.operators.registry import NamedClassifier
 from casemill.operators.splits import FOLD, stratified_folds
 from casemill.plans import table_cases as tc
 from casemill.schema import KEY
+from casemill.session import write_through
 
 ROUND = 6
 
@@ -32,7 +33,7 @@ def age_standardized(spark, sf):
 
 
 def _assembled(spark, sf, count: bool, absent: bool) -> DataFrame:
-    nested = tc.nested_cases(spark, sf)
+    nested = write_through(tc.nested_cases(spark, sf))
     stages = ft.feature_stages(count, absent, [PRESENT_COUNT, ABSENT_COUNT])
     return Pipeline(stages=stages).fit(nested).transform(nested)
 
@@ -47,7 +48,7 @@ def _entries(df: DataFrame) -> DataFrame:
 
 
 def evidence_count_minmax(spark, sf):
-    nested = tc.nested_cases(spark, sf)
+    nested = write_through(tc.nested_cases(spark, sf))
     scaler = ft.CaseScaler(countCols=[PRESENT_COUNT, ABSENT_COUNT])
     return scaler.fit(nested).transform(nested).select(
         KEY,
@@ -115,7 +116,7 @@ def folded_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def predictions(spark, sf, name: str, params: dict | None = None) -> DataFrame:
     """Predictions for fold 0 of a model fitted on the other folds."""
-    folded = folded_vectors(spark, sf).persist()
+    folded = write_through(folded_vectors(spark, sf))
     stage = NamedClassifier(name=name, params_=params or {}, seed=31415)
     model = stage.fit(folded.filter(f"{FOLD} <> 0"))
     return model.transform(folded.filter(f"{FOLD} = 0")).select(

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casemill.functions.scalar import list_label, to_number
 from casemill.operators import evidence as ev, profile as pr, ranking as rk, splits as sp
-from casemill.operators.range_lookup import range_lookup
+from casemill.operators.range_lookup import blocks_of_mask, range_lookup
 from casemill.plans import table_cases as tc
 from casemill.plans.load import case_table
 from casemill.schema import CASE_SCHEMA, KEY, TARGET
+from casemill.session import write_through
 from casemill.sources.cases import builtin_chapters
 
 ROUND = 6
@@ -97,8 +98,12 @@ def case_target_label(spark, sf):
 
 
 def target_counts(spark, sf):
-    counts = pr.value_counts(tc.targets(spark, sf), TARGET)
-    return counts.orderBy(F.col("n").desc(), TARGET)
+    """Cases per target: counted by mask, so that only the counts are rendered as labels."""
+    keys = tc.people(spark, sf).select(KEY)
+    masks = keys.join(tc.code_masks(tc.codes(spark, sf)), KEY, "left")
+    counts = masks.groupBy("mask").agg(F.count("*").alias("n"))
+    label = list_label(blocks_of_mask(F.col("mask"))).alias(TARGET)
+    return counts.select(label, "n").orderBy(F.col("n").desc(), TARGET)
 
 
 def rare_targets(spark, sf):
@@ -141,7 +146,7 @@ def evidence_ternary_fitted(spark, sf):
 
 def evidence_ternary_lists(spark, sf):
     """The fitted encoder on nested list columns."""
-    nested = tc.nested_cases(spark, sf)
+    nested = write_through(tc.nested_cases(spark, sf))
     return ev.EvidenceEncoder().fit(nested).transform_long(nested)
 
 
@@ -197,7 +202,7 @@ def profile_columns(spark, sf):
 
 def profile_full(spark, sf):
     """Profile with quartile sketches of the feature table."""
-    return pr.profile(tc.nested_cases(spark, sf).join(tc.targets(spark, sf), KEY))
+    return pr.profile(write_through(tc.nested_cases(spark, sf).join(tc.targets(spark, sf), KEY)))
 
 
 def profile_encoded(spark, sf):
@@ -228,8 +233,8 @@ def histogram(spark, sf):
 
 
 def folded_cases(spark, sf):
-    keys = tc.read_table(spark, sf, "orders").select(F.col("o_orderkey").alias(KEY))
-    return sp.stratified_folds(tc.labelled(spark, sf), KEY, TARGET, key_source=keys)
+    """The labels are written first: ranks need them several times, the lines only once."""
+    return sp.stratified_folds(write_through(tc.labelled(spark, sf)), KEY, TARGET)
 
 
 def stratified_folds(spark, sf):
@@ -245,7 +250,8 @@ def holdout_split_sizes(spark, sf):
 
 
 def learning_curve_prefixes(spark, sf):
-    return sp.prefix_cutoffs(folded_cases(spark, sf).select(KEY, sp.FOLD), KEY, [0.85, 0.9, 0.95, 1.0])
+    folded = write_through(folded_cases(spark, sf).select(KEY, sp.FOLD))
+    return sp.prefix_cutoffs(folded, KEY, [0.85, 0.9, 0.95, 1.0])
 
 
 def majority_baseline_cv(spark, sf):

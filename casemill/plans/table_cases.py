@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casemill.functions.scalar import age_in_months, list_label
 from casemill.operators.evidence import ABSENT_COUNT, PRESENT_COUNT
-from casemill.operators.range_lookup import ICD10_RANGES, first_range, sorted_blocks
+from casemill.operators.range_lookup import block_mask, blocks_of_mask
 from casemill.schema import KEY, TARGET
 
 
@@ -65,15 +65,14 @@ def codes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def code_masks(coded: DataFrame) -> DataFrame:
+    """The blocks of each case as one long."""
+    return coded.groupBy(KEY).agg(F.bit_or(block_mask(F.col("code"))).alias("mask"))
+
+
 def code_blocks(coded: DataFrame) -> DataFrame:
-    """Sorted blocks per case. A set of blocks is at most as large as the range table."""
-    block = first_range(F.col("code"), ICD10_RANGES)
-    return (
-        coded.select(KEY, block.alias("block"))
-        .groupBy(KEY)
-        .agg(F.collect_set("block").alias("_set"), F.max(F.col("block").isNull()).alias("_none"))
-        .select(KEY, sorted_blocks(F.col("_set"), F.col("_none")).alias("blocks"))
-    )
+    """Sorted blocks per case."""
+    return code_masks(coded).select(KEY, blocks_of_mask(F.col("mask")).alias("blocks"))
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,8 +83,8 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
 def targets(spark: SparkSession, folder: str) -> DataFrame:
     """The target of every case; a case without codes has the label ``[]``."""
     keys = people(spark, folder).select(KEY)
-    found = labelled(spark, folder)
-    return keys.join(found, KEY, "left").select(KEY, F.coalesce(TARGET, F.lit("[]")).alias(TARGET))
+    masks = keys.join(code_masks(codes(spark, folder)), KEY, "left")
+    return masks.select(KEY, list_label(blocks_of_mask(F.col("mask"))).alias(TARGET))
 
 
 def nested_cases(spark: SparkSession, folder: str) -> DataFrame:
