@@ -24,7 +24,7 @@ from casemill.operators.stages import (
     param,
 )
 from casemill.operators.vectors import as_block, as_lists, block_map, width_of
-from casemill.session import write_through
+from casemill.session import discard, write_through
 
 # Landmarks handled side by side as columns of one row.
 LANES = 32
@@ -68,7 +68,9 @@ def shortest_paths(edges: DataFrame, start: DataFrame, lanes: list[str], rounds:
             "band", F.col("dst").alias("key"), *[(F.col(c) + F.col("w")).alias(c) for c in lanes]
         )
         nearer = state.unionByName(moved).groupBy("band", "key").agg(*[F.min(c).alias(c) for c in lanes])
+        last = state
         state, after = write_through(nearer, total, reached)
+        discard(last)
         settled = abs(after["total"] - before["total"]) <= 1e-12 * max(1.0, before["total"])
         if after["reached"] == before["reached"] and settled:
             return state
@@ -117,6 +119,8 @@ class Isomap(Estimator, _IsomapParams, DefaultParamsReadable, DefaultParamsWrita
         )
         away = F.slice(F.flatten(F.transform("b", lambda x: x["d"])), 1, len(ids))
         table = write_through(points.join(bands.select("key", away.alias("away")), "key"))
+        for used in (points, edges, state):
+            discard(used)
 
         # Landmarks x landmarks distances: bounded by the landmarks parameter.
         own = table.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "key long")), "key")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -55,32 +56,34 @@ def stratified_folds(
 def holdout_split(df: DataFrame, key: str, test_size: float, seed: int = 0) -> DataFrame:
     """Add ``split``; exactly ``ceil(rows * test_size)`` pseudo-random rows are ``test``.
 
-    Rows are ordered by a digest of seed and key. Only counts per digest prefix are ranked
-    globally; the rows of the one prefix that holds the cut are the only ones sorted.
+    Rows are ordered by a digest of seed and key. Counts per digest prefix (at most 16**4 rows)
+    show which prefix holds the cut, and only the rows of that one are sorted; the result
+    itself compares each row with the cut, so it adds no shuffle to ``df``.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    marked = df.withColumn("_digest", digest).withColumn("_prefix", F.substring("_digest", 1, 4))
-    # At most 16**4 prefixes: a bounded table.
-    counts = marked.groupBy("_prefix").agg(F.count("*").alias("_n"))
-    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    cuts = counts.select(
-        "_prefix",
-        F.coalesce(
-            F.sum("_n").over(W.orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
-        F.col("_n").alias("_in_prefix"),
-        F.ceil(F.sum("_n").over(whole) * F.lit(float(test_size))).alias("_wanted"),
-    )
-    joined = marked.join(F.broadcast(cuts), "_prefix")
-    cut_here = (F.col("_before") < F.col("_wanted")) & (
-        F.col("_before") + F.col("_in_prefix") > F.col("_wanted")
-    )
-    settled = joined.filter(~cut_here).withColumn("_take", F.col("_before") < F.col("_wanted"))
-    place = F.row_number().over(W.partitionBy("_prefix").orderBy("_digest", key))
-    open_rows = joined.filter(cut_here).withColumn("_take", F.col("_before") + place <= F.col("_wanted"))
-    return settled.unionByName(open_rows).select(
-        *df.columns, F.when(F.col("_take"), "test").otherwise("train").alias("split")
-    )
+    prefix = F.substring(digest, 1, 4)
+    counts = {r["p"]: r["n"] for r in df.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
+    wanted, before, cut = math.ceil(sum(counts.values()) * test_size), 0, None
+    for p in sorted(counts):
+        if before + counts[p] >= wanted:
+            cut = p
+            break
+        before += counts[p]
+    if cut is None or wanted == before:
+        in_test = F.lit(False) if cut is None else prefix < cut
+    else:
+        place = F.struct(digest.alias("digest"), F.col(key).alias("key"))
+        last = (
+            df.filter(prefix == cut)
+            .select(place.alias("place"))
+            .orderBy("place")
+            .limit(wanted - before)
+            .agg(F.max("place").alias("place"))
+            .first()["place"]
+        )
+        end = F.lit(last["digest"])
+        in_test = (digest < end) | ((digest == end) & (F.col(key) <= F.lit(last["key"])))
+    return df.withColumn("split", F.when(in_test, "test").otherwise("train"))
 
 
 def prefix_cutoffs(

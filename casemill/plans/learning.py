@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casemill.operators import features as ft
 from casemill.operators.evidence import ABSENT_COUNT, PRESENT_COUNT
-from casemill.operators.isomap import Isomap
+from casemill.operators.isomap import Isomap, graph_of
 from casemill.operators.reduce import CenteredPCA, TruncatedSVD
 from casemill.operators.registry import NamedClassifier
 from casemill.operators.splits import FOLD, stratified_folds
@@ -103,6 +103,12 @@ def svd_embedding(spark, sf):
     return _reduced(TruncatedSVD(k=10).fit(rows).transform(rows))
 
 
+def neighbor_graph(spark, sf):
+    """The symmetric neighbour graph that Isomap walks on."""
+    points = vectors(spark, sf).select(F.col(KEY).alias("key"), vector_to_array("features").alias("vector"))
+    return graph_of(points, 5).select("src", "dst", F.round("w", ROUND).alias("w"))
+
+
 def isomap_embedding(spark, sf):
     rows = vectors(spark, sf)
     return _reduced(Isomap(k=10, landmarks=64).fit(rows).transform(rows))
@@ -159,6 +165,7 @@ QUERIES = {
         svd_row_norms,
         pca_embedding,
         svd_embedding,
+        neighbor_graph,
         isomap_embedding,
     )
 } | {query: _classifier(*model) for query, model in CLASSIFIER_QUERIES.items()}

@@ -310,4 +310,11 @@ best AS (
          sum(train) OVER (PARTITION BY fold) AS all_train, sum(test) OVER (PARTITION BY fold) AS all_test
   FROM per_label)
 SELECT fold, round(train / all_train, 6) AS train_score, round(test / all_test, 6) AS test_score FROM best WHERE r = 1""",
+    "neighbor_graph": """WITH pairs AS (
+  SELECT a.vec_id AS src, b.vec_id AS dst,
+         list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS w
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w, dst) AS r FROM pairs) WHERE r <= 5)
+SELECT src, dst, round(min(w), 6) AS w FROM (
+  SELECT src, dst, w FROM near UNION ALL SELECT dst, src, w FROM near) GROUP BY src, dst""",
 }

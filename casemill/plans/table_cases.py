@@ -38,12 +38,19 @@ def _lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """``case_id, evidence_id, state``, one row per line."""
+    """``case_id, evidence_id, state``, one row per line that is present or absent.
+
+    No operator uses unknown evidence, so the flag is filtered in the scan.
+    """
     flag = F.col("l_returnflag")
-    return _lines(spark, folder, "l_returnflag").select(
-        F.col("l_orderkey").alias(KEY),
-        F.concat(F.lit("s_"), F.col("p_size").cast("string")).alias("evidence_id"),
-        F.when(flag == "R", "present").when(flag == "A", "absent").otherwise("unknown").alias("state"),
+    return (
+        _lines(spark, folder, "l_returnflag")
+        .filter(flag.isin("R", "A"))
+        .select(
+            F.col("l_orderkey").alias(KEY),
+            F.concat(F.lit("s_"), F.col("p_size").cast("string")).alias("evidence_id"),
+            F.when(flag == "R", "present").otherwise("absent").alias("state"),
+        )
     )
 
 
@@ -93,7 +100,7 @@ def nested_cases(spark: SparkSession, folder: str) -> DataFrame:
     The lists hold distinct ids, so a list is at most as long as the vocabulary however many
     lines one case has; the raw lengths are kept as counts.
     """
-    per_id = evidence(spark, folder).filter("state <> 'unknown'").groupBy(KEY, "evidence_id").agg(
+    per_id = evidence(spark, folder).groupBy(KEY, "evidence_id").agg(
         F.count(F.when(F.col("state") == "present", 1)).alias("_present"),
         F.count(F.when(F.col("state") == "absent", 1)).alias("_absent"),
     )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -39,6 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="casemill-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured
@@ -59,9 +63,21 @@ def write_through(df: DataFrame, *measures: Column):
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/casemill-{uuid.uuid4().hex}"
-    if not measures:
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
     seen = Observation()
-    df.observe(seen, *measures).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get
+    (df.observe(seen, *measures) if measures else df).write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[id(table)] = (weakref.ref(table), path)
+    return (table, seen.get) if measures else table
+
+
+_written: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``write_through`` that nothing reads any more; other tables are kept."""
+    reference, path = _written.pop(id(table), (None, None))
+    if path is None or reference() is not table:
+        return
+    jvm = table.sparkSession._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
