@@ -22,10 +22,10 @@ def list_length(items: Column) -> Column:
 
 def list_label(items: Column) -> Column:
     """Render a list of strings as one label, for example ``['A00-B99', 'N00-N99']``."""
-    quoted = F.transform(
-        items, lambda x: F.coalesce(F.concat(F.lit("'"), x, F.lit("'")), F.lit("None"))
-    )
-    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+    none = "\x00"
+    quoted = F.concat(F.lit("'"), F.array_join(items, "', '", none), F.lit("'"))
+    body = F.when(F.size(items) == 0, F.lit("")).otherwise(F.replace(quoted, F.lit(f"'{none}'"), F.lit("None")))
+    return F.concat(F.lit("["), body, F.lit("]"))
 
 
 def block_start(block: Column) -> Column:

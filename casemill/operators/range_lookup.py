@@ -17,7 +17,7 @@ MASK_LIMIT = 62
 class Range(NamedTuple):
     lo: str
     hi: str
-    value: str
+    value: str | int
 
 
 def ranges_of_blocks(blocks: Sequence[str]) -> list[Range]:
@@ -39,11 +39,29 @@ def small_ranges(ranges: DataFrame, lo="lo", hi="hi", value="block", order="pos"
 def first_range(key: Column, ranges: Sequence[Range]) -> Column:
     """Value of the first range holding ``key``, null if none does.
 
-    The ranges become constants of the expression, so the lookup is a projection: it needs
-    no join and no shuffle.
+    The bounds become constants of nested comparisons, halving the candidates at each step, so
+    the lookup is a projection: it needs no join and no shuffle, and tests few bounds per key.
     """
-    hits = [F.when(in_closed_range(key, F.lit(r.lo), F.lit(r.hi)), F.lit(r.value)) for r in ranges]
-    return F.coalesce(*hits) if hits else F.lit(None).cast("string")
+    order = lambda text: text.encode("utf8")
+    # A cut lies just before (0) or just after (1) a bound.
+    cuts = sorted({(order(r.lo), 0, r.lo) for r in ranges} | {(order(r.hi), 1, r.hi) for r in ranges})
+    pieces: list = [None]
+    for text, after, _ in cuts:
+        held = (r for r in ranges if order(r.lo) <= text and (text, after) < (order(r.hi), 1))
+        pieces.append(next((r.value for r in held), None))
+
+    def choose(low: int, high: int) -> Column:
+        """The value between the cuts ``low`` and ``high``; a null key takes the first piece."""
+        if len(set(pieces[low : high + 1])) == 1:
+            return F.lit(pieces[low])
+        middle = (low + high) // 2
+        _, after, bound = cuts[middle]
+        beyond = (key > F.lit(bound)) if after else (key >= F.lit(bound))
+        return F.when(beyond, choose(middle + 1, high)).otherwise(choose(low, middle))
+
+    found = choose(0, len(cuts))
+    number = bool(ranges) and isinstance(ranges[0].value, int)
+    return found.cast("long" if number else "string")
 
 
 def block_mask(key: Column, ranges: Sequence[Range] = ICD10_RANGES) -> Column:
@@ -68,6 +86,14 @@ def blocks_of_mask(mask: Column, ranges: Sequence[Range] = ICD10_RANGES) -> Colu
     return F.filter(numbered, lambda x: F.bit_get(has, x["bit"]) == 1)["value"]
 
 
+def label_of_mask(mask: Column, ranges: Sequence[Range] = ICD10_RANGES) -> Column:
+    """The rendered list of ``blocks_of_mask``, as one compiled expression."""
+    names = [*[f"'{v}'" for v in _sorted_values(ranges)], "None"]
+    has = F.coalesce(mask, F.lit(0).cast("long"))
+    shown = [F.when(has.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]
+    return F.concat(F.lit("["), F.concat_ws(", ", *shown), F.lit("]"))
+
+
 def _sorted_values(ranges: Sequence[Range]) -> list[str]:
     values = sorted({r.value for r in ranges})
     if len(values) > MASK_LIMIT:
@@ -169,4 +195,4 @@ def sorted_blocks(blocks: Column, unmatched: Column) -> Column:
     """Aggregated blocks as a sorted list; ``unmatched`` adds the null that sets leave out."""
     empty = F.array().cast("array<string>")
     last = F.when(unmatched, F.array(F.lit(None).cast("string"))).otherwise(empty)
-    return F.concat(F.array_sort(F.coalesce(blocks, empty)), last)
+    return F.concat(F.sort_array(F.coalesce(blocks, empty)), last)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casemill.functions.scalar import list_label, to_number
 from casemill.operators import evidence as ev, profile as pr, ranking as rk, splits as sp
-from casemill.operators.range_lookup import blocks_of_mask, range_lookup
+from casemill.operators.range_lookup import label_of_mask, range_lookup
 from casemill.plans import table_cases as tc
 from casemill.plans.load import case_table
 from casemill.schema import CASE_SCHEMA, KEY, TARGET
@@ -102,7 +102,7 @@ def target_counts(spark, sf):
     keys = tc.people(spark, sf).select(KEY)
     masks = keys.join(tc.code_masks(tc.codes(spark, sf)), KEY, "left")
     counts = masks.groupBy("mask").agg(F.count("*").alias("n"))
-    label = list_label(blocks_of_mask(F.col("mask"))).alias(TARGET)
+    label = label_of_mask(F.col("mask")).alias(TARGET)
     return counts.select(label, "n").orderBy(F.col("n").desc(), TARGET)
 
 

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casemill.functions.scalar import age_in_months, list_label
+from casemill.functions.scalar import age_in_months
 from casemill.operators.evidence import ABSENT_COUNT, PRESENT_COUNT
-from casemill.operators.range_lookup import block_mask, blocks_of_mask
+from casemill.operators.range_lookup import block_mask, blocks_of_mask, label_of_mask
 from casemill.schema import KEY, TARGET
 
 
@@ -84,31 +84,28 @@ def code_blocks(coded: DataFrame) -> DataFrame:
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """``case_id, expected_condition_icd10_blocks`` of cases with at least one code."""
-    return code_blocks(codes(spark, folder)).select(KEY, list_label(F.col("blocks")).alias(TARGET))
+    return code_masks(codes(spark, folder)).select(KEY, label_of_mask(F.col("mask")).alias(TARGET))
 
 
 def targets(spark: SparkSession, folder: str) -> DataFrame:
     """The target of every case; a case without codes has the label ``[]``."""
     keys = people(spark, folder).select(KEY)
     masks = keys.join(code_masks(codes(spark, folder)), KEY, "left")
-    return masks.select(KEY, list_label(blocks_of_mask(F.col("mask"))).alias(TARGET))
+    return masks.select(KEY, label_of_mask(F.col("mask")).alias(TARGET))
 
 
 def nested_cases(spark: SparkSession, folder: str) -> DataFrame:
     """Feature rows with list columns, for the encoder and the classifiers.
 
-    The lists hold distinct ids, so a list is at most as long as the vocabulary however many
-    lines one case has; the raw lengths are kept as counts.
+    The lists are sets, combined within each task, so a list is at most as long as the
+    vocabulary however many lines one case has; the raw lengths are kept as counts.
     """
-    per_id = evidence(spark, folder).groupBy(KEY, "evidence_id").agg(
-        F.count(F.when(F.col("state") == "present", 1)).alias("_present"),
-        F.count(F.when(F.col("state") == "absent", 1)).alias("_absent"),
-    )
-    lists = per_id.groupBy(KEY).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_present") > 0, F.col("evidence_id")))).alias("evidence_present"),
-        F.array_sort(F.collect_list(F.when(F.col("_absent") > 0, F.col("evidence_id")))).alias("evidence_absent"),
-        F.sum("_present").alias(PRESENT_COUNT),
-        F.sum("_absent").alias(ABSENT_COUNT),
+    state, found = F.col("state"), F.col("evidence_id")
+    lists = evidence(spark, folder).groupBy(KEY).agg(
+        F.sort_array(F.collect_set(F.when(state == "present", found))).alias("evidence_present"),
+        F.sort_array(F.collect_set(F.when(state == "absent", found))).alias("evidence_absent"),
+        F.count(F.when(state == "present", 1)).alias(PRESENT_COUNT),
+        F.count(F.when(state == "absent", 1)).alias(ABSENT_COUNT),
     )
     empty = F.array().cast("array<string>")
     return (

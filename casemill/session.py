@@ -12,14 +12,14 @@ import weakref
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
-def local_session(cores: int | str = "*", app: str = "casemill") -> SparkSession:
+def local_session(cores: int | str = "*", app: str = "casemill", partitions: int = 8) -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("CASEMILL_DRIVER_MEMORY", "12g"))

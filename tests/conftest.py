@@ -10,6 +10,6 @@ from casemill.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "casemill-tests")
+    session = local_session(8, "casemill-tests", partitions=3)
     yield session
     session.stop()

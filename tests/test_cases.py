@@ -2,11 +2,21 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from casemill.functions.scalar import age_in_months, list_label, list_length, to_number
-from casemill.operators.range_lookup import ICD10_RANGES, blocks_of_codes, first_range, range_lookup
+from casemill.operators.range_lookup import (
+    ICD10_RANGES,
+    Range,
+    block_mask,
+    blocks_of_codes,
+    blocks_of_mask,
+    first_range,
+    label_of_mask,
+    range_lookup,
+)
 from casemill.plans.load import case_table, load_cases
 from casemill.schema import CASE_SCHEMA, ICD10_BLOCKS, TARGET
 from casemill.sources.cases import builtin_chapters, read_cases, read_chapters
@@ -121,6 +131,35 @@ def test_first_range(spark, code, block):
     assert range_lookup(df, "code", builtin_chapters(spark)).first()["block"] == block
 
 
+def test_inlined_ranges_against_a_plain_scan(spark):
+    random = np.random.default_rng(2)
+    word = lambda: "".join(random.choice(list("AB1é"), random.integers(1, 3)))
+    ranges = [Range(*sorted((word(), word()), key=lambda t: t.encode()), f"v{i}") for i in range(12)]
+    keys = ["", "~", None, *{word() for _ in range(200)}, *[r.lo for r in ranges], *[r.hi for r in ranges]]
+    df = spark.createDataFrame([(k,) for k in keys], "code string")
+    found = df.select("code", first_range(F.col("code"), ranges).alias("b")).collect()
+    for code, block in found:
+        inside = lambda r: r.lo.encode() <= code.encode() <= r.hi.encode()  # noqa: E731,B023
+        assert block == next((r.value for r in ranges if code is not None and inside(r)), None)
+    assert df.select(first_range(F.col("code"), []).alias("b")).distinct().collect() == [(None,)]
+
+
+def test_block_masks(spark):
+    rows = [(1, "N10"), (1, "A01"), (1, "A01"), (2, "B99.9"), (2, "A00"), (3, "zzz")]
+    df = spark.createDataFrame(rows, "case_id long, code string")
+    masks = df.groupBy("case_id").agg(F.bit_or(block_mask(F.col("code"))).alias("m"))
+    masks = masks.unionByName(spark.createDataFrame([(4, None)], masks.schema))
+    out = masks.select("case_id", blocks_of_mask(F.col("m")).alias("b"), label_of_mask(F.col("m")).alias("l"))
+    got = {r["case_id"]: (r["b"], r["l"]) for r in out.collect()}
+    assert got == {
+        1: (["A00-B99", "N00-N99"], "['A00-B99', 'N00-N99']"),
+        2: (["A00-B99", None], "['A00-B99', None]"),
+        3: ([None], "[None]"),
+        4: ([], "[]"),
+    }
+    assert out.filter(list_label(F.col("b")) != F.col("l")).count() == 0
+
+
 def test_overlapping_ranges_first_wins(spark):
     ranges = [(i, f"k{i:03d}", f"m{i:03d}", f"v{i}") for i in range(200)] + [(200, "A", "z", "all")]
     table = spark.createDataFrame(ranges, "pos long, lo string, hi string, block string")
