@@ -23,6 +23,7 @@ from casemill.operators.stages import (
     param,
 )
 from casemill.schema import KEY
+from casemill.session import write_through
 
 PRESENT_COUNT = "present_evidence_count"
 ABSENT_COUNT = "absent_evidence_count"
@@ -34,15 +35,37 @@ VECTOR_LIMIT = 200_000
 # --- long tables -------------------------------------------------------------------------
 
 
+def distinct_ids(evidence: DataFrame, include_absent: bool = True) -> DataFrame:
+    """The ids of a long evidence table; a frequent id leaves each task once."""
+    states = ["present", "absent"] if include_absent else ["present"]
+    return evidence.filter(F.col("state").isin(states)).select("evidence_id").distinct()
+
+
 def vocabulary(evidence: DataFrame, include_absent: bool = True) -> DataFrame:
-    """Sorted distinct ids of a long evidence table, as ``evidence_id, idx``.
+    """Sorted distinct ids as ``evidence_id, idx``, with ``idx`` the position in the sorted list.
 
-    ``distinct`` combines within each task, so a frequent id costs one row per task. ``idx``
-    is the position in the sorted list, found with a window over the distinct ids only.
+    The ids are sorted by range and written once. A generated row id holds the slice and the
+    place in it; adding the sizes of the earlier slices gives the position, so no task holds
+    all ids.
     """
-    states = ["present", "absent"] if include_absent else ["present"]
-    ids = evidence.filter(F.col("state").isin(states)).select("evidence_id").distinct()
-    return ids.withColumn("idx", (F.row_number().over(W.orderBy("evidence_id")) - 1).cast("long"))
+    placed = write_through(
+        distinct_ids(evidence, include_absent)
+        .orderBy("evidence_id")
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+    # The upper bits number the slice, the lower 33 bits the row in it.
+    slices = placed.groupBy(F.shiftright("_at", 33).alias("_slice")).agg(F.count("*").alias("_n"))
+    earlier = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    # One row per slice.
+    starts = slices.select("_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    return (
+        placed.withColumn("_slice", F.shiftright("_at", 33))
+        .join(F.broadcast(starts), "_slice")
+        .select(
+            "evidence_id",
+            (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("idx"),
+        )
+    )
 
 
 def encode_long(

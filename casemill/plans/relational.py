@@ -140,7 +140,7 @@ def evidence_ternary_fitted(spark, sf):
     """Present-evidence vocabulary of the newborns, applied to all; unknown ids are ignored."""
     table = tc.evidence(spark, sf)
     newborns = tc.with_age(tc.people(spark, sf)).filter("age_in_months <= 1").select(KEY)
-    known = ev.vocabulary(table.join(newborns, KEY, "left_semi"), include_absent=False)
+    known = ev.distinct_ids(table.join(newborns, KEY, "left_semi"), include_absent=False)
     return ev.encode_long(table, known)
 
 

@@ -68,6 +68,18 @@ def test_long_form_agrees(spark, cases):
         ev.encode_long(unknown, known, handle_unknown="error").collect()
 
 
+def test_vocabulary_positions_over_many_slices(spark):
+    ids = sorted({f"e{i * 7919 % 5000}" for i in range(3000)})
+    rows = [(i, x, "present") for i, x in enumerate(ids + ids[:50])]
+    df = spark.createDataFrame(rows, "case_id long, evidence_id string, state string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = ev.vocabulary(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r["idx"], r["evidence_id"]) for r in out) == list(enumerate(ids))
+
+
 def test_random_lists_against_plain_python(spark):
     random = np.random.default_rng(3)
     ids = [f"s_{i}" for i in range(40)]
