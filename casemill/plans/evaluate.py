@@ -9,6 +9,7 @@ from threading import Lock
 from typing import NamedTuple
 
 from pyspark import StorageLevel
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -24,6 +25,8 @@ from casemill.schema import KEY, RESULT_SCHEMA, TARGET
 from casemill.sources.results import ResultStore, save_model
 
 SEED = 31415
+# What a stage raises for settings that do not fit its data.
+INVALID = (ValueError, IllegalArgumentException)
 STORAGE = StorageLevel.MEMORY_AND_DISK
 
 REDUCERS: dict[str, Callable] = {
@@ -201,9 +204,9 @@ class Evaluator:
                     for c in members:
                         try:
                             scores[c.seq] = self._score(ready, input_column(layout), fold, c.model, c.params)
-                        except ValueError:
+                        except INVALID:
                             continue
-                except ValueError:
+                except INVALID:
                     pass
                 finally:
                     if ready is not encoded:
@@ -218,7 +221,7 @@ class Evaluator:
         rows: Callable[[int], Column] | None = None,
         done: Callable[[DataFrame], None] | None = None,
     ) -> DataFrame:
-        """One result row per candidate. A candidate rejected with ValueError gives no row.
+        """One result row per candidate. A candidate that a stage rejects gives no row.
 
         ``rows(fold)`` may restrict the training rows; ``done`` receives the finished rows of
         each layout, for checkpoints.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from casemill.operators import features as ft
 from casemill.operators.evidence import ABSENT_COUNT, PRESENT_COUNT
 from casemill.operators.isomap import Isomap, graph_of
+from casemill.operators.neighbors import knn_join
 from casemill.operators.reduce import CenteredPCA, TruncatedSVD
 from casemill.operators.registry import NamedClassifier
 from casemill.operators.splits import FOLD, stratified_folds
@@ -109,6 +110,13 @@ def neighbor_graph(spark, sf):
     return graph_of(points, 5).select("src", "dst", F.round("w", ROUND).alias("w"))
 
 
+def neighbors_blocked(spark, sf):
+    """The neighbour join in its form for tables too large to broadcast."""
+    points = vectors(spark, sf).select(F.col(KEY).alias("key"), vector_to_array("features").alias("vector"))
+    found = knn_join(points, points, 5, exclude_self=True, block_rows=128, broadcast_numbers=0)
+    return found.select("key", "neighbor", F.round(F.sqrt("distance2"), ROUND).alias("distance"))
+
+
 def isomap_embedding(spark, sf):
     rows = vectors(spark, sf)
     return _reduced(Isomap(k=10, landmarks=64).fit(rows).transform(rows))
@@ -166,6 +174,7 @@ QUERIES = {
         pca_embedding,
         svd_embedding,
         neighbor_graph,
+        neighbors_blocked,
         isomap_embedding,
     )
 } | {query: _classifier(*model) for query, model in CLASSIFIER_QUERIES.items()}

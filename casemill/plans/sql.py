@@ -317,4 +317,10 @@ SELECT fold, round(train / all_train, 6) AS train_score, round(test / all_test,
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w, dst) AS r FROM pairs) WHERE r <= 5)
 SELECT src, dst, round(min(w), 6) AS w FROM (
   SELECT src, dst, w FROM near UNION ALL SELECT dst, src, w FROM near) GROUP BY src, dst""",
+    "neighbors_blocked": """WITH pairs AS (
+  SELECT a.vec_id AS key, b.vec_id AS neighbor,
+         list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS w
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT key, neighbor, round(w, 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY w, neighbor) AS r FROM pairs) WHERE r <= 5""",
 }
