@@ -361,16 +361,17 @@ class OnlineLinear(Estimator, ClassifierParams, DefaultParamsReadable, DefaultPa
         spark = df.sparkSession
         key, label = self.getOrDefault("keyCol"), F.col(self.getLabelCol()).cast("int")
         d = width_of(df, self.getFeaturesCol())
-        size = df.agg(F.count("*").alias("n"), F.max(label).alias("top")).first()
-        if not size["n"]:
+        # One row per class.
+        sizes = {r["y"]: r["n"] for r in df.groupBy(label.alias("y")).agg(F.count("*").alias("n")).collect()}
+        if not sizes:
             raise ValueError("no rows to fit on")
-        parts = -(-size["n"] // self.getOrDefault("partitionRows"))
+        parts = -(-sum(sizes.values()) // self.getOrDefault("partitionRows"))
         seed = self.getOrDefault("seed")
         order = F.xxhash64(F.lit(seed), key)
         blocks = packed(df.repartition(parts, order), self.getFeaturesCol(), label, order).persist()
         decay = self.getOrDefault("alpha") if self.getOrDefault("penalty") == "l2" else 0.0
         step = online_step(self.getOrDefault("kind"), self.getOrDefault("C"), decay)
-        weights = np.zeros((size["top"] + 1, d + 1))
+        weights = np.zeros((max(sizes) + 1, d + 1))
         try:
             for epoch in range(self.getOrDefault("epochs")):
                 # Classes x features doubles: the size of the model itself.
@@ -392,4 +393,7 @@ class OnlineLinear(Estimator, ClassifierParams, DefaultParamsReadable, DefaultPa
                     break
         finally:
             blocks.unpersist()
+        # A class without training rows is never predicted.
+        absent = [c for c in range(len(weights)) if c not in sizes]
+        weights[absent, -1] = -np.inf
         return self._copyValues(LinearScoreModel(weights[:, :-1], weights[:, -1]))

@@ -224,6 +224,15 @@ def test_every_classifier_learns_and_is_saved(spark, name, tmp_path):
     assert again == rows
 
 
+@pytest.mark.parametrize("name", ["Perceptron", "PassiveAggressiveClassifier", "LinearSVC", "LinearDiscriminantAnalysis"])
+def test_a_class_without_rows_is_never_predicted(spark, name):
+    x, y = blobs(90)
+    df = frame(spark, x, np.where(y == 1, 3, y))
+    model = NamedClassifier(name=name, classes=4, seed=1).fit(df)
+    assert model.bias[1] == -np.inf
+    assert {r[0] for r in model.transform(df).select("prediction").distinct().collect()} == {0.0, 2.0, 3.0}
+
+
 def test_candidate_lists():
     assert len(candidates(MODELS["RandomForestClassifier"].grid)) == 12
     assert len(candidates(MODELS["DecisionTreeClassifier"].grid)) == 3
