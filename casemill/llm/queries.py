@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casemill.llm import sharding
+from casemill.llm import bpe, sharding
 from casemill.llm.common import table
 
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 1613
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(table(spark, folder, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS)
 
 
-QUERIES = {"op9_sharding": op9_sharding}
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path(VOCABULARY)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, spaced=True)
+    return bpe.decode(ids, path).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
