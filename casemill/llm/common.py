@@ -84,3 +84,18 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now, as its periodic cleaner does every half hour."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is computed once, also where the body uses it for every element of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def words_of(text: Column) -> Column:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text, as an array."""
+    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
+
+
+def text_key(text: Column) -> Column:
+    """With the id, the identity of a row: rows that agree in both are alike in all results."""
+    return F.xxhash64(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casemill.llm import bpe, sharding
+from casemill.llm import bpe, decontaminate, quality, sharding
 from casemill.llm.common import table
 
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 1613
@@ -28,4 +28,26 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+QUERIES = {
+    "op7_quality_rules": op7_quality_rules,
+    "op8_decontamination": op8_decontamination,
+    "op9_sharding": op9_sharding,
+    "op10_byte_bpe": op10_byte_bpe,
+}

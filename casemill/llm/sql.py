@@ -9,7 +9,74 @@ def _hash(text: str, salt: str) -> str:
     return f"('0x' || substr(md5('{salt}:' || {text}), 1, 15))::BIGINT"
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACE = r"[\x20\x09-\x0D]"
+
+
+def quality(documents: str) -> str:
+    """CTEs up to ``judged``: every row of the table with measures, ``base_failed`` and ``kept``."""
+    return rf"""
+q_docs AS (
+  SELECT *, row_number() OVER () AS rid, coalesce(text, '') AS body,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '') AS words
+  FROM {documents}),
+q_grams AS (
+  SELECT rid, i, list_slice(words, i, i + 4) AS gram
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM q_docs)),
+q_twice AS (SELECT rid, i FROM q_grams QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+q_repeats AS (SELECT rid, count(DISTINCT i + k) AS n FROM q_twice, range(5) r(k) GROUP BY rid),
+q_lines AS (
+  SELECT rid, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM q_docs),
+q_measured AS (
+  SELECT d.*, len(words) AS n_words, length(regexp_replace(body, '{SPACE}', '', 'g')) AS word_chars,
+    length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM q_docs d JOIN q_lines USING (rid) LEFT JOIN q_repeats r USING (rid)),
+q_failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM q_measured),
+q_hosts AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM q_failed GROUP BY source),
+q_moments AS (
+  SELECT sum(f) / sum(n) AS m, sum(n * (f / n) * (f / n)) / sum(n) AS s, count(*) / sum(n) AS h FROM q_hosts),
+q_prior AS (
+  SELECT m, CASE WHEN b > 0 THEN least(greatest(m * (1 - m) / b - 1, 1.0), 1e6) ELSE 1e6 END AS k
+  FROM (SELECT m, greatest(s - m * m - m * (1 - m) * h, 0) AS b FROM q_moments)),
+judged AS (
+  SELECT q.*, NOT base_failed AND (h.f + m * k) / (h.n + k) < 0.9 AS kept
+  FROM q_failed q JOIN q_hosts h ON q.source IS NOT DISTINCT FROM h.source CROSS JOIN q_prior)"""
+
+
+def contamination(documents: str) -> str:
+    """CTEs up to ``checked``: every row of the table with its hits."""
+    words = (
+        r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '%s', '%s'), "
+        r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')" % (UPPER, LOWER)
+    )
+    return f"""
+c_docs AS (SELECT *, row_number() OVER () AS rid, {words} AS words FROM {documents}),
+c_items AS (SELECT item_id, {words} AS words FROM benchmark),
+c_windows AS (
+  SELECT DISTINCT item_id, list_slice(words, i, i + 12) AS gram
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS i FROM c_items WHERE len(words) > 0)),
+c_sizes AS (SELECT DISTINCT len(gram) AS n FROM c_windows),
+c_places AS (
+  SELECT rid, n, i, list_slice(words, i, i + n - 1) AS gram
+  FROM (SELECT rid, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM c_docs, c_sizes)),
+c_hits AS (SELECT DISTINCT rid, i, n, item_id FROM c_places JOIN c_windows USING (gram)),
+c_covered AS (
+  SELECT rid, count(DISTINCT at) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS at FROM (SELECT DISTINCT rid, i, n FROM c_hits)) GROUP BY rid),
+c_found AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM c_hits) GROUP BY rid),
+checked AS (
+  SELECT d.*, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(words) AS contaminated
+  FROM c_docs d LEFT JOIN c_covered USING (rid) LEFT JOIN c_found USING (rid))"""
+
+
 SQL = {
+    "op7_quality_rules": f"WITH {quality('documents')} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, "
+    "n_repeat_words, base_failed, kept FROM judged",
+    "op8_decontamination": f"WITH {contamination('documents')} SELECT doc_id, n_words, n_hit, n_items, items_sha256, "
+    "contaminated FROM checked",
     "op9_sharding": f"""
 WITH RECURSIVE names(turn, shard) AS (VALUES {', '.join(f"({i}, '{s}')" for i, s in enumerate(SHARDS))}),
 wishes AS (
