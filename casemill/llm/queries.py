@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casemill.llm import bpe, decontaminate, quality, sharding
+from casemill.llm import bpe, decontaminate, quality, secret_scan, sharding
 from casemill.llm.common import table
 
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 1613
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
 
 
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,6 +29,18 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, public_tokenizers.path(WORDS))
+    base = secret_scan.spelled(F.col("spans"), secret_scan.KINDS[:3])
+    return found.select(
+        "doc_id",
+        *[secret_scan.counted(F.col("spans"), k).alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secret_scan.spelled(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"))
 
@@ -46,6 +59,7 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_secret_scans": op3_secret_scans,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,

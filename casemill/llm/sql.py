@@ -62,7 +62,7 @@ c_places AS (
   FROM (SELECT rid, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM c_docs, c_sizes)),
 c_hits AS (SELECT DISTINCT rid, i, n, item_id FROM c_places JOIN c_windows USING (gram)),
 c_covered AS (
-  SELECT rid, count(DISTINCT at) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS at FROM (SELECT DISTINCT rid, i, n FROM c_hits)) GROUP BY rid),
+  SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT rid, i, n FROM c_hits)) GROUP BY rid),
 c_found AS (
   SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM c_hits) GROUP BY rid),
