@@ -78,7 +78,7 @@ class _State:
 class Transducer:
     """Encodes pieces of bytes. ``max_states`` and ``max_pairs`` bound the memory, not the results."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000, max_pairs: int = 300_000):
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
         self.begins = {t[:i] for t in ranks for i in range(1, len(t))}
         self.max_states, self.max_pairs = max_states, max_pairs
@@ -172,7 +172,7 @@ class TextEncoder:
     of the first ``max_known`` parts and pieces are remembered.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False, max_known: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False, max_known: int = 200_000):
         self.matches = regex.compile(pattern).findall
         self.spaced, self.max_known = spaced, max_known
         self.pieces: dict[str, bytes] = {}
@@ -281,12 +281,19 @@ def unpacked(data: bytes) -> tuple[int, ...]:
 
 
 def encode(
-    df: DataFrame, path: str, pattern: str, text: str = "text", spaced: bool = False, keep_text: bool = False
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    text: str = "text",
+    spaced: bool = False,
+    keep_text: bool = False,
+    decoded: str | None = None,
 ) -> DataFrame:
     """``df`` with ``n_tokens`` and ``ids`` (unsigned 32-bit little-endian numbers, as bytes) instead of the text.
 
     Every text is encoded whole, without special tokens; a null or empty text has no ids. Other columns stay
     (a column called like a result is replaced). No shuffle; rows keep their order within a partition.
+    ``decoded`` names a column for the text that the ids decode to, read back from them in the same pass.
     """
 
     def make():
@@ -299,11 +306,13 @@ def encode(
                 made = [encoder.encode(t.as_py() or "") for t in batch.column(batch.schema.get_field_index(text))]
             finally:
                 gc.enable()
-            return [[len(m) // 4 for m in made], made]
+            columns = [[len(m) // 4 for m in made], made]
+            return [*columns, [_decoder(path).decode(unpacked(m)) for m in made]] if decoded else columns
 
         return work
 
-    return add_columns(df, "n_tokens bigint, ids binary", make, () if keep_text else (text,))
+    fields = "n_tokens bigint, ids binary" + (f", `{decoded}` string" if decoded else "")
+    return add_columns(df, fields, make, () if keep_text else (text,))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

@@ -20,8 +20,8 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, spaced=True)
-    return bpe.decode(ids, path).select(
+    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, spaced=True, decoded="decoded")
+    return ids.select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
