@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casemill.llm import bpe, decontaminate, quality, secret_scan, sharding
+from casemill.llm import bpe, decontaminate, quality, secret_scan, sharding, simhash
 from casemill.llm.common import table
 
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 1613
@@ -29,6 +29,11 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
+
+
 def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs, public_tokenizers.path(WORDS))
@@ -59,6 +64,7 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_secret_scans": op3_secret_scans,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
