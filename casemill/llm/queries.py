@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casemill.llm import bpe, decontaminate, quality, secret_scan, sharding, simhash, substring
+from casemill.llm import bpe, decontaminate, lattice, quality, secret_scan, sharding, simhash, substring
 from casemill.llm.common import table
 
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 1613
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"
 
 
@@ -34,6 +35,10 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
 
 
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.score(table(spark, folder, "documents"), public_tokenizers.path(PIECES))
+
+
 def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs, public_tokenizers.path(WORDS))
@@ -69,6 +74,7 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_secret_scans": op3_secret_scans,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
