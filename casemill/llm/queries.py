@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casemill.llm import bpe, decontaminate, lattice, quality, secret_scan, sharding, simhash, substring
+from casemill.llm import bpe, chat, decontaminate, lattice, quality, secret_scan, sharding, simhash, substring
 from casemill.llm.common import table
 
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 1613
@@ -55,6 +55,24 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.digests(table(spark, folder, "documents"))
 
 
+def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema)
+    made = chat.format_chats(chat.records_of_turns(rows.unionByName(more)))
+    turns = chat.read_back(F.col("formatted"))
+    spoken = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = chat.learned_text(F.col("formatted"), F.col("loss"))
+    return made.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(spoken.cast("binary"), 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"))
 
@@ -77,6 +95,7 @@ QUERIES = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_secret_scans": op3_secret_scans,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,

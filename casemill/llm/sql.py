@@ -73,6 +73,17 @@ checked AS (
 
 
 SQL = {
+    "op6_chat_formatting": r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>') + length(role) + length(regexp_replace(role, '[^\\<\[\n]', '', 'g')) + 1
+    + length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM said GROUP BY conv_id""",
     "op7_quality_rules": f"WITH {quality('documents')} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, "
     "n_repeat_words, base_failed, kept FROM judged",
     "op8_decontamination": f"WITH {contamination('documents')} SELECT doc_id, n_words, n_hit, n_items, items_sha256, "
