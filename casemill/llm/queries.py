@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casemill.llm import bpe, chat, decontaminate, lattice, quality, secret_scan, sharding, simhash, substring
+from casemill.llm import bpe, chat, decontaminate, lattice, quality, secret_scan, sharding, simhash, substring, toxicity
 from casemill.llm.common import table
 
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 1613
@@ -51,6 +51,10 @@ def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.digests(table(spark, folder, "documents"))
 
@@ -94,6 +98,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_secret_scans": op3_secret_scans,
+    "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_quality_rules": op7_quality_rules,
