@@ -142,5 +142,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
     """The documents that are not contaminated, with all their columns."""
     bad = contamination(docs, benchmark, doc_id, text).filter("contaminated").select("doc_id", "key").distinct()
     bad = bad.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    same = quoted(doc_id).eqNullSafe(F.col("_id")) & (text_key(text_of(text)) == F.col("_key"))
+    same = quoted(doc_id).eqNullSafe(bad["_id"]) & (text_key(text_of(text)) == bad["_key"])
     return docs.join(bad, same, "left_anti")

@@ -118,7 +118,8 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The documents that the rules and the verdict on their host keep, with all their columns."""
-    named = docs.select("*", F.struct(quoted(doc_id), quoted(host), text_key(text_of(text))).alias("_row"))
-    chosen = named.select("_row", quoted(text).alias("text"), quoted(host).alias("host_name"))
+    row = F.struct(quoted(doc_id), quoted(host), text_key(text_of(text)))
+    chosen = docs.select(row.alias("_row"), quoted(text).alias("text"), quoted(host).alias("host_name"))
     verdicts = judge(write_through(measure(chosen).drop("text")), "host_name")
-    return named.join(verdicts.filter(~F.col("kept")).select("_row").distinct(), "_row", "left_anti").drop("_row")
+    gone = verdicts.filter(~F.col("kept")).select("_row").distinct()
+    return docs.join(gone, row == gone["_row"], "left_anti")

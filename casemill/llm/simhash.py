@@ -198,5 +198,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     """
     found = near_duplicates(docs, doc_id, text, shingle, distance)
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    same = quoted(doc_id).eqNullSafe(F.col("_id")) & (text_key(text_of(text)) == F.col("_key"))
+    same = quoted(doc_id).eqNullSafe(gone["_id"]) & (text_key(text_of(text)) == gone["_key"])
     return docs.join(gone, same, "left_anti")

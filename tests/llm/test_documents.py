@@ -1,0 +1,443 @@
+"""Operators on documents against plain brute force."""
+
+import random
+import re
+import string
+from collections import Counter
+from hashlib import sha256
+
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from casemill.llm import bpe, components, decontaminate, lattice, quality, secret_scan, sharding, simhash, substring, toxicity
+from casemill.llm.queries import PIECES, VOCABULARY, WORDS
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+RANKS = public_tokenizers.path(VOCABULARY)
+
+
+def frame(spark, texts, **more):
+    rows = [(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def groups(pairs, nodes):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return {n: find(n) for n in nodes}
+
+
+# --- 1
+
+
+def slow_print(text):
+    words = [w.encode().lower() for w in WORD.findall(text or "")]
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 4]) for i in range(max(len(words) - 3, 1))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "One", "a b c", "A b C d", "É é x Y z w", "a a a a a a a"])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) & (2**64 - 1) == slow_print(text)
+
+
+def test_fingerprint_is_sparks_hash(spark):
+    (row,) = spark.range(1).select(F.xxhash64(F.lit("one two three four")).alias("h")).collect()
+    assert simhash.fingerprint("One two three FOUR") == row["h"]
+
+
+@pytest.mark.parametrize("distance, dense", [(4, 10**9), (4, 3), (2, 2), (3, 5)])
+def test_links_give_the_components(spark, distance, dense):
+    rng = random.Random(distance)
+    prints = set()
+    for _ in range(4):
+        centre = rng.getrandbits(64)
+        for _ in range(40):
+            moved = centre
+            for bit in rng.sample(range(64), rng.randint(1, 5)):
+                moved ^= 1 << bit
+            prints.add(simhash._signed(moved))
+    pairs = [(a, b) for a in prints for b in prints if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= distance]
+    df = spark.createDataFrame([(p,) for p in prints], "print bigint")
+    found = {r["node"]: r["component"] for r in components.components(simhash.links(df, distance, dense)).collect()}
+    assert {p: found.get(p, p) for p in prints} == groups(pairs, prints)
+
+
+def test_components_of_a_path_and_a_hub(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3), (101, 100)]
+    found = components.components(spark.createDataFrame(edges, "a int, b int")).collect()
+    assert {r["node"]: r["component"] for r in found} == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 150), 100)}
+
+
+def test_near_duplicates_of_odd_rows(odd, none):
+    found = simhash.near_duplicates(odd).collect()
+    assert len(found) == odd.count()
+    by_id = {r["doc_id"]: r["component_id"] for r in found if r["doc_id"] is not None}
+    assert by_id == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7}
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 3, 6, 7]
+    assert simhash.near_duplicates(none).count() == simhash.keep_one(none).count() == 0
+
+
+# --- 2
+
+
+def test_lattice_is_the_sum_over_all_segmentations():
+    pieces = lattice.load_pieces(public_tokenizers.path(PIECES))
+    made = lattice.Lattice(pieces, {pieces.ids["▁the"]: 5, pieces.ids["er"]: 3}, 9)
+
+    def paths(text):
+        if not text:
+            return 1.0
+        import math
+
+        total = math.exp(sum(made.bytes[b] for b in text[0].encode())) * paths(text[1:])
+        for n in range(1, len(text) + 1):
+            if text[:n] in made.arcs:
+                total += math.exp(made.arcs[text[:n]]) * paths(text[n:])
+        return total
+
+    import math
+
+    for word in ("there", "zér", "漢"):
+        assert made.log_probability(word) == pytest.approx(math.log(paths("▁" + word)) + made.end)
+
+
+def test_scores(spark):
+    import math
+    import zlib
+
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choices("abcde", k=rng.randint(1, 4))) for _ in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 30))) for _ in range(60)] + [None, "Zzz ABC"]
+    docs = frame(spark, texts)
+    for frequent in (5, 1000):
+        got = {r["doc_id"]: r for r in lattice.score(docs, public_tokenizers.path(PIECES), frequent=frequent).collect()}
+        train, n = Counter(), 0
+        for i, t in enumerate(texts):
+            if zlib.crc32(str(i).encode()) % 7 != 2:
+                train.update((t or "").lower().split())
+                n += 1
+        total, distinct = train.total() + n, len(train) + 1
+        for i, t in enumerate(texts):
+            words = (t or "").lower().split()
+            base = sum(math.log10((c + 1) / (total + distinct + 1)) for c in [n, *(train[w] for w in words)])
+            r = got[i]
+            assert (r["n_tokens"], r["train_tokens"]) == (len(words) + 1, total)
+            assert r["n_known"] == 1 + sum(w in train for w in words)
+            assert r["base_score"] == pytest.approx(base) and r["score"] < 0
+            assert r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
+
+
+def test_scores_of_odd_rows(odd, none):
+    path = public_tokenizers.path(PIECES)
+    found = lattice.score(odd, path).collect()
+    assert len(found) == odd.count() and all(r["score"] is not None and r["base_score"] is not None for r in found)
+    assert lattice.score(none, path).count() == 0
+    assert lattice.score(odd.filter("doc_id = 2"), path, classes=None).count() == 1
+
+
+# --- 3
+
+
+def test_spans_of_the_patterns():
+    words = secret_scan.ranked_words(public_tokenizers.path(WORDS))
+    alphabet = ["password", "API_KEY", "token", "AKIA", "=", ": ", '"', "abcdef0123456789", "Zk8", "f", " ", "é", "x9Kq2vA", "-"]
+    rng = random.Random(3)
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for _ in range(3000):
+        text = "".join(rng.choices(alphabet, k=rng.randint(0, 14)))
+        want = [("assign", m.start(), m.end()) for m in assign.finditer(text) if len(m[2]) >= 12]
+        want += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        want += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        found = [s[:3] for s in secret_scan.find_spans(text, words)]
+        assert [s for s in found if s[0] != "guess"] == sorted(want, key=lambda s: (s[1], secret_scan.KINDS.index(s[0])))
+
+
+def test_guess_costs():
+    words = secret_scan.ranked_words(public_tokenizers.path(WORDS))
+    cost = lambda v: secret_scan.log10_guesses(v, words)
+    assert max(map(cost, ["password", "qwertyuiop", "aaaaaaaaaaaa", "abcabcabc", "19851224", "2020-01-31"])) < 6
+    assert min(map(cost, ["x9$Kq!2v", "Tr0ub4dor&3", "f3ef4d6b2755"])) > 9
+    assert cost("") == 0 and cost("q") > 0
+    # Never dearer than brute force, and longer is never cheaper by more than it adds.
+    rng = random.Random(4)
+    for _ in range(200):
+        value = "".join(rng.choices(string.ascii_lowercase + "019", k=rng.randint(1, 12)))
+        assert cost(value) <= sum(map(secret_scan._char_cost, value)) + 1e-9
+    assert cost("a" * 3000) < 8
+
+
+def test_redaction(odd, none, spark):
+    path = public_tokenizers.path(WORDS)
+    docs = frame(spark, ['x token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" y', "clean text", "pwd: x9$Kq!2vA end", None])
+    rows = {r["doc_id"]: r for r in secret_scan.redact(docs, path).collect()}
+    assert rows[0]["text"] == 'x [assign]" y' and rows[0]["n_chars"] == 13
+    assert (rows[1]["text"], rows[1]["n_chars"]) == ("clean text", 10)
+    assert rows[2]["text"] == "pwd: [guess] end" and rows[3]["text"] is None
+    assert secret_scan.redact(odd, path).columns == odd.columns and secret_scan.redact(odd, path).count() == odd.count()
+    assert secret_scan.scan(odd, path).count() == odd.count() and secret_scan.scan(none, path).count() == 0
+
+
+# --- 4
+
+
+def test_grammar_readings():
+    grammar = toxicity.Grammar({"loser$": 2.0, "lowei": 1.5})
+    assert grammar.read("you are a loser") == [("aimed", 2.0)]
+    assert grammar.read("some loweischaft here") == [("plain", 1.5)]
+    assert grammar.read("not a loser") == [("negated", 2.0)]
+    assert grammar.read("someone called that man a loser") == [("reported", 2.0)]
+    assert grammar.read("losers and blowei") == []
+    assert grammar.read("i will kill time") == [] and grammar.read("i will kill you") == [("aimed", 1.0)]
+    assert grammar.evidence("Loser. A loser! he said loser; losers") == [0.0, 4.0, 0.0, 2.0]
+    assert grammar.evidence("") == [0.0] * 4
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(5)
+    plain = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    texts, marks = [], []
+    for i in range(900):
+        words = rng.choices(plain, k=40)
+        toxic = i % 5 == 0
+        if toxic:
+            for _ in range(3):
+                words[rng.randrange(40)] = rng.choice(["grumpf", "snorg" + rng.choice(plain)])
+        texts.append(" ".join(words))
+        marks.append((i, int(toxic)))
+    docs = frame(spark, [*texts, None, ""])
+    labels = spark.createDataFrame([*marks, (None, 1), (3, None)], "doc_id bigint, toxic int")
+    rows = toxicity.score(docs, labels).collect()
+    assert len(rows) == 902 and all(0 <= r["score"] <= 1 for r in rows)
+    held = [(r["predicted"], marks[r["doc_id"]][1]) for r in rows if r["held_out"] and r["doc_id"] < 900]
+    assert len(held) > 200 and sum(a == b for a, b in held) / len(held) > 0.97
+    assert all(r["predicted"] == (r["score"] >= 0.7) for r in rows)
+
+
+def test_toxicity_of_odd_rows(odd, none, spark):
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert toxicity.score(odd, labels).count() == odd.count() and toxicity.score(none, labels).count() == 0
+
+
+# --- 5
+
+
+def slow_removal(rows, window):
+    first = {}
+    for i, text in rows:
+        words = (text or "").encode().split()
+        for k in range(len(words) - window + 1):
+            key = tuple(words[k : k + window])
+            first[key] = min(first.get(key, i), i)
+    out = {}
+    for i, text in rows:
+        words = (text or "").encode().split()
+        gone = set()
+        for k in range(len(words) - window + 1):
+            if first[tuple(words[k : k + window])] < i:
+                gone |= set(range(k, k + window))
+        kept = b" ".join(w for k, w in enumerate(words) if k not in gone)
+        out[i] = (len(words), len(gone), sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("window, period", [(10, 7), (6, 3), (12, 12)])
+def test_repeats(spark, window, period):
+    rng = random.Random(window)
+    passages = [" ".join(rng.choices("abcdefghij", k=rng.randint(5, 30))) for _ in range(8)]
+    texts = []
+    for _ in range(50):
+        parts = [" ".join(rng.choices("abcdefghijklmnop", k=rng.randint(0, 6))) for _ in range(4)]
+        texts.append("\n".join(x for p in parts for x in (p, rng.choice(passages))))
+    texts += [texts[3], texts[3], None, "", "short", "a a " * 40]
+    rows = [(r["doc_id"], (r["n_words"], r["n_removed"], r["kept_sha256"])) for r in substring.digests(frame(spark, texts), window=window, period=period).collect()]
+    assert dict(rows) == slow_removal(list(enumerate(texts)), window) and len(rows) == len(texts)
+
+
+def test_covers():
+    for period in range(1, 32):
+        cover = substring.difference_cover(period)
+        assert {(a - b) % period for a in cover for b in cover} == set(range(period))
+
+
+def test_repeats_of_odd_rows(odd, none):
+    rows = substring.digests(odd, window=5, period=3).collect()
+    assert len(rows) == odd.count() and substring.digests(none).count() == 0
+    assert {r["doc_id"]: r["n_removed"] for r in rows} == {1: 0, 2: 17, 3: 0, 4: 0, None: 0, 5: 0, 6: 0, 7: 0}
+
+
+# --- 7
+
+
+def slow_measures(text):
+    text = text or ""
+    words = WORD.findall(text)
+    grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    repeated = {k for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for k in range(i, i + 5)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated)
+
+
+def test_quality(spark, odd, none):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(["a ", "b ", "c\n", "# ", "é\t", "longer "], k=rng.randint(0, 60))) for _ in range(80)]
+    rows = quality.quality(frame(spark, texts)).collect()
+    for r in rows:
+        want = slow_measures(texts[r["doc_id"]])
+        assert tuple(r[m] for m in quality.METRICS) == want
+        assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+    assert len(quality.quality(odd).collect()) == odd.count() and quality.quality(none).count() == 0
+    kept = quality.keep_good(odd)
+    assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "2", "6", "None"]
+    assert quality.keep_good(none).count() == 0
+
+
+def test_a_bad_host_goes_and_a_small_one_does_not(spark):
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, good if i % 20 == 0 else "bad", "junk") for i in range(400)]
+    rows += [(1000 + i, good, f"host{i % 20}") for i in range(400)] + [(5000, "bad", "new"), (5001, good, None)]
+    found = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert not found[0]["kept"] and not found[0]["base_failed"]
+    assert found[1000]["kept"] and found[5001]["kept"] and not found[5000]["kept"]
+
+
+# --- 8
+
+
+def slow_hits(text, items):
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+    words, hit, found = split(text), set(), set()
+    for item, body in items:
+        own = split(body)
+        for window in [own[i : i + 13] for i in range(max(len(own) - 12, 1))] if own else []:
+            for i in range(len(words) - len(window) + 1):
+                if words[i : i + len(window)] == window:
+                    hit |= set(range(i, i + len(window)))
+                    found.add(item)
+    return len(words), len(hit), sorted(found)
+
+
+def test_contamination(spark):
+    rng = random.Random(8)
+    item = lambda n: " ".join(rng.choices("abcdefgh", k=n))
+    items = [(1, item(30)), (2, item(13)), (3, "Zebra, ÉCLAIR"), (4, "solo"), (5, None), (6, "..."), (7, item(20)), (8, "x y z")]
+    texts = []
+    for _ in range(60):
+        parts = [item(rng.randint(0, 20))]
+        for _, body in rng.sample(items, 2):
+            parts += [(body or "").upper()[rng.randint(0, 4) :], item(rng.randint(0, 9))]
+        texts.append(", ".join(parts))
+    texts += [None, "", "SOLO", "zebra éCLAIR zebra Éclair"]
+    docs, benchmark = frame(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")
+    rows = decontaminate.contamination(docs, benchmark).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], sorted(r["items"])) for r in rows} == {i: slow_hits(t, items) for i, t in enumerate(texts)}
+    assert len(rows) == len(texts)
+    bad = {r["doc_id"] for r in rows if r["contaminated"]}
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, benchmark).collect()} == set(range(len(texts))) - bad
+
+
+def test_contamination_of_odd_rows(odd, none, spark):
+    items = spark.createDataFrame([(1, "quick brown fox"), (None, None)], "item_id bigint, text string")
+    rows = decontaminate.contamination(odd, items).collect()
+    assert len(rows) == odd.count() and sum(r["contaminated"] for r in rows) == 4
+    assert decontaminate.contamination(odd, items.limit(0)).filter("n_hit > 0").count() == 0
+    assert decontaminate.contamination(none, items).count() == 0
+    assert decontaminate.drop_contaminated(odd, items).columns == odd.columns
+
+
+def test_the_join_beyond_the_broadcast_bound(odd, spark, monkeypatch):
+    items = spark.createDataFrame([(1, "quick brown fox")], "item_id bigint, text string")
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert decontaminate.contamination(odd, items).filter("n_hit = 3").count() == 4
+
+
+# --- 9
+
+
+def slow_table(shards, size):
+    from hashlib import md5
+
+    number = lambda salt, s: int(md5(f"{salt}:{s}".encode()).hexdigest()[:15], 16)
+    wishes = [[(number("offset", s) % size + j * (number("skip", s) % (size - 1) + 1)) % size for j in range(size)] for s in shards]
+    taken = {}
+    while len(taken) < size:
+        for shard, wish in zip(shards, wishes, strict=True):
+            if len(taken) < size:
+                taken[next(x for x in wish if x not in taken)] = shard
+    return taken
+
+
+def test_placement_table(spark):
+    shards = ["a", "b", "c"]
+    table = {r["slot"]: r["shard"] for r in sharding.placement_table(spark, shards, 101).collect()}
+    assert table == slow_table(shards, 101)
+    less = {r["slot"]: r["shard"] for r in sharding.placement_table(spark, shards[:2], 101).collect()}
+    assert sum(table[s] != less[s] for s in table) < 60  # mostly what c had
+    for wrong in ([], ["a", "a"], ["a", None]):
+        with pytest.raises(ValueError):
+            sharding.placement_table(spark, wrong, 101)
+    with pytest.raises(ValueError):
+        sharding.placement_table(spark, shards, 100)
+
+
+def test_placement_of_odd_rows(odd, none, tmp_path, spark):
+    placed = sharding.place(odd, "doc_id", ["a", "b"], 23)
+    assert placed.count() == odd.count() and placed.filter("shard IS NULL OR shard = 'x'").count() == 0
+    assert sharding.place(none, "doc_id", ["a"], 2).count() == 0
+    sharding.write_shards(odd.select("doc_id", "text"), "doc_id", ["a", "b"], 23, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == odd.count()
+
+
+# --- 10
+
+
+@pytest.fixture(scope="module")
+def reference():
+    ranks = bpe.load_ranks(RANKS)
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_encoding_and_decoding(reference):
+    ranks = bpe.load_ranks(RANKS)
+    encoders = [bpe.TextEncoder(ranks, public_tokenizers.PATTERN, spaced, max_known=50) for spaced in (False, True)]
+    encoders[0].transducer.max_states = 300  # forgets often
+    decoder = bpe.StreamDecoder({i: t for t, i in ranks.items()}, max_moves=500)
+    rng = random.Random(10)
+    tokens = list(ranks)
+    for _ in range(1500):
+        if rng.random() < 0.5:
+            text = "".join(rng.choices("aabcdeé漢😀ß 0129\n\t  '́\x1c st", k=rng.randint(0, 40)))
+        else:
+            text = b"".join(rng.choices(tokens, k=rng.randint(1, 6))).decode("utf8", "replace")
+        want = reference.encode_ordinary(text)
+        for encoder in encoders:
+            assert list(bpe.unpacked(encoder.encode(text))) == want
+        assert decoder.decode(want) == text
+        noise = [rng.randrange(len(ranks)) for _ in range(4)]
+        assert decoder.decode(noise) == b"".join(tokens[i] for i in noise).decode("utf8", "replace")
+
+
+def test_encoding_of_odd_rows(odd, none, reference):
+    made = bpe.encode(odd, RANKS, public_tokenizers.PATTERN, spaced=True, keep_text=True)
+    rows = bpe.decode(made, RANKS).collect()
+    assert len(rows) == odd.count()
+    for r in rows:
+        assert list(bpe.unpacked(r["ids"])) == reference.encode_ordinary(r["text"] or "") and r["decoded"] == (r["text"] or "")
+        assert r["n_tokens"] == len(r["ids"]) // 4
+    assert bpe.encode(none, RANKS, public_tokenizers.PATTERN).count() == 0
