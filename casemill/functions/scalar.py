@@ -21,11 +21,24 @@ def list_length(items: Column) -> Column:
 
 
 def list_label(items: Column) -> Column:
-    """Render a list of strings as one label, for example ``['A00-B99', 'N00-N99']``."""
-    none = "\x00"
-    quoted = F.concat(F.lit("'"), F.array_join(items, "', '", none), F.lit("'"))
-    body = F.when(F.size(items) == 0, F.lit("")).otherwise(F.replace(quoted, F.lit(f"'{none}'"), F.lit("None")))
-    return F.concat(F.lit("["), body, F.lit("]"))
+    """Render a list of strings as one label, for example ``['A00-B99', 'N00-N99']``.
+
+    Strings are quoted as Python does: in double quotes if they hold single ones only, with
+    backslashes, tabs and line ends escaped. A null is ``None``.
+    """
+
+    def rendered(item: Column) -> Column:
+        text = item
+        for plain, code in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"), ("\x00", "\\x00")):
+            text = F.replace(text, F.lit(plain), F.lit(code))
+        single, double = item.contains("'"), item.contains('"')
+        return (
+            F.when(item.isNull(), F.lit("None"))
+            .when(single & ~double, F.concat(F.lit('"'), text, F.lit('"')))
+            .otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'")))
+        )
+
+    return F.concat(F.lit("["), F.array_join(F.transform(items, rendered), ", "), F.lit("]"))
 
 
 def block_start(block: Column) -> Column:

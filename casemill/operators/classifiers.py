@@ -334,7 +334,7 @@ class OnlineLinear(Estimator, ClassifierParams, DefaultParamsReadable, DefaultPa
     alpha = param("alpha", "L2 decay per step of the perceptron", "float")
     penalty = param("penalty", "'l2' or None", None)
     epochs = param("epochs", "passes over the data", "int")
-    partitionRows = param("partitionRows", "rows one partition learns from in sequence", "int")
+    workers = param("workers", "partitions that learn in sequence by themselves, whatever the number of rows", "int")
 
     @keyword_only
     def __init__(
@@ -344,7 +344,7 @@ class OnlineLinear(Estimator, ClassifierParams, DefaultParamsReadable, DefaultPa
         alpha=0.0001,
         penalty=None,
         epochs=10,
-        partitionRows=50_000,
+        workers=4,
         seed=0,
         featuresCol="features",
         labelCol="label",
@@ -353,7 +353,7 @@ class OnlineLinear(Estimator, ClassifierParams, DefaultParamsReadable, DefaultPa
     ):
         super().__init__()
         self._setDefault(
-            kind="perceptron", C=1.0, alpha=0.0001, penalty=None, epochs=10, partitionRows=50_000, seed=0, keyCol="case_id"
+            kind="perceptron", C=1.0, alpha=0.0001, penalty=None, epochs=10, workers=4, seed=0, keyCol="case_id"
         )
         self._set(**{n: v for n, v in self._input_kwargs.items() if v is not None})
 
@@ -365,7 +365,7 @@ class OnlineLinear(Estimator, ClassifierParams, DefaultParamsReadable, DefaultPa
         sizes = {r["y"]: r["n"] for r in df.groupBy(label.alias("y")).agg(F.count("*").alias("n")).collect()}
         if not sizes:
             raise ValueError("no rows to fit on")
-        parts = -(-sum(sizes.values()) // self.getOrDefault("partitionRows"))
+        parts = self.getOrDefault("workers")
         seed = self.getOrDefault("seed")
         order = F.xxhash64(F.lit(seed), key)
         blocks = packed(df.repartition(parts, order), self.getFeaturesCol(), label, order).persist()

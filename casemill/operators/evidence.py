@@ -235,7 +235,7 @@ class EvidenceEncoder(Estimator, _EvidenceParams, DefaultParamsReadable, Default
         if self.get("includeAbsentEvidence"):
             absent = F.coalesce(F.col(self.get("absentCol")), F.array().cast("array<string>"))
             lists = F.concat(lists, absent)
-        ids = df.select(F.explode(F.array_distinct(lists)).alias("id")).distinct()
+        ids = df.select(F.explode(F.array_distinct(lists)).alias("id")).filter("id IS NOT NULL").distinct()
         rows = ids.limit(VECTOR_LIMIT + 1).collect()
         if len(rows) > VECTOR_LIMIT:
             raise ValueError(

@@ -9,6 +9,7 @@ the partial results are merged. No pair of rows leaves a task, and a crowded blo
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
@@ -25,7 +26,7 @@ from casemill.operators.stages import (
     param,
 )
 from casemill.operators.vectors import as_block, block_score, width_of
-from casemill.session import cut_lineage
+from casemill.session import write_through
 
 # A training table of at most this many numbers (64 MB) is broadcast.
 BROADCAST_NUMBERS = 8_000_000
@@ -236,17 +237,22 @@ class KNeighbors(Estimator, ClassifierParams, DefaultParamsReadable, DefaultPara
             vector_to_array(self.getFeaturesCol()).alias("vector"),
             F.col(self.getLabelCol()).cast("double").alias("label"),
         )
+        order = ["key", "label", "vector"]
         d = width_of(df, self.getFeaturesCol())
         model = KNeighborsModel()
         rows = train.limit(BROADCAST_NUMBERS // d + 1).toArrow()
+        # In both forms a row is named by its place in the order of key and label, so repeated or
+        # missing keys are rows like others and ties go the same way.
         if rows.num_rows * d <= BROADCAST_NUMBERS:
+            rows = rows.take(pc.sort_indices(rows.select(["key", "label"]), [("key", "ascending"), ("label", "ascending")], null_placement="at_start"))
             model.small = (
-                rows["key"].to_numpy(),
+                np.arange(rows.num_rows),
                 as_block(rows["vector"].combine_chunks()),
                 rows["label"].to_numpy(),
             )
         else:
-            model.table = cut_lineage(train)
+            ordered = train.orderBy(*order).withColumn("key", F.monotonically_increasing_id())
+            model.table = write_through(ordered)
         return self._copyValues(model)
 
 
@@ -286,13 +292,13 @@ class KNeighborsModel(StatefulModel, ClassifierParams):
                 return classes[votes.argmax(axis=1)]
 
             return df.withColumn(self.getPredictionCol(), block_score(F.col(self.getFeaturesCol()), vote))
-        key = self.getOrDefault("keyCol")
-        queries = df.select(
-            F.col(key).alias("key"), vector_to_array(self.getFeaturesCol()).alias("vector")
+        numbered = write_through(df.withColumn("_row", F.monotonically_increasing_id()))
+        queries = numbered.select(
+            F.col("_row").alias("key"), vector_to_array(self.getFeaturesCol()).alias("vector")
         )
         pairs = knn_join(queries, self.table.select("key", "vector"), k)
         labels = self.table.select(F.col("key").alias("neighbor"), F.col("label").alias("_label"))
         votes = pairs.join(labels, "neighbor").groupBy("key", "_label").agg(F.count("*").alias("_n"))
         winner = F.max_by("_label", F.struct(F.col("_n"), -F.col("_label")))
         chosen = votes.groupBy("key").agg(winner.alias(self.getPredictionCol()))
-        return df.join(chosen, df[key] == chosen["key"], "left").drop(chosen["key"])
+        return numbered.join(chosen.withColumnRenamed("key", "_row"), "_row", "left").drop("_row")

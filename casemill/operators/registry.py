@@ -27,7 +27,7 @@ from casemill.operators.stages import (
 )
 from casemill.operators.vectors import width_of
 
-# Spark rejects deeper trees; a larger or unlimited depth is built with this one.
+# The deepest tree that Spark builds; it is the default, as there is no unlimited depth.
 MAX_DEPTH = 30
 
 
@@ -43,8 +43,11 @@ class ModelSpec(NamedTuple):
     grid: dict[str, list]
 
 
-def depth(value: int | None) -> int:
-    return MAX_DEPTH if value is None else min(int(value), MAX_DEPTH)
+def depth(value: int) -> int:
+    """A depth that can be built as it is; any other is an invalid parameter."""
+    if value is None or not 0 <= int(value) <= MAX_DEPTH:
+        raise ValueError(f"max_depth must be between 0 and {MAX_DEPTH}, not {value}")
+    return int(value)
 
 
 def _logistic(size: Size, p: dict, c: dict):
@@ -56,7 +59,7 @@ def _logistic(size: Size, p: dict, c: dict):
 
 def _tree(size: Size, p: dict, c: dict):
     return mlc.DecisionTreeClassifier(
-        impurity="gini", maxDepth=depth(p.get("max_depth")), seed=size.seed, **c
+        impurity="gini", maxDepth=depth(p.get("max_depth", MAX_DEPTH)), seed=size.seed, **c
     )
 
 
@@ -64,7 +67,7 @@ def _forest(bootstrap: bool):
     def build(size: Size, p: dict, c: dict):
         return mlc.RandomForestClassifier(
             numTrees=p.get("n_estimators", 100),
-            maxDepth=depth(p.get("max_depth")),
+            maxDepth=depth(p.get("max_depth", MAX_DEPTH)),
             featureSubsetStrategy="sqrt",
             bootstrap=bootstrap,
             seed=size.seed,
@@ -99,7 +102,7 @@ def _online(kind: str):
 # The tuned parameters and their candidates. The strength of the L2 term of the
 # multi-layer perceptron is missing, as the Spark stage has no such parameter.
 _STRENGTH = [0.001, 0.01, 0.1, 1.0, 10.0]
-_DEPTHS = [1, 10, 50, 200, 500, None]
+_DEPTHS = [1, 10, MAX_DEPTH]  # 50, 200, 500 and no limit cannot be built
 _TREES = [10, 100, 500, 1000]
 
 MODELS: dict[str, ModelSpec] = {
@@ -137,15 +140,8 @@ def model_str(name: str, params: dict | None = None) -> str:
 
 
 def candidates(grid: dict[str, list]) -> list[dict]:
-    """All combinations; tree depths that Spark builds alike are one candidate, the first."""
-    found, seen = [], set()
-    for values in product(*grid.values()):
-        params = dict(zip(grid, values))
-        same = tuple((k, depth(v) if k == "max_depth" else v) for k, v in params.items())
-        if same not in seen:
-            seen.add(same)
-            found.append(params)
-    return found
+    """All combinations of the values of a grid."""
+    return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
 class NamedClassifier(Estimator, ClassifierParams, DefaultParamsReadable, DefaultParamsWritable):

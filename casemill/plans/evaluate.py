@@ -277,14 +277,7 @@ class Evaluator:
 
     def sweep(self, wanted: Sequence[Candidate], store: ResultStore | None = None) -> DataFrame:
         """All candidates; with a store, finished ones are read back instead of fitted again."""
-        if store is None:
-            return self.evaluate(wanted)
-        finished = store.finished("train_and_evaluate")
-        self.evaluate(
-            [c for c in wanted if c.seq not in finished],
-            done=lambda rows: store.append("train_and_evaluate", rows),
-        )
-        return store.read("train_and_evaluate")
+        return self._stored("train_and_evaluate", wanted, store)
 
     def grid_search(
         self, best: DataFrame, grids: dict[str, dict[str, list]] | None = None, store: ResultStore | None = None
@@ -301,14 +294,26 @@ class Evaluator:
                 layout = layout_of(rows[name])
                 for params in candidates(grid):
                     wanted.append(Candidate(len(wanted), name, params, layout))
+        return self._stored("grid_search", wanted, store)
+
+    def _stored(self, table: str, wanted: Sequence[Candidate], store: ResultStore | None) -> DataFrame:
+        """The rows of exactly the wanted candidates; those that the store has are not fitted again.
+
+        A stored row belongs to a candidate by its configuration, not by its number, so other
+        lists of options under the same run are neither skipped nor mixed up.
+        """
         if store is None:
             return self.evaluate(wanted)
-        finished = store.finished("grid_search")
-        self.evaluate(
-            [c for c in wanted if c.seq not in finished],
-            done=lambda found: store.append("grid_search", found),
-        )
-        return store.read("grid_search")
+        known = {configuration(r["model_class"], params_of(r), layout_of(r)) for r in store.read(table).collect()}
+        missing = [c for c in wanted if configuration(c.model, c.params, c.layout) not in known]
+        self.evaluate(missing, done=lambda rows: store.append(table, rows))
+        numbers = {configuration(c.model, c.params, c.layout): c.seq for c in wanted}
+        found = {}  # a row per configuration
+        for r in store.read(table).collect():
+            seq = numbers.get(configuration(r["model_class"], params_of(r), layout_of(r)))
+            if seq is not None:
+                found[seq] = (seq, *tuple(r)[1:])
+        return self.spark.createDataFrame([found[s] for s in sorted(found)], RESULT_SCHEMA)
 
     def best_predictor(self, best: DataFrame, path: str | None = None) -> PipelineModel:
         """The pipeline with the highest test score, with its tuned parameters, fitted on all rows."""
@@ -346,6 +351,11 @@ class Evaluator:
         )
 
 
+def configuration(model: str, params: dict, layout: Layout) -> str:
+    """A text that names a model with its parameters and layout."""
+    return json.dumps([model, params, list(layout)], sort_keys=True)
+
+
 def layout_of(row) -> Layout:
     return Layout(
         row["dim_reduction_algorithm"], row["n_dimensions"], row["count_evidence"], row["include_absent_evidence"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,6 +20,7 @@ from casemill.schema import KEY
 from casemill.session import write_through
 
 ROUND = 6
+FOLDS = 5
 
 
 def scaled_cases(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,28 +132,34 @@ def folded_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predictions(spark, sf, name: str, params: dict | None = None) -> DataFrame:
-    """Predictions for fold 0 of a model fitted on the other folds."""
+    """Predictions for every row by the model fitted on the folds without it."""
     folded = write_through(folded_vectors(spark, sf))
     stage = NamedClassifier(name=name, params_=params or {}, seed=31415)
-    model = stage.fit(folded.filter(f"{FOLD} <> 0"))
-    return model.transform(folded.filter(f"{FOLD} = 0")).select(
-        F.col(KEY).alias("vec_id"),
-        F.col("label").cast("int").alias("label"),
-        F.col("prediction").cast("int").alias("prediction"),
-    )
+    parts = []
+    for fold in range(FOLDS):
+        model = stage.fit(folded.filter(F.col(FOLD) != fold))
+        parts.append(
+            model.transform(folded.filter(F.col(FOLD) == fold)).select(
+                F.col(KEY).alias("vec_id"),
+                F.col(FOLD),
+                F.col("label").cast("int").alias("label"),
+                F.col("prediction").cast("int").alias("prediction"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 CLASSIFIER_QUERIES = {
     "majority_predict": ("DummyClassifier", {}),
     "knn_predict": ("KNeighborsClassifier", {"n_neighbors": 5}),
-    "decision_tree": ("DecisionTreeClassifier", {"max_depth": 10}),
+    "decision_tree": ("DecisionTreeClassifier", {}),
     "logistic_regression": ("LogisticRegression", {}),
     "linear_svc": ("LinearSVC", {}),
     "kernel_svc": ("SVC", {}),
-    "mlp": ("MLPClassifier", {"hidden_layer_sizes": (50,)}),
+    "mlp": ("MLPClassifier", {}),
     "linear_discriminant": ("LinearDiscriminantAnalysis", {}),
-    "random_forest": ("RandomForestClassifier", {"max_depth": 10, "n_estimators": 50}),
-    "extra_trees": ("ExtraTreesClassifier", {"max_depth": 10, "n_estimators": 50}),
+    "random_forest": ("RandomForestClassifier", {}),
+    "extra_trees": ("ExtraTreesClassifier", {}),
     "passive_aggressive": ("PassiveAggressiveClassifier", {"C": 0.1}),
     "perceptron": ("Perceptron", {"penalty": "l2", "alpha": 0.0001}),
     "gradient_boosting": ("GradientBoostingClassifier", {"n_estimators": 5, "max_depth": 3}),

@@ -16,6 +16,7 @@ from casemill.operators.range_lookup import (
 )
 from casemill.operators.splits import holdout_split
 from casemill.schema import KEY, TARGET
+from casemill.session import write_through
 from casemill.sources.cases import read_cases, read_chapters, require_rows
 
 FEATURES = ["sex", "age_in_months", "evidence_present", "evidence_absent"]
@@ -62,7 +63,9 @@ def case_table(
     )
     if large is None:
         return table
-    joined = blocks_of_codes_joined(table, KEY, "_codes", large, category_only, "_blocks")
+    # Rows with the same case id are different rows.
+    numbered = write_through(table.withColumn("_row", F.monotonically_increasing_id()))
+    joined = blocks_of_codes_joined(numbered, "_row", "_codes", large, category_only, "_blocks").drop("_row")
     blocks = F.col("_blocks")
     if strict:
         failure = F.raise_error(F.lit("a code has no block")).cast("array<string>")

@@ -37,7 +37,7 @@ def nested_record_scan(spark, sf):
     """Cases written as JSON records, parsed with the raw schema and flattened."""
     item = lambda x: F.struct(x.alias("id"))
     coded = tc.codes(spark, sf).distinct().groupBy(KEY).agg(
-        F.array_sort(F.collect_set(F.substring("code", 1, 3))).alias("codes")
+        F.array_sort(F.collect_set("code")).alias("codes")
     )
     people = tc.people(spark, sf)
     nested = tc.nested_cases(spark, sf).select(KEY, "evidence_present", "evidence_absent")

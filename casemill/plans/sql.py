@@ -145,15 +145,9 @@ SQL = {
     "case_features": f"""WITH {CASES}
 SELECT case_id, sex, age_in_months, {_RENDERED}, present_evidence_count, absent_evidence_count
 FROM aged LEFT JOIN lists USING (case_id) JOIN case_counts USING (case_id)""",
-    "nested_record_scan": f"""WITH {CASES},
-short AS (SELECT DISTINCT case_id, substr(code, 1, 3) AS code FROM codes),
-hit AS (
-  SELECT DISTINCT case_id, h.block FROM short s LEFT JOIN chapters h ON s.code >= h.lo AND s.code <= h.hi),
-short_label AS (
-  SELECT case_id, '[' || string_agg(coalesce('''' || block || '''', 'None'), ', ' ORDER BY block NULLS LAST) || ']'
-    AS label FROM hit GROUP BY case_id)
-SELECT case_id, sex, age_in_months, {_RENDERED}, coalesce(label, '[]') AS expected_condition_icd10_blocks
-FROM aged LEFT JOIN lists USING (case_id) LEFT JOIN short_label USING (case_id)""",
+    "nested_record_scan": f"""WITH {CASES}
+SELECT case_id, sex, age_in_months, {_RENDERED}, expected_condition_icd10_blocks
+FROM aged LEFT JOIN lists USING (case_id) JOIN targets USING (case_id)""",
     "code_range_lookup": f"WITH {CASES} SELECT case_id, code, block FROM codes JOIN matched USING (code)",
     "wide_range_lookup": """WITH bands AS (
   SELECT p_partkey AS pos, substr(p_name, 1, 2) || lpad(CAST(p_size AS VARCHAR), 2, '0') AS lo,
@@ -285,23 +279,23 @@ centred AS (SELECT vec_id, x - avg(x) OVER (PARTITION BY i) AS x FROM cells)
 SELECT vec_id, round(sum(x * x), 6) AS norm2 FROM centred GROUP BY vec_id""",
     "svd_row_norms": """SELECT vec_id, round(sum(x * x), 6) AS norm2 FROM (
   SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY vec_id""",
-    "majority_predict": f"""WITH {VECTOR_FOLDS}
-SELECT case_id AS vec_id, label, (
-  SELECT label FROM folded WHERE fold <> 0 GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) AS prediction
-FROM folded WHERE fold = 0""",
+    "majority_predict": f"""WITH {VECTOR_FOLDS},
+tally AS (
+  SELECT i AS fold, label, row_number() OVER (PARTITION BY i ORDER BY count(*) DESC, label) AS r
+  FROM folded, (VALUES (0), (1), (2), (3), (4)) k(i) WHERE fold <> i GROUP BY i, label)
+SELECT f.case_id AS vec_id, f.fold, f.label, t.label AS prediction FROM folded f JOIN tally t ON f.fold = t.fold AND t.r = 1""",
     "knn_predict": f"""WITH {VECTOR_FOLDS},
 pairs AS (
-  SELECT q.case_id AS vec_id, q.label AS own, t.label AS label,
+  SELECT q.case_id AS vec_id, q.fold AS fold, q.label AS own, t.label AS label,
          row_number() OVER (PARTITION BY q.case_id ORDER BY
            list_distance(CAST(qe.embedding AS DOUBLE[]), CAST(te.embedding AS DOUBLE[])), t.case_id) AS r
   FROM folded q JOIN embeddings qe ON q.case_id = qe.vec_id,
        folded t JOIN embeddings te ON t.case_id = te.vec_id
-  WHERE q.fold = 0 AND t.fold <> 0),
-votes AS (SELECT vec_id, own, label, count(*) AS n FROM pairs WHERE r <= 5 GROUP BY vec_id, own, label)
-SELECT vec_id, own AS label, label AS prediction FROM (
+  WHERE q.fold <> t.fold),
+votes AS (SELECT vec_id, fold, own, label, count(*) AS n FROM pairs WHERE r <= 5 GROUP BY vec_id, fold, own, label)
+SELECT vec_id, fold, own AS label, label AS prediction FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS r FROM votes) WHERE r = 1""",
-    "majority_sweep": f"""WITH {CASES},
-src AS (SELECT case_id, coalesce(min(block), 'None') AS label FROM case_block GROUP BY case_id),{_FOLDS},
+    "majority_sweep": f"""WITH {CASE_FOLDS},
 per_label AS (
   SELECT i AS fold, label, count(*) FILTER (WHERE fold <> i) AS train, count(*) FILTER (WHERE fold = i) AS test
   FROM folded, (VALUES (0), (1), (2), (3), (4)) k(i) GROUP BY i, label),

@@ -35,9 +35,6 @@ class ResultStore:
                 raise
             return self.spark.createDataFrame([], RESULT_SCHEMA)
 
-    def finished(self, table: str) -> set[int]:
-        return {r["seq"] for r in self.read(table).select("seq").collect()}
-
     def write_text(self, table: str, rows: DataFrame) -> bool:
         """The table as CSV with a header; an empty table writes nothing and gives False."""
         if rows.isEmpty():

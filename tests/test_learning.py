@@ -190,10 +190,10 @@ def test_linear_margin_reaches_the_minimum(spark):
         assert min(loss(w + step * v, c) for v in random.normal(size=(200, 7)) for step in (1e-1, 1e-2)) > base - 1e-6
 
 
-@pytest.mark.parametrize("kind, rows", [("perceptron", 1000), ("perceptron", 25), ("passive_aggressive", 1000), ("passive_aggressive", 25)])
-def test_online_learners(spark, kind, rows):
+@pytest.mark.parametrize("kind, workers", [("perceptron", 1), ("perceptron", 6), ("passive_aggressive", 1), ("passive_aggressive", 6)])
+def test_online_learners(spark, kind, workers):
     x, y = blobs()
-    stage = OnlineLinear(kind=kind, partitionRows=rows, penalty="l2", alpha=1e-5, seed=3)
+    stage = OnlineLinear(kind=kind, workers=workers, penalty="l2", alpha=1e-5, seed=3)
     model = stage.fit(frame(spark, x, y))
     scored = model.transform(frame(spark, x, y)).select((F.col("label") == F.col("prediction")).cast("int").alias("ok"))
     assert scored.agg(F.avg("ok")).first()[0] > 0.9
@@ -233,10 +233,27 @@ def test_a_class_without_rows_is_never_predicted(spark, name):
     assert {r[0] for r in model.transform(df).select("prediction").distinct().collect()} == {0.0, 2.0, 3.0}
 
 
+@pytest.mark.parametrize("numbers", [None, 0])
+def test_neighbors_with_repeated_keys(spark, monkeypatch, numbers):
+    """The broadcast form and the large one give the same answers for repeated and missing keys."""
+    if numbers is not None:
+        monkeypatch.setattr(nb, "BROADCAST_NUMBERS", numbers)
+    rows = [(1, [0.0], 0.0), (1, [10.0], 1.0), (None, [20.0], 2.0), (2, [30.0], 3.0)]
+    schema = f"{KEY} bigint, v array<double>, label double"
+    df = spark.createDataFrame(rows, schema).select(KEY, array_to_vector("v").alias("features"), "label")
+    queries = spark.createDataFrame([(7, [1.0], 0.0), (7, [9.0], 1.0), (None, [21.0], 2.0), (8, [29.0], 3.0)], schema)
+    model = nb.KNeighbors(k=1).fit(df)
+    found = model.transform(queries.select(KEY, array_to_vector("v").alias("features"), "label")).collect()
+    assert sorted((r["label"], r["prediction"]) for r in found) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
 def test_candidate_lists():
     assert len(candidates(MODELS["RandomForestClassifier"].grid)) == 12
     assert len(candidates(MODELS["DecisionTreeClassifier"].grid)) == 3
-    assert depth(None) == depth(500) == 30
+    assert depth(30) == 30
+    for wrong in (None, 31, 500):
+        with pytest.raises(ValueError):
+            depth(wrong)
     full = ev.sweep_candidates(**ev.FULL_SWEEP)
     assert len(full) == 13 * (4 + 20 + 16 + 16) and [c.seq for c in full] == list(range(len(full)))
     assert not ev.is_valid(ev.Layout(None, 10)) and not ev.is_valid(ev.Layout("TruncatedSVD", None))
