@@ -5,7 +5,7 @@ vocabulary that spells it; its probability is the sum over all readings. The sum
 recursion in logarithms over the places of the word. Pieces are weighted by how often the vocabulary's own
 segmentation of the distinct training words uses them.
 
-* The ``frequent`` most common training words have a probability for each class of documents (their language, say).
+* The most common training words, up to ``frequent``, have a probability for each class of documents (their language, say).
   The class of a scored text is not looked at: its probability is summed over the classes.
 * All other words share one symbol of that unigram model. Given the symbol, a word has its discounted training count,
   and the discounted mass is spread over all strings by the lattice. So every string has a probability and all
@@ -31,7 +31,7 @@ from casemill.llm.common import make_rows, quoted, release, text_key, text_of
 from casemill.session import write_through
 
 #: Words that are broadcast with their counts, and classes that are told apart; others form one more class.
-FREQUENT, CLASSES = 300_000, 8
+FREQUENT, CLASSES = 200_000, 8
 PRIOR = 1000.0  # tokens of the general distribution that are added to each class
 _MARK = "▁"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -88,18 +88,18 @@ class Lattice:
         n = len(text)
         into: list[list[float]] = [[] for _ in range(n + 1)]
         into[0].append(0.0)
-        arcs, begins, spelled = self.arcs, self.begins, self.bytes
+        arcs, begins, spelled, log, exp = self.arcs.get, self.begins, self.bytes, math.log, math.exp
         for i in range(n):
             terms = into[i]
             if len(terms) == 1:
                 here = terms[0]
             else:
                 top = max(terms)
-                here = top + math.log(sum([math.exp(x - top) for x in terms]))
+                here = top + log(sum([exp(x - top) for x in terms]))
             into[i + 1].append(here + sum([spelled[b] for b in text[i].encode()]))
             for j in range(i + 1, n + 1):
                 part = text[i:j]
-                weight = arcs.get(part)
+                weight = arcs(part)
                 if weight is not None:
                     into[j].append(here + weight)
                 if part not in begins:
@@ -163,6 +163,18 @@ def _with_lattice(words: DataFrame, path: str, uses: dict[int, int], types: int)
     return make_rows(words.select("word", "n_train"), "word string, n_train bigint, spelled double", make)
 
 
+def _frequent(words: DataFrame, most: int) -> DataFrame:
+    """The training words above a count that at most ``most`` words reach; counts are told apart to an eighth power of two."""
+    counted = words.filter("n_train > 0").withColumn("level", F.floor(F.log2("n_train") * 8))
+    chosen, lowest = 0, None
+    for level, n in sorted(map(tuple, counted.groupBy("level").count().collect()), reverse=True):
+        chosen += n
+        if chosen > most:
+            break
+        lowest = level
+    return counted.filter(F.lit(False) if lowest is None else F.col("level") >= lowest)
+
+
 def score(
     docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", classes: str | None = "lang", frequent: int = FREQUENT
 ) -> DataFrame:
@@ -202,13 +214,17 @@ def score(
     uses = _piece_uses(words.filter("n_train > 0"), path)
     spelled = write_through(_with_lattice(words, path, uses, types))
 
-    top = spelled.filter("n_train > 0").orderBy(F.desc("n_train"), "word").limit(frequent).toPandas()
-    where = {w.encode(): i for i, w in enumerate(top["word"])}
-    counts = np.zeros((len(top) + 2, len(common) + 1))  # then the end, then the symbol of all other words
-    if len(top):
-        names = spark.createDataFrame(top[["word"]].assign(at=range(len(top))))
-        some = by_class.filter("n_train > 0").join(F.broadcast(names), "word").select("at", "class", "n_train").toPandas()
-        counts[some["at"], some["class"]] = some["n_train"]
+    top = _frequent(spelled, frequent)
+    share = lambda c: F.sum(F.when(F.col("class") == c, F.col("n_train")).otherwise(0)).cast("double").alias(f"c{c}")
+    # At most ``frequent`` rows are broadcast and gathered.
+    listed = by_class.join(F.broadcast(top.select("word", "spelled")), "word").groupBy("word").agg(
+        F.first("spelled").alias("spelled"), *[share(c) for c in range(len(common) + 1)]
+    ).toArrow()
+    n_top = listed.num_rows
+    where = {w.encode(): i for i, w in enumerate(listed["word"].to_pylist())}
+    counts = np.zeros((n_top + 2, len(common) + 1))  # then the end, then the symbol of all other words
+    for c in range(len(common) + 1):
+        counts[:n_top, c] = listed[f"c{c}"].to_numpy()
     for c, n in texts_by_class.items():
         counts[-2, c] = n
     sums = {r["class"]: r["n"] for r in by_class.groupBy("class").agg(F.sum("n_train").alias("n")).collect()}
@@ -216,13 +232,13 @@ def score(
         counts[-1, c] = n - counts[:-2, c].sum()
     once, twice = seen["once"] or 0, seen["twice"] or 0
     discount = once / (once + 2 * twice) if once else 0.5
-    rare_tokens, rare_types = counts[-1].sum(), types - len(top)
+    rare_tokens, rare_types = counts[-1].sum(), types - n_top
     spread = discount * rare_types / rare_tokens if rare_tokens else 1.0
-    general = counts.sum(1) + (np.arange(len(counts)) >= len(top))  # the end and the symbol are never impossible
+    general = counts.sum(1) + (np.arange(len(counts)) >= n_top)  # the end and the symbol are never impossible
     general /= general.sum()
     given = (counts + PRIOR * general[:, None]) / (counts.sum(0) + PRIOR)
     # A frequent word can also be spelled.
-    given[:-2] += given[-1] * spread * np.exp(top["spelled"].to_numpy(float))[:, None] if len(top) else 0
+    given[:-2] += given[-1] * spread * np.exp(listed["spelled"].to_numpy())[:, None]
     model = {
         "where": where,
         "log": np.log(given),
