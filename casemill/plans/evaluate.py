@@ -147,7 +147,8 @@ class Evaluator:
     Candidates with the same evidence options share the encoded features of a fold, and those
     with the same layout the reduced ones: each is computed once, persisted, used by all
     classifiers and released. Up to ``threads`` folds run at a time, so that the executors stay
-    busy during the many short jobs.
+    busy during the many short jobs. ``features`` names a ready-made vector column, which then
+    takes the place of the encoded cases in every layout.
     """
 
     def __init__(
@@ -159,7 +160,9 @@ class Evaluator:
         count_cols: Sequence[str] = (),
         threads: int = 5,
         seed: int = SEED,
+        features: str | None = None,
     ):
+        self.features = features
         self.cases, self.classes, self.folds, self.metric = cases, classes, folds, metric
         self.count_cols, self.threads, self.seed = list(count_cols), threads, seed
         self.spark: SparkSession = cases.sparkSession
@@ -167,6 +170,8 @@ class Evaluator:
     def _encoded(self, layout: Layout, fold: int, rows: Column | None) -> DataFrame:
         """Encoded features of all used rows, fitted on the training rows of the fold."""
         used = self.cases if rows is None else self.cases.filter((F.col(FOLD) == fold) | rows)
+        if self.features:
+            return used.select(KEY, "label", FOLD, F.col(self.features).alias("features")).persist(STORAGE)
         plain = layout._replace(reducer=None, n_dimensions=None)
         fitted = preprocessing(plain, self.count_cols).fit(used.filter(F.col(FOLD) != fold))
         return fitted.transform(used).select(KEY, "label", FOLD, "features").persist(STORAGE)
@@ -320,10 +325,14 @@ class Evaluator:
         row = rk.best_per_group(best, None, "mean_test_score").first()
         if row is None:
             raise ValueError("no evaluated candidate")
-        pipeline = full_pipeline(
-            row["model_class"], params_of(row), layout_of(row), self.classes, self.count_cols, self.seed
-        )
-        model = pipeline.fit(self.cases)
+        layout = layout_of(row)
+        pipeline = full_pipeline(row["model_class"], params_of(row), layout, self.classes, self.count_cols, self.seed)
+        cases = self.cases
+        if self.features:
+            cases = cases.withColumn("features", F.col(self.features))
+            reducer = [REDUCERS[layout.reducer](layout.n_dimensions)] if layout.reducer else []
+            pipeline = Pipeline(stages=[*reducer, pipeline.getStages()[-1]])
+        model = pipeline.fit(cases)
         if path is not None:
             save_model(model, path)
         return model

@@ -81,6 +81,46 @@ VECTOR_FOLDS = f"""
 src AS (SELECT vec_id AS case_id, label FROM embeddings),{_FOLDS}"""
 
 
+# Distances of all pairs of vectors; scores of the majority and of k neighbours in every fold.
+_DISTANCES = f"""{VECTOR_FOLDS},
+dist AS (
+  SELECT a.case_id AS q, a.label AS ql, a.fold AS qf, b.case_id AS t, b.label AS tl, b.fold AS tf,
+    list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d
+  FROM folded a JOIN embeddings x ON a.case_id = x.vec_id, folded b JOIN embeddings y ON b.case_id = y.vec_id)"""
+
+_SEARCH = f"""{_DISTANCES},
+ranked_pairs AS (
+  SELECT i AS fold, q, ql, qf, tl, row_number() OVER (PARTITION BY i, q ORDER BY d, t) AS r
+  FROM dist, (VALUES (0), (1), (2), (3), (4)) f(i) WHERE tf <> i),
+votes AS (
+  SELECT s, k, fold, q, ql, qf, tl, count(*) AS n
+  FROM ranked_pairs, (VALUES (0, 2), (1, 5), (2, 10), (3, 20), (4, 50)) g(s, k) WHERE r <= k GROUP BY s, k, fold, q, ql, qf, tl),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY k, fold, q ORDER BY n DESC, tl) AS r FROM votes),
+knn_scores AS (
+  SELECT s, k, fold, avg((ql = tl)::INTEGER) FILTER (WHERE qf <> fold) AS train,
+    avg((ql = tl)::INTEGER) FILTER (WHERE qf = fold) AS test
+  FROM chosen WHERE r = 1 GROUP BY s, k, fold),
+grid AS (
+  SELECT CAST(s AS BIGINT) AS seq, k, '{{"n_neighbors":"' || k || '"}}' AS params,
+    round(avg(train), 6) AS mean_train_score, round(avg(test), 6) AS mean_test_score
+  FROM knn_scores GROUP BY s, k),
+best AS (SELECT * FROM grid ORDER BY mean_test_score DESC, seq LIMIT 1),
+per_label AS (
+  SELECT i AS fold, label, count(*) FILTER (WHERE fold <> i) AS train, count(*) FILTER (WHERE fold = i) AS test
+  FROM folded, (VALUES (0), (1), (2), (3), (4)) f(i) GROUP BY i, label),
+majority AS (
+  SELECT *, row_number() OVER (PARTITION BY fold ORDER BY train DESC, label) AS r,
+    sum(train) OVER (PARTITION BY fold) AS all_train, sum(test) OVER (PARTITION BY fold) AS all_test
+  FROM per_label),
+dummy_scores AS (SELECT fold, train / all_train AS train, test / all_test AS test FROM majority WHERE r = 1)"""
+
+_RESULT = (
+    "'{model}' AS model_class, '{model}()' AS model_str, CAST(NULL AS VARCHAR) AS dim_reduction_algorithm, "
+    "CAST(NULL AS INTEGER) AS n_dimensions, FALSE AS count_evidence, TRUE AS include_absent_evidence"
+)
+_MEANS = "round(avg(train), 6) AS mean_train_score, round(avg(test), 6) AS mean_test_score"
+
+
 def _fd(source: str, key: str, column: str) -> str:
     return (
         f"SELECT '{source}' AS source, '{key}' AS key, '{column}' AS \"column\", "
@@ -279,6 +319,42 @@ centred AS (SELECT vec_id, x - avg(x) OVER (PARTITION BY i) AS x FROM cells)
 SELECT vec_id, round(sum(x * x), 6) AS norm2 FROM centred GROUP BY vec_id""",
     "svd_row_norms": """SELECT vec_id, round(sum(x * x), 6) AS norm2 FROM (
   SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY vec_id""",
+    "vector_sweep": f"""WITH {_SEARCH}
+SELECT CAST(0 AS BIGINT) AS seq, {_RESULT.format(model='DummyClassifier')}, '{{}}' AS params, {_MEANS} FROM dummy_scores
+UNION ALL
+SELECT CAST(1 AS BIGINT), {_RESULT.format(model='KNeighborsClassifier')}, '{{}}', {_MEANS} FROM knn_scores WHERE k = 5""",
+    "vector_grid": f"""WITH {_SEARCH}
+SELECT seq, {_RESULT.format(model='KNeighborsClassifier')}, params, mean_train_score, mean_test_score FROM grid""",
+    "vector_best_parameters": f"""WITH {_SEARCH}
+SELECT CAST(0 AS BIGINT) AS seq, {_RESULT.format(model='DummyClassifier')}, '{{}}' AS params, {_MEANS} FROM dummy_scores
+UNION ALL
+SELECT CAST(1 AS BIGINT), {_RESULT.format(model='KNeighborsClassifier')}, params, mean_train_score, mean_test_score FROM best""",
+    "vector_score_by_parameter": f"""WITH {_SEARCH}
+SELECT CAST(k AS VARCHAR) AS value, mean_train_score AS mean_train_score_mean, 0.0::DOUBLE AS mean_train_score_std,
+  mean_test_score AS mean_test_score_mean, 0.0::DOUBLE AS mean_test_score_std, CAST(k AS DOUBLE) AS numeric_value FROM grid""",
+    "vector_best_predictor": f"""WITH {_SEARCH},
+near AS (SELECT q, ql, tl, row_number() OVER (PARTITION BY q ORDER BY d, t) AS r FROM dist),
+ballot AS (SELECT q, ql, tl, count(*) AS n FROM near WHERE r <= (SELECT k FROM best) GROUP BY q, ql, tl),
+elected AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, tl) AS r FROM ballot)
+SELECT CAST(ql AS INTEGER) AS label, CAST(tl AS INTEGER) AS prediction, count(*) AS n FROM elected WHERE r = 1 GROUP BY ql, tl""",
+    "vector_learning_curve": f"""WITH {_DISTANCES},
+sizes AS (
+  SELECT CAST(f AS DOUBLE) AS fraction, CAST(floor(CAST(f AS DOUBLE) * (SELECT count(*) FROM folded WHERE fold <> 0)) AS BIGINT) AS n_rows
+  FROM (VALUES (0.85), (0.9), (0.95), (1.0)) v(f)),
+train AS (
+  SELECT i AS fold, case_id, row_number() OVER (PARTITION BY i ORDER BY case_id) AS r
+  FROM folded, (VALUES (0), (1), (2), (3), (4)) f(i) WHERE fold <> i),
+cuts AS (SELECT fold, fraction, n_rows, case_id AS cut FROM train JOIN sizes ON r = n_rows),
+near AS (
+  SELECT c.fold, fraction, n_rows, q, ql, qf, tl,
+    row_number() OVER (PARTITION BY c.fold, fraction, q ORDER BY d, t) AS r
+  FROM cuts c JOIN dist ON tf <> c.fold AND t <= c.cut AND (qf = c.fold OR q <= c.cut)),
+ballot AS (
+  SELECT fold, fraction, n_rows, q, ql, qf, tl, count(*) AS n FROM near WHERE r <= 5 GROUP BY fold, fraction, n_rows, q, ql, qf, tl),
+elected AS (SELECT *, row_number() OVER (PARTITION BY fold, fraction, q ORDER BY n DESC, tl) AS r FROM ballot)
+SELECT fraction, n_rows, fold, round(avg((ql = tl)::INTEGER) FILTER (WHERE qf <> fold), 6) AS train_score,
+  round(avg((ql = tl)::INTEGER) FILTER (WHERE qf = fold), 6) AS test_score
+FROM elected WHERE r = 1 GROUP BY fraction, n_rows, fold""",
     "majority_predict": f"""WITH {VECTOR_FOLDS},
 tally AS (
   SELECT i AS fold, label, row_number() OVER (PARTITION BY i ORDER BY count(*) DESC, label) AS r
