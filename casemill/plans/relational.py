@@ -33,8 +33,8 @@ def case_features(spark, sf):
     )
 
 
-def nested_record_scan(spark, sf):
-    """Cases written as JSON records, parsed with the raw schema and flattened."""
+def raw_records(spark: SparkSession, sf: str) -> DataFrame:
+    """``value``: every case as a raw JSON record, with whole codes."""
     item = lambda x: F.struct(x.alias("id"))
     coded = tc.codes(spark, sf).distinct().groupBy(KEY).agg(
         F.array_sort(F.collect_set("code")).alias("codes")
@@ -54,12 +54,12 @@ def nested_record_scan(spark, sf):
             ).alias("api_payload"),
         )
     )
-    raw = (
-        people.join(nested, KEY)
-        .join(coded, KEY, "left")
-        .select(F.from_json(record, CASE_SCHEMA).alias("r"))
-        .select("r.*")
-    )
+    return people.join(nested, KEY).join(coded, KEY, "left").select(record.alias("value"))
+
+
+def nested_record_scan(spark, sf):
+    """Cases as JSON records, parsed with the raw schema and flattened."""
+    raw = raw_records(spark, sf).select(F.from_json("value", CASE_SCHEMA).alias("r")).select("r.*")
     return case_table(raw).select(
         KEY,
         "sex",

@@ -355,6 +355,13 @@ elected AS (SELECT *, row_number() OVER (PARTITION BY fold, fraction, q ORDER BY
 SELECT fraction, n_rows, fold, round(avg((ql = tl)::INTEGER) FILTER (WHERE qf <> fold), 6) AS train_score,
   round(avg((ql = tl)::INTEGER) FILTER (WHERE qf = fold), 6) AS test_score
 FROM elected WHERE r = 1 GROUP BY fraction, n_rows, fold""",
+    "results_as_text": f"""WITH {_SEARCH}
+SELECT seq, 'KNeighborsClassifier' AS model_class, CAST(k AS INTEGER) AS n_neighbors, mean_train_score, mean_test_score FROM grid""",
+    "saved_model_predictions": f"""WITH {_DISTANCES},
+near AS (SELECT q, ql, tl, row_number() OVER (PARTITION BY q ORDER BY d, t) AS r FROM dist),
+ballot AS (SELECT q, ql, tl, count(*) AS n FROM near WHERE r <= 5 GROUP BY q, ql, tl),
+elected AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, tl) AS r FROM ballot)
+SELECT q AS vec_id, CAST(ql AS INTEGER) AS label, CAST(tl AS INTEGER) AS prediction FROM elected WHERE r = 1""",
     "majority_predict": f"""WITH {VECTOR_FOLDS},
 tally AS (
   SELECT i AS fold, label, row_number() OVER (PARTITION BY i ORDER BY count(*) DESC, label) AS r
@@ -394,3 +401,12 @@ SELECT src, dst, round(min(w), 6) AS w FROM (
 SELECT key, neighbor, round(w, 6) AS distance FROM (
   SELECT *, row_number() OVER (PARTITION BY key ORDER BY w, neighbor) AS r FROM pairs) WHERE r <= 5""",
 }
+
+# What is read back has the results of the plain queries.
+SQL |= {
+    "json_lines_cases": SQL["nested_record_scan"],
+    "json_array_cases": SQL["nested_record_scan"],
+    "parquet_cases": SQL["nested_record_scan"],
+    "chapter_file_blocks": SQL["code_range_lookup"],
+    "resumed_sweep": SQL["vector_sweep"],
+}

@@ -62,7 +62,7 @@ def write_through(df: DataFrame, *measures: Column):
     result is ``(table, {alias: value})``.
     """
     spark = df.sparkSession
-    path = f"{_run_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     seen = Observation()
     (df.observe(seen, *measures) if measures else df).write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
@@ -70,7 +70,7 @@ def write_through(df: DataFrame, *measures: Column):
     return (table, seen.get) if measures else table
 
 
-def _run_folder(spark: SparkSession) -> str:
+def run_folder(spark: SparkSession) -> str:
     """The part of the shared folder with the tables of this application; it goes when the session ends in order."""
     folder = f"{shared_folder(spark)}/casemill-{spark.sparkContext.applicationId}"
     if folder not in _folders:
@@ -86,7 +86,7 @@ def clean_up(spark: SparkSession, folder: str | None = None) -> None:
     """Delete all tables that ``write_through`` made for this session. Call it before ``spark.stop()``."""
     if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
         return
-    target = spark._jvm.org.apache.hadoop.fs.Path(folder or _run_folder(spark))
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder or run_folder(spark))
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 

@@ -39,7 +39,7 @@ class ResultStore:
         """The table as CSV with a header; an empty table writes nothing and gives False."""
         if rows.isEmpty():
             return False
-        text_form(rows).write.mode("overwrite").option("header", True).csv(f"{self.path(table)}_csv")
+        text_form(rows).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{self.path(table)}_csv")
         return True
 
 
