@@ -125,3 +125,26 @@ def summed(blocks: DataFrame, partial: Callable, size: int) -> np.ndarray:
     total = np.zeros(size)
     total[table["place"].to_numpy()] = table["value"].to_numpy()
     return total
+
+
+def vector_entries(df: DataFrame, key: str, column: str) -> DataFrame:
+    """``key, place, value`` of the non-zero entries; a sparse vector is never made dense."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            vectors = batch.column(1)
+            values = vectors.field("values")
+            lengths = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+            flat = values.flatten().to_numpy(zero_copy_only=False)
+            places = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            sparse = np.repeat(vectors.field("type").to_numpy(zero_copy_only=False) == 0, lengths)
+            places[sparse] = vectors.field("indices").flatten().to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(len(lengths)), lengths)
+            kept = flat != 0
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows[kept])), pa.array(places[kept].astype(np.int32)), pa.array(flat[kept])],
+                names=[key, "place", "value"],
+            )
+
+    return df.select(key, column).mapInArrow(run, f"`{key}` {kind}, place int, value double")

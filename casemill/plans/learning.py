@@ -15,6 +15,7 @@ from casemill.operators.neighbors import knn_join
 from casemill.operators.reduce import CenteredPCA, TruncatedSVD
 from casemill.operators.registry import NamedClassifier
 from casemill.operators.splits import FOLD, stratified_folds
+from casemill.operators.vectors import vector_entries
 from casemill.plans import table_cases as tc
 from casemill.schema import KEY
 from casemill.session import write_through
@@ -45,9 +46,7 @@ def _assembled(spark, sf, count: bool, absent: bool) -> DataFrame:
 def _entries(df: DataFrame) -> DataFrame:
     """Non-zero vector entries as ``case_id, place, value``."""
     return (
-        df.select(KEY, F.posexplode(vector_to_array("features")).alias("place", "value"))
-        .withColumn("value", F.round("value", ROUND))
-        .filter("value <> 0")
+        vector_entries(df, KEY, "features").withColumn("value", F.round("value", ROUND)).filter("value <> 0")
     )
 
 
