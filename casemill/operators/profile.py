@@ -116,9 +116,13 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if _is_number(f)]
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns, all from one aggregate."""
-    names = list(columns or [f.name for f in df.schema.fields if _is_number(f)])
+    names = list(columns or numeric_columns(df))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     found = df.agg(*[F.corr(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(

@@ -180,19 +180,13 @@ def fd_check(spark, sf):
     return pr.union_all(found).select("source", "key", "column", "derivable")
 
 
-PROFILED = {
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
-    "part": ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
-    "nation": ["n_nationkey", "n_name", "n_regionkey"],
-    "events": ["user_id", "event_type", "value", "props"],
-}
+PROFILED = ["customer", "part", "nation", "region", "supplier", "events"]
 
 
 def profile_columns(spark, sf):
     parts = []
-    for name, columns in PROFILED.items():
-        table = tc.read_table(spark, sf, name).select(*columns)
-        parts.append(pr.profile(table, minimal=True).withColumn("source", F.lit(name)))
+    for name in PROFILED:
+        parts.append(pr.profile(tc.read_table(spark, sf, name), minimal=True).withColumn("source", F.lit(name)))
     numbers = [F.round(c, ROUND).alias(c) for c in ("distinct_share", "min", "max", "mean", "std")]
     top = F.when(F.col("min").isNull(), F.col("top_value")).alias("top_value")
     return pr.union_all(parts).select(
@@ -218,18 +212,16 @@ def profile_encoded(spark, sf):
 
 
 def duplicate_rows(spark, sf):
-    table = tc.read_table(spark, sf, "part").select("p_name", "p_brand", "p_type")
-    return pr.duplicate_rows(table)
+    return pr.duplicate_rows(tc.read_table(spark, sf, "lineitem"))
 
 
 def correlations(spark, sf):
-    table = tc.read_table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return pr.correlations(table).select("left", "right", F.round("corr", ROUND).alias("corr"))
+    return pr.correlations(tc.read_table(spark, sf, "lineitem")).select("left", "right", F.round("corr", ROUND).alias("corr"))
 
 
 def histogram(spark, sf):
     table = tc.read_table(spark, sf, "lineitem")
-    return pr.histogram(table, ["l_quantity", "l_extendedprice"], bins=10)
+    return pr.histogram(table, pr.numeric_columns(table), bins=10)
 
 
 def folded_cases(spark, sf):

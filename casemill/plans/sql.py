@@ -142,11 +142,15 @@ _FD_CHECKS = [
 
 _PROFILED = {
     "customer": ["c_custkey*", "c_name", "c_nationkey*", "c_acctbal*", "c_mktsegment"],
-    "part": ["p_name", "p_brand", "p_type", "p_size*", "p_retailprice*"],
+    "part": ["p_partkey*", "p_name", "p_brand", "p_type", "p_size*", "p_retailprice*"],
     "nation": ["n_nationkey*", "n_name", "n_regionkey*"],
-    "events": ["user_id*", "event_type", "value*", "props"],
+    "region": ["r_regionkey*", "r_name"],
+    "supplier": ["s_suppkey*", "s_name", "s_nationkey*", "s_acctbal*"],
+    "events": ["event_id*", "ts", "user_id*", "event_type", "value*", "props"],
 }
 
+_LINE_NUMBERS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()
+
 
 def _profile(source: str, column: str) -> str:
     numeric = column.endswith("*")
@@ -160,7 +164,7 @@ def _profile(source: str, column: str) -> str:
         top = "CAST(NULL AS VARCHAR)"
     else:
         stats = "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std"
-        top = f"(SELECT v FROM {counts} ORDER BY n DESC, v LIMIT 1)"
+        top = f"(SELECT CAST(v AS VARCHAR) FROM {counts} ORDER BY n DESC, v LIMIT 1)"
     return (
         f"SELECT '{source}' AS source, '{c}' AS \"column\", count(*) AS n_rows, "
         f"count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_distinct, "
@@ -229,17 +233,18 @@ SELECT evidence_id, count(*) FILTER (WHERE value = 1) AS n_present, count(*) FIL
        round(sum(value) / (SELECT count(*) FROM people), 6) AS mean
 FROM ternary GROUP BY evidence_id""",
     "duplicate_rows": """SELECT CAST(sum(n - 1) AS BIGINT) AS n_duplicate_rows, count(*) FILTER (WHERE n > 1) AS n_repeated
-FROM (SELECT count(*) AS n FROM part GROUP BY p_name, p_brand, p_type)""",
+FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
+  l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)""",
     "correlations": " UNION ALL ".join(
         f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 6) AS corr FROM lineitem"
-        for i, a in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-        for b in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"][i + 1 :]
+        for i, a in enumerate(_LINE_NUMBERS)
+        for b in _LINE_NUMBERS[i + 1 :]
     ),
     "histogram": " UNION ALL ".join(
         f"""SELECT '{c}' AS "column",
   CAST(least(floor(({c} - lo) / (hi - lo) * 10), 9) AS INTEGER) AS bin, count(*) AS n
 FROM lineitem, (SELECT min({c}) AS lo, max({c}) AS hi FROM lineitem) GROUP BY 1, 2"""
-        for c in ("l_quantity", "l_extendedprice")
+        for c in _LINE_NUMBERS
     ),
     "stratified_folds": f"""WITH {CASE_FOLDS}
 SELECT case_id, label AS expected_condition_icd10_blocks, fold FROM folded""",
