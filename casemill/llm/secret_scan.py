@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casemill.llm.common import add_columns, quoted, without
+from casemill.llm.common import add_columns, quoted
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -165,25 +165,27 @@ def scan(docs: DataFrame, words_path: str, text: str = "text") -> DataFrame:
 
 
 def redact(docs: DataFrame, words_path: str, text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """``docs`` with the secrets of the text replaced by their kind, in the same columns; clean texts stay as they are.
+    """``docs`` with the secrets of the text replaced by their kind, in the same columns; clean rows stay as they are.
 
-    ``length`` names a column to bring up to date, if there is one. A null text stays null.
+    ``length`` names a column that gets the new length of a changed text, if there is one. A null text stays null.
     """
+    counted = length is not None and length in docs.columns
 
     def make():
         words = ranked_words(words_path)
 
         def work(batch: pa.RecordBatch) -> list:
             texts = [t.as_py() for t in batch.column(batch.schema.get_field_index(text))]
-            return [[t if t is None else redacted(t, find_spans(t, words)) for t in texts]]
+            made = [t if t is None else redacted(t, find_spans(t, words)) for t in texts]
+            if not counted:
+                return [made]
+            sizes = batch.column(batch.schema.get_field_index(length)).to_pylist()
+            return [made, [n if new == old else len(new) for n, old, new in zip(sizes, texts, made, strict=True)]]
 
         return work
 
-    plain = add_columns(docs, f"`{text}` string", make)
-    updated = {c: F.length(quoted(text)).cast(docs.schema[c].dataType) for c in docs.columns if c == length}
-    return plain.select(
-        *[F.when(quoted(text).isNull(), quoted(c)).otherwise(updated[c]).alias(c) if c in updated else quoted(c) for c in docs.columns]
-    )
+    fields = f"`{text}` string" + (f", `{length}` {docs.schema[length].dataType.simpleString()}" if counted else "")
+    return add_columns(docs, fields, make).select(*[quoted(c) for c in docs.columns])
 
 
 def spelled(spans: Column, kinds=KINDS) -> Column:

@@ -190,6 +190,8 @@ def test_redaction(odd, none, spark):
     assert rows[0]["text"] == 'x [assign]" y' and rows[0]["n_chars"] == 13
     assert (rows[1]["text"], rows[1]["n_chars"]) == ("clean text", 10)
     assert rows[2]["text"] == "pwd: [guess] end" and rows[3]["text"] is None
+    other = secret_scan.redact(docs.withColumn("n_chars", F.lit(-1).cast("long")), path)
+    assert {r["doc_id"]: r["n_chars"] for r in other.collect()} == {0: 13, 1: -1, 2: 16, 3: -1}
     assert secret_scan.redact(odd, path).columns == odd.columns and secret_scan.redact(odd, path).count() == odd.count()
     assert secret_scan.scan(odd, path).count() == odd.count() and secret_scan.scan(none, path).count() == 0
 
