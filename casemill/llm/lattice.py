@@ -5,14 +5,14 @@ vocabulary that spells it; its probability is the sum over all readings. The sum
 recursion in logarithms over the places of the word. Pieces are weighted by how often the vocabulary's own
 segmentation of the distinct training words uses them.
 
-* The most common training words, up to ``frequent``, have a probability for each class of documents (their language, say).
+* Words that are repeated in the training texts have a probability for each class of documents (their language, say).
   The class of a scored text is not looked at: its probability is summed over the classes.
-* All other words share one symbol of that unigram model. Given the symbol, a word has its discounted training count,
-  and the discounted mass is spread over all strings by the lattice. So every string has a probability and all
-  probabilities sum to one.
+* Words seen once and unseen words share one symbol of that unigram model, with the count of the former. Given the
+  symbol, a word seen once has its discounted count, and the discounted mass is spread over all strings by the lattice.
+  So every string has a probability and all probabilities sum to one.
 
-Counts are taken of all training texts. Only the frequent words, the pieces (both bounded by a parameter) and totals
-reach the driver; rare words are joined with their counts.
+Counts are taken of all training texts. Only the most common words, up to ``frequent``, the pieces (both bounded by a
+parameter) and totals reach the driver; all other words are joined with their counts, which changes no score.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ class Lattice:
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """``word, class, n, n_train``, added up within a batch only."""
+    """``word, class, n_train``, added up within a batch only; words of held-out texts have rows, too."""
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[list]:
@@ -124,13 +124,12 @@ def _counts(docs: DataFrame) -> DataFrame:
                     yield [
                         [w.decode() for w in names[at : at + _FLUSH]],
                         [kind] * len(some),
-                        some,
                         [0] * len(some) if out else some,
                     ]
 
         return work
 
-    return make_rows(docs.select("text", "class", "held_out"), "word string, class int, n bigint, n_train bigint", make)
+    return make_rows(docs.select("text", "class", "held_out"), "word string, class int, n_train bigint", make)
 
 
 def _piece_uses(words: DataFrame, path: str) -> dict[int, int]:
@@ -148,7 +147,7 @@ def _piece_uses(words: DataFrame, path: str) -> dict[int, int]:
 
 
 def _with_lattice(words: DataFrame, path: str, uses: dict[int, int], types: int) -> DataFrame:
-    """``word, n_train, spelled`` (the lattice's log probability)."""
+    """``words`` with ``spelled`` (the lattice's log probability); the word is the first column."""
     known = words.sparkSession.sparkContext.broadcast(uses)
 
     def make():
@@ -156,16 +155,17 @@ def _with_lattice(words: DataFrame, path: str, uses: dict[int, int], types: int)
 
         def work(batch: pa.RecordBatch) -> Iterator[list]:
             names = batch.column(0).to_pylist()
-            yield [names, batch.column(1), [lattice.log_probability(w) for w in names]]
+            yield [*batch.columns, [lattice.log_probability(w) for w in names]]
 
         return work
 
-    return make_rows(words.select("word", "n_train"), "word string, n_train bigint, spelled double", make)
+    counts = "".join(f"{c} bigint, " for c in words.columns[1:])
+    return make_rows(words, f"word string, {counts}spelled double", make)
 
 
 def _frequent(words: DataFrame, most: int) -> DataFrame:
-    """The training words above a count that at most ``most`` words reach; counts are told apart to an eighth power of two."""
-    counted = words.filter("n_train > 0").withColumn("level", F.floor(F.log2("n_train") * 8))
+    """The repeated training words above a count that at most ``most`` words reach; counts are told apart to an eighth power of two."""
+    counted = words.filter("n_train > 1").withColumn("level", F.floor(F.log2("n_train") * 8))
     chosen, lowest = 0, None
     for level, n in sorted(map(tuple, counted.groupBy("level").count().collect()), reverse=True):
         chosen += n
@@ -198,15 +198,17 @@ def score(
     texts_by_class = Counter({r["class"]: r["n"] for r in plain.filter(~F.col("held_out")).groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()})
     texts = sum(texts_by_class.values())
 
-    by_class = write_through(_counts(plain).groupBy("word", "class").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train")))
-    release(spark)
-    one = lambda n: F.sum((F.col("n_train") == n).cast("long"))
+    kinds = range(len(common) + 1)
+    share = lambda c: F.sum(F.when(F.col("class") == c, F.col("n_train")).otherwise(0)).alias(f"c{c}")
+    seen_times = lambda n: F.sum((F.col("n_train") == n).cast("long"))
     words, seen = write_through(
-        by_class.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train")),
+        _counts(plain).groupBy("word").agg(F.sum("n_train").alias("n_train"), *[share(c) for c in kinds]),
         F.sum("n_train").alias("tokens"),
         F.sum((F.col("n_train") > 0).cast("long")).alias("types"),
-        one(1).alias("once"),
-        one(2).alias("twice"),
+        seen_times(1).alias("once"),
+        seen_times(2).alias("twice"),
+        *[F.sum(f"c{c}").alias(f"tokens{c}") for c in kinds],
+        *[F.sum(F.when(F.col("n_train") == 1, F.col(f"c{c}")).otherwise(0)).alias(f"once{c}") for c in kinds],
     )
     release(spark)
     types = seen["types"] or 0
@@ -214,65 +216,67 @@ def score(
     uses = _piece_uses(words.filter("n_train > 0"), path)
     spelled = write_through(_with_lattice(words, path, uses, types))
 
-    top = _frequent(spelled, frequent)
-    share = lambda c: F.sum(F.when(F.col("class") == c, F.col("n_train")).otherwise(0)).cast("double").alias(f"c{c}")
     # At most ``frequent`` rows are broadcast and gathered.
-    listed = by_class.join(F.broadcast(top.select("word", "spelled")), "word").groupBy("word").agg(
-        F.first("spelled").alias("spelled"), *[share(c) for c in range(len(common) + 1)]
-    ).toArrow()
+    listed = _frequent(spelled, frequent).select("word", "spelled", *[f"c{c}" for c in kinds]).toArrow()
     n_top = listed.num_rows
     where = {w.encode(): i for i, w in enumerate(listed["word"].to_pylist())}
-    counts = np.zeros((n_top + 2, len(common) + 1))  # then the end, then the symbol of all other words
-    for c in range(len(common) + 1):
+    counts = np.zeros((n_top + 2, len(kinds)))  # then the end, then the symbol of words seen once and unseen ones
+    for c in kinds:
         counts[:n_top, c] = listed[f"c{c}"].to_numpy()
-    for c, n in texts_by_class.items():
-        counts[-2, c] = n
-    sums = {r["class"]: r["n"] for r in by_class.groupBy("class").agg(F.sum("n_train").alias("n")).collect()}
-    for c, n in sums.items():
-        counts[-1, c] = n - counts[:-2, c].sum()
+        counts[-2, c], counts[-1, c] = texts_by_class[c], seen[f"once{c}"] or 0
+    sizes = np.array([(seen[f"tokens{c}"] or 0) + texts_by_class[c] for c in kinds]) + PRIOR
     once, twice = seen["once"] or 0, seen["twice"] or 0
     discount = once / (once + 2 * twice) if once else 0.5
-    rare_tokens, rare_types = counts[-1].sum(), types - n_top
-    spread = discount * rare_types / rare_tokens if rare_tokens else 1.0
+    spread = discount if once else 1.0
     general = counts.sum(1) + (np.arange(len(counts)) >= n_top)  # the end and the symbol are never impossible
-    general /= general.sum()
-    given = (counts + PRIOR * general[:, None]) / (counts.sum(0) + PRIOR)
-    # A frequent word can also be spelled.
+    given = (counts + PRIOR * general[:, None] / (total + 2)) / sizes
+    # A repeated word can also be spelled.
     given[:-2] += given[-1] * spread * np.exp(listed["spelled"].to_numpy())[:, None]
+    symbol = [float(x) for x in given[-1]]
     model = {
         "where": where,
-        "log": np.log(given),
+        "log": np.log(given[:-1]),
         "counts": counts[:-1].sum(1),
-        "weights": np.log(np.array([texts_by_class[c] + 1 for c in range(len(common) + 1)]) / (texts + len(common) + 1)),
+        "weights": np.log(np.array([texts_by_class[c] + 1 for c in kinds]) / (texts + len(kinds))),
         "total": total,
         "distinct": distinct,
     }
     rows = _scored(plain, spark.sparkContext.broadcast(model))
 
-    rare_count = F.coalesce("n_train", F.lit(0))
-    share = (F.greatest(rare_count - discount, F.lit(0.0)) / max(rare_tokens, 1.0)) + F.lit(spread) * F.exp("spelled")
+    left = F.greatest(F.col("n_train") - discount, F.lit(0.0)) / max(once, 1)
     # The logarithm of the lattice is used as it is where the sum would be too small for a double.
-    rare_score = F.when(F.col("spelled") > -600, F.log(share)).otherwise(F.col("spelled") + math.log(spread))
-    added = rows.join(spelled, "word", "left").select(
+    rare = F.when((F.col("spelled") > -600) | (left > 0), F.log(left + spread * F.exp("spelled"))).otherwise(F.col("spelled") + math.log(spread))
+    repeated = [
+        F.log((F.col(f"c{c}") + PRIOR / (total + 2) * F.col("n_train")) / float(sizes[c]) + symbol[c] * spread * F.exp("spelled")) for c in kinds
+    ]
+    known = spelled.select("word", "n_train", F.when(F.col("n_train") > 1, F.array(*repeated)).alias("logs"), F.when(F.col("n_train") <= 1, rare).alias("rare"))
+
+    count = F.coalesce("n_train", F.lit(0))
+    added = rows.join(known, "word", "left").select(
         "doc_id", "key", "held_out", "headers", "n_tokens",
-        (F.col("base") + F.when(F.col("headers") == 0, F.col("times") * F.log10((rare_count + 1) / F.lit(float(total + distinct + 1)))).otherwise(0.0)).alias("base"),
-        (F.col("score") + F.when(F.col("headers") == 0, F.col("times") * rare_score / math.log(10)).otherwise(0.0)).alias("score"),
-        (F.col("n_known") + F.when(rare_count > 0, F.col("times")).otherwise(0)).alias("n_known"),
+        (F.col("base") + F.when(F.col("headers") == 0, F.col("times") * F.log10((count + 1) / F.lit(float(total + distinct + 1)))).otherwise(0.0)).alias("base"),
+        F.coalesce(F.col("times") * F.col("rare"), F.lit(0.0)).alias("rare"),
+        F.when(F.col("rare").isNotNull(), F.col("times")).otherwise(0).alias("n_rare"),
+        *[F.coalesce(F.col("by_class")[c], F.col("times") * F.col("logs")[c], F.lit(0.0)).alias(f"log{c}") for c in kinds],
+        (F.col("n_known") + F.when(count > 0, F.col("times")).otherwise(0)).alias("n_known"),
     )
-    summed = added.groupBy("doc_id", "key").agg(
-        *[F.sum(c).alias(c) for c in ("headers", "n_tokens", "base", "score", "n_known")], F.first("held_out").alias("held_out")
-    )
+    sums = ("headers", "n_tokens", "base", "rare", "n_rare", "n_known", *[f"log{c}" for c in kinds])
+    summed = added.groupBy("doc_id", "key").agg(*[F.sum(c).alias(c) for c in sums], F.first("held_out").alias("held_out"))
+    by_class = [(F.col(f"log{c}") + F.col("n_rare") * math.log(symbol[c])) / F.col("headers") for c in kinds]
+    summed = summed.withColumn("by_class", F.array(*by_class)).withColumn("top", F.array_max("by_class"))
+    summed = summed.withColumn("sum", sum(F.exp(F.col("by_class")[c] - F.col("top")) for c in kinds))
     # Rows that agree in id and text have been added up; each gets its share.
     each = summed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("headers").cast("int"))))
     part = lambda c: (F.col(c) / F.col("headers")).cast("long")
     return each.select(
         "doc_id", "held_out", part("n_tokens").alias("n_tokens"), part("n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("headers")).alias("base_score"), (F.col("score") / F.col("headers")).alias("score"),
+        (F.col("base") / F.col("headers")).alias("base_score"),
+        ((F.col("top") + F.log("sum") + F.col("rare") / F.col("headers")) / math.log(10)).alias("score"),
     )
 
 
 def _scored(plain: DataFrame, shared) -> DataFrame:
-    """A header row per document with the sums of its frequent words, and a row for each of its other words."""
+    """A header row per document with the sums of its broadcast words by class, and a row for each of its other words."""
 
     def make():
         model = shared.value
@@ -294,21 +298,15 @@ def _scored(plain: DataFrame, shared) -> DataFrame:
                     else:
                         at.append(found)
                         times.append(n)
-                if others:
-                    at.append(end + 1)
-                    times.append(sum(rest))
                 each = np.array(times, float)
                 by_class = each @ logs[at] + weights
-                highest = by_class.max()
-                marginal = highest + math.log(np.exp(by_class - highest).sum())
-                inside = [i for i in at if i <= end]
-                known = sum(n for i, n in zip(at, times, strict=True) if i <= end and counts[i] > 0)
+                known = sum(n for i, n in zip(at, times, strict=True) if counts[i] > 0)
                 # No word has a space, so the header joins with nothing; its own text spreads headers over the tasks.
                 for column, values in zip(rows, (
                     [doc] * (len(others) + 1), [key] * (len(others) + 1), [out] * (len(others) + 1),
                     [f" {doc} {key}", *(w.decode() for w in others)], [0, *rest], [1, *[0] * len(others)],
-                    [len(words) + 1, *[0] * len(others)], [float(each[: len(inside)] @ base[inside]), *[0.0] * len(others)],
-                    [marginal / math.log(10), *[0.0] * len(others)], [known, *[0] * len(others)],
+                    [len(words) + 1, *[0] * len(others)], [float(each @ base[at]), *[0.0] * len(others)],
+                    [by_class.tolist(), *[None] * len(others)], [known, *[0] * len(others)],
                 ), strict=True):
                     column += values
                 if len(rows[0]) >= _FLUSH:
@@ -322,6 +320,6 @@ def _scored(plain: DataFrame, shared) -> DataFrame:
     kind = plain.schema["doc_id"].dataType.simpleString()
     return make_rows(
         plain.select("doc_id", "key", "held_out", "text"),
-        f"doc_id {kind}, key bigint, held_out boolean, word string, times bigint, headers bigint, n_tokens bigint, base double, score double, n_known bigint",
+        f"doc_id {kind}, key bigint, held_out boolean, word string, times bigint, headers bigint, n_tokens bigint, base double, by_class array<double>, n_known bigint",
         make,
     )

@@ -144,6 +144,29 @@ def test_scores(spark):
             assert r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
 
 
+def test_unseen_words_have_the_mass_of_words_seen_once(spark):
+    import math
+
+    rng = random.Random(3)
+    words = iter(range(10**6))
+    # Half of the words of a text are common ones, the others are in no second text.
+    texts = [" ".join([*rng.choices(["red", "green", "blue"], k=10), *(f"q{next(words)}z" for _ in range(10))]) for _ in range(80)]
+    docs = frame(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
+    path = public_tokenizers.path(PIECES)
+    runs = [{r["doc_id"]: r for r in lattice.score(docs, path, frequent=n).collect()} for n in (0, 2, 10**6)]
+    for i, r in runs[0].items():
+        assert all(run[i]["score"] == pytest.approx(r["score"]) for run in runs)  # the bound decides what is broadcast only
+    # No text costs much more than its spelling and, for each unseen word, the share of the words seen once.
+    pieces = lattice.load_pieces(path)
+    held = [i for i, r in runs[0].items() if r["held_out"]]
+    train = [w for i, t in enumerate(texts) if i not in held for w in t.split()]
+    types = sorted(set(train))
+    made = lattice.Lattice(pieces, pieces.count(types), len(types))
+    for i in held:
+        spelled = sum(made.log_probability(w) for w in texts[i].split()[10:]) / math.log(10)
+        assert runs[2][i]["score"] > spelled + 21 * math.log10(0.1)
+
+
 def test_scores_of_odd_rows(odd, none):
     path = public_tokenizers.path(PIECES)
     found = lattice.score(odd, path).collect()
