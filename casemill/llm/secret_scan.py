@@ -120,13 +120,19 @@ def find_spans(text: str, words: dict[str, int]) -> list[tuple[str, int, int, fl
         found += [("access", m.start(), m.end(), log10_guesses(m[0], words)) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     found += [("hex", m.start(), m.end(), log10_guesses(m[0], words)) for m in HEX.finditer(text)]
     if given:
-        base = sorted((s, e) for _, s, e, _ in found)
-        k, reach = 0, -1
+        base: list[list[int]] = []  # without overlaps
+        for s, e in sorted((s, e) for _, s, e, _ in found):
+            if base and s <= base[-1][1]:
+                base[-1][1] = max(base[-1][1], e)
+            else:
+                base.append([s, e])
+        k = 0
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
-            while k < len(base) and base[k][0] < end:
-                reach, k = max(reach, base[k][1]), k + 1
-            if reach <= start and end - start >= MIN_GUESS_LENGTH:
+            while k < len(base) and base[k][1] <= start:
+                k += 1
+            whole = k < len(base) and base[k][0] <= start and end <= base[k][1]  # nothing of the value is left
+            if not whole and end - start >= MIN_GUESS_LENGTH:
                 cost = log10_guesses(m[1], words)
                 if cost >= MIN_LOG10_GUESSES:
                     found.append(("guess", start, end, cost))
