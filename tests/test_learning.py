@@ -261,6 +261,28 @@ def test_candidate_lists():
         ev.preprocessing(ev.Layout(None, 10))
 
 
+def test_queries_search_all_layouts_and_the_whole_grid(monkeypatch):
+    from casemill.plans import tuning
+
+    seen = {}
+
+    class Judge:
+        def sweep(self, wanted):
+            seen["sweep"] = wanted
+
+        def grid_search(self, best, grids):
+            seen["grids"] = grids
+
+    monkeypatch.setattr(tuning, "evaluator", lambda spark, sf: Judge())
+    monkeypatch.setattr(ev, "best_of_sweep", lambda sweep: sweep)
+    tuning._searched(None, None)
+    full = {c.layout for c in ev.sweep_candidates(**ev.FULL_SWEEP)}
+    for model in ("DummyClassifier", "KNeighborsClassifier", "LinearDiscriminantAnalysis"):
+        assert {c.layout for c in seen["sweep"] if c.model == model} == full
+    assert seen["grids"] == {n: MODELS[n].grid for n in ("KNeighborsClassifier", "LinearDiscriminantAnalysis")}
+    assert seen["sweep"] == ev.sweep_candidates(**tuning.SWEEP)
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     random = np.random.default_rng(4)
