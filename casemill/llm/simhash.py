@@ -172,18 +172,22 @@ def near_duplicates(
     name no component, whose id is null if no member has one. Repeated rows give a row each. Exact copies
     meet in one print before any pair is formed.
     """
+    found = _grouped(docs, doc_id, text, shingle, distance, dense_from)
+    return found.select("doc_id", "key", "print", F.col("chosen.doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, distance: int, dense_from: int = DENSE_FROM) -> DataFrame:
+    """``doc_id, key, print, chosen`` (id and key of the first document of the component; null ids come last)."""
     chosen = docs.select(quoted(doc_id).alias("doc_id"), text_key(text_of(text)).alias("key"), text_of(text).alias("text"))
     prints = write_through(fingerprints(chosen))
-    nodes = write_through(prints.groupBy("print").agg(F.min("doc_id").alias("first")))
+    nodes = write_through(prints.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")))
     groups = components(links(nodes.select("print"), distance, dense_from))
-    linked = groups.join(nodes, F.col("node") == F.col("print")).select("print", "component", "first")
-    named = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    inside = linked.select("print", "component").join(named, "component").select("print", "component_id")
+    linked = groups.join(nodes, F.col("node") == F.col("print")).select("print", "component", "least")
+    named = linked.groupBy("component").agg(F.min("least").alias("chosen"))
+    inside = linked.select("print", "component").join(named, "component").select("print", "chosen")
     # Prints without a link are components of their own.
-    known = nodes.join(inside, "print", "left").select(
-        F.col("print").alias("p"), F.when(F.col("component_id").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")
-    )
-    return prints.join(known, F.col("print") == F.col("p")).select("doc_id", "key", "print", "component_id")
+    known = nodes.join(inside, "print", "left").select(F.col("print").alias("p"), F.coalesce("chosen", "least").alias("chosen"))
+    return prints.join(known, F.col("print") == F.col("p")).select("doc_id", "key", "print", "chosen")
 
 
 def hexadecimal(value: Column) -> Column:
@@ -191,12 +195,13 @@ def hexadecimal(value: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The documents that give their component its id, with all their columns.
+    """One document of each component, with all its columns: the first by id and then by the key of its text.
 
     Rows that repeat an id and its text are one document and stay together. A document without an id stays only if
     its component has no id.
     """
-    found = near_duplicates(docs, doc_id, text, shingle, distance)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    found = _grouped(docs, doc_id, text, shingle, distance)
+    chosen = F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("key") == F.col("chosen.key"))
+    gone = found.filter(~chosen).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     same = quoted(doc_id).eqNullSafe(gone["_id"]) & (text_key(text_of(text)) == gone["_key"])
     return docs.join(gone, same, "left_anti")

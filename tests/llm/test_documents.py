@@ -94,6 +94,14 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == simhash.keep_one(none).count() == 0
 
 
+def test_one_document_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    # Texts that differ in case only have the same print.
+    rows = [(None, text), (None, text.upper()), (None, "other words " * 9), (5, "more of them " * 9), (5, "MORE of them " * 9), (None, "more of them " * 9)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"].lower()) for r in kept) == [(0, "other words " * 9), (0, text), (5, "more of them " * 9)]
+
+
 # --- 2
 
 
