@@ -179,7 +179,7 @@ def near_duplicates(
 def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, distance: int, dense_from: int = DENSE_FROM) -> DataFrame:
     """``doc_id, key, print, chosen`` (id and key of the first document of the component; null ids come last)."""
     chosen = docs.select(quoted(doc_id).alias("doc_id"), text_key(text_of(text)).alias("key"), text_of(text).alias("text"))
-    prints = write_through(fingerprints(chosen))
+    prints = write_through(fingerprints(chosen, shingle=shingle))
     nodes = write_through(prints.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")))
     groups = components(links(nodes.select("print"), distance, dense_from))
     linked = groups.join(nodes, F.col("node") == F.col("print")).select("print", "component", "least")

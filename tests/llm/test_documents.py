@@ -94,6 +94,12 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == simhash.keep_one(none).count() == 0
 
 
+def test_the_shingle_length_counts(spark):
+    text = "one two three four five six seven eight nine ten"
+    (row,) = simhash.near_duplicates(frame(spark, [text]), shingle=2).collect()
+    assert row["print"] == simhash.fingerprint(text, 2) != simhash.fingerprint(text)
+
+
 def test_one_document_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(40))
     # Texts that differ in case only have the same print.
