@@ -22,7 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casemill.llm.common import add_columns, make_rows, quoted, text_of
+from casemill.llm.common import add_columns, make_rows, quoted, text_key, text_of
+from casemill.session import write_through
 
 #: Training rows of either label that are used at most, those with the smallest hash of their id.
 TOXIC_ROWS, CLEAN_ROWS = 8_000, 16_000
@@ -228,9 +229,14 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """A model from the labelled training documents. Only bounded samples of labels and their evidence are gathered."""
     sample = training_sample(labels, doc_id, label)
     plain = docs.select(quoted(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    # At most TOXIC_ROWS + CLEAN_ROWS ids.
-    joined = plain.join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    # At most TOXIC_ROWS + CLEAN_ROWS ids, and as many rows: an id can have several texts, and repeated rows are one.
+    keyed = plain.join(F.broadcast(sample), "doc_id").withColumn("key", text_key(F.col("text")))
+    rows = keyed.select("doc_id", "key", "toxic").distinct()
+    some = lambda value, n: rows.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(n)
+    chosen = write_through(some(1, TOXIC_ROWS).unionByName(some(0, CLEAN_ROWS)))
+    own = keyed.join(F.broadcast(chosen.select("doc_id", "key")), ["doc_id", "key"])
+    joined = write_through(own.groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"))
+    sizes = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     terms = learn_terms(joined, sizes.get(1, 0), sizes.get(0, 0)) if sizes.get(1) and sizes.get(0) else {}
 
     def make():

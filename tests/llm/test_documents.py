@@ -281,6 +281,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+def test_repeated_rows_teach_once(spark):
+    rng = random.Random(6)
+    plain = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(100)]
+    texts = [" ".join([*rng.choices(plain, k=20), *(["grumpf"] if i % 4 == 0 else [])]) for i in range(200)]
+    docs, labels = frame(spark, texts), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id bigint, toxic int")
+    hot = docs.filter("doc_id = 0 OR doc_id = 1").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("copy")
+    once, often = toxicity.learn(docs, labels), toxicity.learn(docs.unionByName(hot), labels)
+    assert once.grammar.terms == often.grammar.terms and once.grammar.terms
+    assert [*often.counts_as, often.slope, often.intercept] == pytest.approx([*once.counts_as, once.slope, once.intercept])
+
+
 def test_toxicity_of_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert toxicity.score(odd, labels).count() == odd.count() and toxicity.score(none, labels).count() == 0
