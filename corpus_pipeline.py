@@ -1,13 +1,13 @@
 """The corpus pipeline: stages over ``documents``, each written and read again.
 
 Every stage works on all that its predecessor kept. The first three drop documents, the fourth redacts secrets in
-place, the last one replaces the text by its token ids.
+place, the last one replaces the text by its token ids and the digest of the text that they decode to.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casemill.llm import bpe, decontaminate, quality, secret_scan, simhash
 from casemill.llm.common import table
@@ -36,8 +36,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids instead of the text."""
-    return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, spaced=True)
+    """Token ids instead of the text, and the digest of the text decoded from them."""
+    made = bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, spaced=True, decoded="decoded")
+    return made.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
 
 
 STAGES = [

@@ -503,3 +503,12 @@ def test_encoding_of_odd_rows(odd, none, reference):
         assert list(bpe.unpacked(r["ids"])) == reference.encode_ordinary(r["text"] or "") and r["decoded"] == (r["text"] or "")
         assert r["n_tokens"] == len(r["ids"]) // 4
     assert bpe.encode(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_the_last_stage_decodes(odd, spark):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.byte_bpe(spark, odd.select("doc_id", "text"), "").collect()
+    texts = [r["text"] or "" for r in odd.collect()]
+    assert sorted(r["decoded_sha256"] for r in rows) == sorted(sha256(t.encode()).hexdigest() for t in texts)
+    assert all(r["ids"] is not None for r in rows) and "decoded" not in rows[0].asDict()
