@@ -6,6 +6,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: ASCII capital and small letters, for lower-casing that leaves other letters alone.
@@ -80,6 +81,20 @@ def make_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     return df.mapInArrow(run, new)
 
 
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``limit`` bytes in one text column, or of one row."""
+    texts = batch.column(batch.schema.get_field_index(column))
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for at, size in enumerate(sizes.tolist()):
+        if held + size > limit and at > start:
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now, as its periodic cleaner does every half hour."""
     gc.collect()

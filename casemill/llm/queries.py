@@ -5,13 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casemill.llm import bpe, chat, decontaminate, lattice, quality, secret_scan, sharding, simhash, substring, toxicity
+from casemill.llm import alignment, bpe, chat, decontaminate, lattice, quality, secret_scan, sharding, simhash, substring, toxicity
 from casemill.llm.common import table
 
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 1613
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"
+BYTE_LEVEL = "byte_bpe_50k.json"
 
 
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,6 +95,14 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = alignment.align(docs, public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    counts = [F.col(c).cast("long").alias(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
+    return found.select(*counts, digest.alias("groups_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_lm_scoring": op2_lm_scoring,
@@ -105,4 +114,5 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_alignment": op13_alignment,
 }
