@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casemill.llm import alignment, bpe, chat, decontaminate, lattice, quality, secret_scan, sharding, simhash, substring, toxicity
+from casemill.llm import alignment, bpe, chat, decontaminate, lattice, quality, repair, secret_scan, sharding, simhash, substring, toxicity
 from casemill.llm.common import table
 
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 1613
@@ -95,6 +95,10 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.audits(repair.damaged(table(spark, folder, "conversations")), gone="gone")
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = alignment.align(docs, public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
@@ -114,5 +118,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_repair": op12_repair,
     "op13_alignment": op13_alignment,
 }

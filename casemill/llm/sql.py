@@ -72,7 +72,76 @@ checked AS (
   FROM c_docs d LEFT JOIN c_covered USING (rid) LEFT JOIN c_found USING (rid))"""
 
 
+#: The cheapest edits row by row: of each state the cheapest audit, then the least one.
+REPAIR = r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+drawn AS (
+  SELECT *, list_reduce(flatten(list_transform(string_split(name, ''), lambda c: [ascii(c)::BIGINT] || [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+    4294967295::BIGINT) AS reg FROM named),
+rowed AS (
+  SELECT conv_id, turn, draw, unnest(CASE WHEN draw = 3 THEN [0, 1] ELSE [0] END) AS copy,
+    CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN draw = 1 THEN '' WHEN draw = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, xor(reg, 4294967295) % 20 AS draw FROM drawn)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+    regexp_matches(text, '^[ 	-
+]*$') AS empty, regexp_matches(text, '[.!?][ 	-
+]*$') AS closed,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before
+  FROM rowed WHERE draw <> 0),
+faults AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE empty) AS blank, count(*) FILTER (WHERE NOT empty AND seen) AS duplicate,
+    count(*) FILTER (WHERE NOT empty AND NOT seen AND NOT closed) AS truncated,
+    count(*) FILTER (WHERE before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM placed GROUP BY conv_id),
+inserts(s, t, k, r) AS (VALUES
+  (0, 0, 0, ''), (0, 2, 1, 'user:'), (0, 3, 2, 'user:|assistant:'), (1, 1, 0, ''), (1, 2, 1, 'user:'),
+  (1, 3, 2, 'user:|assistant:'), (2, 2, 0, ''), (2, 3, 1, 'assistant:'), (3, 3, 0, ''), (3, 2, 1, 'user:')),
+moves(s, t, letter) AS (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')),
+steps(s, t, edit, letter, cost) AS (
+  SELECT s, t, 'K', letter, 0 FROM moves UNION ALL SELECT s, t, 'R', letter, 2 FROM moves WHERE letter <> 's'
+  UNION ALL SELECT s, s, 'D', NULL, 3 FROM range(4) r(s)),
+walk(conv_id, i, state, cost, audit, said) AS (
+  SELECT conv_id, 0::BIGINT, t, 2 * k, repeat('I', k), r
+  FROM faults, inserts WHERE s = 0
+  UNION ALL
+  SELECT * FROM (
+    SELECT w.conv_id, p.i, n.t, w.cost + m.cost + 2 * n.k + CASE WHEN m.edit <> 'D' AND NOT p.closed THEN 1 ELSE 0 END AS cost,
+      w.audit || m.edit || repeat('I', n.k) AS audit,
+      w.said || CASE WHEN m.edit = 'D' THEN '' ELSE '|' || p.i || CASE m.edit WHEN 'K' THEN 'k' ELSE m.letter END || '|' END || n.r
+    FROM walk w JOIN placed p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.i = w.i + 1
+    JOIN steps m ON m.s = w.state AND (m.edit = 'D' OR NOT (p.empty OR p.seen)) AND (m.edit <> 'K' OR m.letter = p.role[1])
+    JOIN inserts n ON n.s = m.t)
+  QUALIFY row_number() OVER (PARTITION BY conv_id, t ORDER BY cost, audit) = 1),
+chosen AS (
+  SELECT w.*, f.n FROM walk w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.i
+  WHERE state IN (0, 3) QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY cost, audit) = 1),
+pieces AS (
+  SELECT conv_id, unnest(parts) AS part, unnest(range(len(parts))) AS seq
+  FROM (SELECT conv_id, list_filter(string_split(said, '|'), lambda x: x <> '') AS parts FROM chosen)),
+lines AS (
+  SELECT q.conv_id, q.seq, CASE WHEN part LIKE '%:' THEN part ELSE
+    CASE right(part, 1) WHEN 'k' THEN p.role WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || p.text END AS line
+  FROM pieces q LEFT JOIN placed p ON p.conv_id IS NOT DISTINCT FROM q.conv_id AND q.part NOT LIKE '%:'
+    AND p.i = try_cast(left(part, length(part) - 1) AS BIGINT)),
+texts AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY seq)) AS digest FROM lines GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(c.cost, 0)::BIGINT AS cost,
+  coalesce(c.audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN chosen c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 SQL = {
+    "op12_repair": REPAIR,
     "op6_chat_formatting": r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
