@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casemill.llm import alignment, bpe, chat, decontaminate, lattice, quality, repair, secret_scan, sharding, simhash, substring, toxicity
+from casemill.llm import alignment, bpe, chat, decontaminate, html_text, lattice, quality, repair, secret_scan, sharding, simhash, substring, toxicity
 from casemill.llm.common import table
 
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 1613
@@ -95,6 +95,10 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.audits(repair.damaged(table(spark, folder, "conversations")), gone="gone")
 
@@ -118,6 +122,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_html_text": op11_html_text,
     "op12_repair": op12_repair,
     "op13_alignment": op13_alignment,
 }

@@ -140,7 +140,23 @@ LEFT JOIN chosen c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
 
+#: In the given pages the main text is the article element, its blocks are headings and paragraphs.
+HTML_TEXT = r"""
+WITH marked AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'),
+    '</?(h[1-6]|p)>', chr(1), 'g') AS body FROM pages),
+plain AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(body, '<br>', ' ', 'g'), '</?b>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'),
+    '&(quot;?|#34;|#x22;)', '"', 'g'), '&(#39;|#x27;)', '''', 'g'), '&amp;?', '&', 'g') AS body FROM marked),
+blocks AS (
+  SELECT page_id, url, list_filter(list_transform(string_split(body, chr(1)),
+    lambda x: trim(regexp_replace(x, '[\s\x0B\x1C-\x1F\x85\p{Z}]+', ' ', 'g'))), lambda x: x <> '') AS parts FROM plain)
+SELECT page_id, url, array_to_string(parts, chr(10)) AS text, length(array_to_string(parts, chr(10))) AS n_chars FROM blocks"""
+
+
 SQL = {
+    "op11_html_text": HTML_TEXT,
     "op12_repair": REPAIR,
     "op6_chat_formatting": r"""
 WITH said AS (
