@@ -3,6 +3,7 @@
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -90,20 +91,31 @@ def test_alignment(spark, limit):
     assert [tuple(r[c] for c in COLUMNS) for r in sorted(found)] == brute(texts)
 
 
-def test_what_is_remembered_changes_nothing(spark, monkeypatch):
-    wanted = brute(TEXTS)
-    table = alignment.WordTable(alignment._tokenizers(A, B))
+def test_what_is_remembered_changes_nothing(monkeypatch):
+    known = alignment._tokenizers(A, B)
+    wanted = alignment.WordTable(known).encoded(TEXTS)
     monkeypatch.setattr(alignment, "KNOWN_CHARS", 5)
-    for text, row in zip(TEXTS, wanted):
-        (places,) = table.numbered([text])
-        assert tuple(table.sums[places].sum(0)[:4]) == row[:4]
-        assert ";".join(table.spelled[p] for p in places) == row[-1]
+    monkeypatch.setattr(alignment, "BLOCK_CHARS", 10)
+    table = alignment.WordTable(known)
+    for text, ids in zip(TEXTS, wanted):
+        ((a, b),) = table.encoded([text])
+        assert (a.tolist(), b.tolist()) == tuple(x.tolist() for x in ids)
     assert len(table.index) < 20
 
 
 def test_coarse_ends_are_refined():
-    assert alignment.refined([3, 5, 5, 9], [3, 1, 1, 4]) == [3, 4, 5, 9]
-    assert alignment.linked([2, 5], [1, 5]) == ([(0, 0), (0, 1), (1, 1)], [(2, 2)])
+    coarse, sizes = np.array([0, 0, 3, 5, 9, 9, 10]), np.array([1, 1, 1, 2, 1, 3, 1])
+    assert alignment.refined(coarse, sizes).tolist() == [1, 2, 3, 5, 6, 9, 10]
+
+
+def test_words_are_places_where_both_cut():
+    known = alignment._tokenizers(A, B)
+    assert known.cuttable
+    text = "It's a test, (of) 12 words;  é x"
+    assert known.words(text) == ["It's", "a", "test,", "(of)", "12", "words;  é", "x"]
+    a, a_ends, b, b_ends = known.encode(text)
+    for at in np.cumsum([len(f" {w}".encode()) for w in known.words(text)]):
+        assert at in a_ends and at in b_ends
 
 
 @pytest.mark.parametrize("limit", [None, 0])
