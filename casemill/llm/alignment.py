@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from casemill.llm.common import slices, without
+from casemill.llm.common import Ragged, slices, without
 from casemill.session import write_through
 
 #: Pairs of a table that is broadcast: 17 bytes each in every worker.
@@ -123,30 +123,6 @@ def _tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return Tokenizers(a_path, b_path)
 
 
-class Ragged:
-    """Rows of numbers with different lengths."""
-
-    def __init__(self):
-        self.data, self.starts, self.used = np.zeros(1024, np.uint32), [0], 0
-
-    def extend(self, data: np.ndarray, ends) -> None:
-        """Add rows that end at ``ends`` of ``data``."""
-        need = self.used + len(data)
-        if need > len(self.data):
-            self.data = np.resize(self.data, 2 * need)
-        self.data[self.used : need] = data
-        self.starts.extend((self.used + np.asarray(ends)).tolist())
-        self.used = need
-
-    def rows(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows with these numbers one behind the other, and their lengths."""
-        starts = np.array(self.starts)
-        sizes = (starts[1:] - starts[:-1])[numbers]
-        ends = np.cumsum(sizes)
-        places = np.repeat(starts[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        return self.data[places], sizes
-
-
 class WordTable:
     """The ids of the words of a task."""
 

@@ -17,17 +17,24 @@ from __future__ import annotations
 
 import base64
 import gc
+import re
 import struct
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from casemill.llm.common import add_columns
+from casemill.llm.common import Ragged, add_columns, slices, without
 
+#: Where a text may be cut: before a space between letters, digits or ASCII signs.
+_CUT = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
 
-@lru_cache(maxsize=4)
+
+@lru_cache(maxsize=1)
 def load_ranks(path: str) -> dict[bytes, int]:
     """Tokens and ranks of a vocabulary file with lines of base64 token and rank."""
     with open(path, "rb") as lines:
@@ -59,17 +66,22 @@ class _State:
 
     __slots__ = ("bytes", "paths", "alive", "moves", "refused", "ends")
 
-    def __init__(self, pending: bytes, paths: dict, alive: list):
-        self.bytes, self.moves, self.refused, self.ends = pending, {}, {}, None
-        self.paths = paths  # position of the pending bytes: (start of its last token, the token)
+    def __init__(self, pending: bytes, paths: tuple, alive: tuple):
+        self.bytes, self.moves, self.refused, self.ends = pending, {}, None, None
+        self.paths = paths  # position of the pending bytes, start of its last token, the token; and so on
         self.alive = alive  # positions at which a token may start that is not ended yet
 
+    def last_tokens(self) -> dict[int, tuple[int, int]]:
+        """Position of the pending bytes: (start of its last token, the token)."""
+        p = self.paths
+        return {p[i]: (p[i + 1], p[i + 2]) for i in range(0, len(p), 3)}
+
     def rest(self) -> tuple:
         """The tokens of the pending bytes if nothing follows."""
         if self.ends is None:
-            out, at = [], len(self.bytes)
+            out, at, paths = [], len(self.bytes), self.last_tokens()
             while at:
-                at, token = self.paths[at]
+                at, token = paths[at]
                 out.append(token)
             self.ends = tuple(out[::-1])
         return self.ends
@@ -78,18 +90,26 @@ class _State:
 class Transducer:
     """Encodes pieces of bytes. ``max_states`` and ``max_pairs`` bound the memory, not the results."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000, max_pairs: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 50_000, max_pairs: int = 150_000):
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
         self.begins = {t[:i] for t in ranks for i in range(1, len(t))}
         self.max_states, self.max_pairs = max_states, max_pairs
         self.pairs: dict[int, bool] = {}
-        self._forget()
+        self.start = _State(b"", (), (0,))
+        self.states = {(b"", ()): self.start}
 
     def _forget(self) -> None:
-        self.states = {}
+        """Keep the states with several moves, unless they are most of all."""
+        kept = [x for x in self.states.values() if len(x.moves) + len(x.refused or ()) > 1]
+        if 2 * len(kept) > self.max_states or self.start not in kept:
+            self.start = _State(b"", (), (0,))
+            kept = [self.start]
+        known = set(kept)
+        for x in kept:
+            x.moves = {b: m for b, m in x.moves.items() if m[1] in known}
+            x.refused = {b: m for b, m in (x.refused or {}).items() if m[1] in known} or None
+        self.states = {(x.bytes, x.paths): x for x in kept}
         gc.collect()  # states refer to each other
-        self.start = _State(b"", {}, [0])
-        self.states = {(b"", ()): self.start}
 
     def _compatible(self, a: int, b: int) -> bool:
         known = self.pairs.get(a << 32 | b)
@@ -103,7 +123,7 @@ class Transducer:
     def _move(self, state: _State, byte: int, refused: bool = False) -> tuple[int, _State, tuple]:
         """``(token, next state, emitted tokens)``: the move holds if the token, unless it is -1, fits behind the
         last emitted one. ``refused`` gives the move for the case that it doesn't."""
-        text, old, begins = state.bytes + bytes((byte,)), state.paths, self.begins
+        text, old, begins = state.bytes + bytes((byte,)), state.last_tokens(), self.begins
         n, alive, last, asked = len(text), [], None, -1
         for j in state.alive:
             part = text[j:]
@@ -116,7 +136,6 @@ class Transducer:
                 elif self._compatible(old[j][1], token):
                     last = (j, token)
         alive.append(n)
-        parent = lambda at: last[0] if at == n else old[at][0]
         # What the paths of all live positions begin with is settled.
         root = alive[0]
         for j in alive[1:]:
@@ -138,13 +157,15 @@ class Transducer:
                 paths[at - root] = (start - root, token)
                 at = start
         # Which positions are alive follows from the bytes.
-        key = (text[root:], tuple(paths.values()))
+        key = (text[root:], tuple(x for at, (start, token) in paths.items() for x in (at, start, token)))
         known = self.states.get(key)
         if known is None:
             if len(self.states) >= self.max_states:
                 self._forget()
-            known = self.states[key] = _State(key[0], paths, [j - root for j in alive] if root else alive)
+            known = self.states[key] = _State(*key, tuple(j - root for j in alive))
         move = (asked, known, tuple(out[::-1]))
+        if refused and state.refused is None:
+            state.refused = {}
         (state.refused if refused else state.moves)[byte] = move
         return move
 
@@ -155,7 +176,7 @@ class Transducer:
             if asked >= 0 and last >= 0:
                 fits = pairs.get(last << 32 | asked)
                 if not (self._compatible(last, asked) if fits is None else fits):
-                    _, following, sent = state.refused.get(byte) or self._move(state, byte, True)
+                    _, following, sent = (state.refused or {}).get(byte) or self._move(state, byte, True)
             if sent:
                 out += sent
                 last = sent[-1]
@@ -168,44 +189,48 @@ class TextEncoder:
     """Whole texts: each match of the pattern is a piece.
 
     ``spaced`` says that no match of the pattern goes on over a space between two other characters that are not
-    white space, so that such a space begins a match; parts between spaces are then looked up whole. The ids
-    of the first ``max_known`` parts and pieces are remembered.
+    white space, so that such a space begins a match. Texts are cut there (only between letters, digits and ASCII signs), and each
+    different part is encoded once, as long as it is remembered: beyond ``max_known`` characters (with eight more for
+    each part) all are forgotten, so what comes late is remembered like what comes early.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False, max_known: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False, max_known: int = 4_000_000):
         self.matches = regex.compile(pattern).findall
-        self.spaced, self.max_known = spaced, max_known
-        self.pieces: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.cut = _CUT.split if spaced else (lambda text: [text] if text else [])
+        self.max_known = max_known
         self.transducer = Transducer(ranks)
+        self._forget()
 
-    def _matched(self, text: str) -> bytes:
-        pieces, known = self.matches(text), self.pieces
-        found = list(map(known.get, pieces))
-        for at, ids in enumerate(found):
-            if ids is None:
-                made = self.transducer.encode(pieces[at].encode())
-                found[at] = struct.pack(f"<{len(made)}I", *made)
-                if len(known) < self.max_known:
-                    known[pieces[at]] = found[at]
-        return b"".join(found)
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids, self.chars = Ragged(), 0
+
+    def _learn(self, parts) -> None:
+        new = [p for p in parts if p not in self.index]
+        made, ends = [], []
+        for part in new:
+            for piece in self.matches(part):
+                made += self.transducer.encode(piece.encode())
+            ends.append(len(made))
+            self.index[part] = len(self.index)
+            self.chars += len(part) + 8
+        self.ids.extend(np.array(made, np.uint32), ends)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [self.cut(t) for t in texts]
+        if self.chars > self.max_known:
+            self._forget()
+        self._learn(dict.fromkeys(chain.from_iterable(split)))
+        sizes = np.array(list(map(len, split)), np.int64)
+        numbers = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, sizes.sum())
+        ids, lengths = self.ids.rows(numbers)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(sizes)]
+        return np.split(ids, ends[:-1])
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned 32-bit little-endian numbers."""
-        if not self.spaced:
-            return self._matched(text)
-        parts, known = text.split(" "), self.parts
-        found = list(map(known.get, parts))
-        found[0] = None
-        for at, ids in enumerate(found):
-            if ids is None:
-                part = parts[at]
-                if not part or part[0].isspace() or part[-1].isspace():
-                    return self._matched(text)
-                found[at] = self._matched(" " + part if at else part)
-                if at and len(known) < self.max_known:
-                    known[part] = found[at]
-        return b"".join(found)
+        return self.encode_all([text])[0].astype("<u4").tobytes()
 
 
 #: Second bytes allowed after a first byte: fixed values of the UTF-8 standard.
@@ -222,7 +247,7 @@ _FIRST = (
 class StreamDecoder:
     """Decodes ids one after the other. A state is the bytes of an unfinished character."""
 
-    def __init__(self, tokens: dict[int, bytes], max_moves: int = 200_000):
+    def __init__(self, tokens: dict[int, bytes], max_moves: int = 80_000):
         self.tokens, self.moves, self.n_moves, self.max_moves = tokens, {b"": {}}, 0, max_moves
         self.first = {b: (n, lo, hi) for b, n, lo, hi in _FIRST}
 
@@ -249,9 +274,12 @@ class StreamDecoder:
                 at, made = self._step(at, byte)
                 out.append(made)
             found = (at, "".join(out))
-            if self.n_moves < self.max_moves:
-                self.n_moves += 1
-                self.moves.setdefault(state, {})[token] = found
+            if self.n_moves >= self.max_moves:
+                for known in self.moves.values():  # a decode in progress may hold one of them
+                    known.clear()
+                self.n_moves = 0
+            self.n_moves += 1
+            self.moves.setdefault(state, {})[token] = found
         return found
 
     def decode(self, ids) -> str:
@@ -266,16 +294,6 @@ class StreamDecoder:
         return "".join(out) + ("\ufffd" if state else "")
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str, spaced: bool) -> TextEncoder:
-    return TextEncoder(load_ranks(path), pattern, spaced)
-
-
-@lru_cache(maxsize=2)
-def _decoder(path: str) -> StreamDecoder:
-    return StreamDecoder({i: t for t, i in load_ranks(path).items()})
-
-
 def unpacked(data: bytes) -> tuple[int, ...]:
     return struct.unpack(f"<{len(data) // 4}I", data)
 
@@ -296,30 +314,40 @@ def encode(
     ``decoded`` names a column for the text that the ids decode to, read back from them in the same pass.
     """
 
-    def make():
-        encoder = _encoder(path, pattern, spaced)
-
-        def work(batch: pa.RecordBatch) -> list:
-            # Python's collector would walk through all states again and again; they go with _forget.
-            gc.disable()
-            try:
-                made = [encoder.encode(t.as_py() or "") for t in batch.column(batch.schema.get_field_index(text))]
-            finally:
-                gc.enable()
-            columns = [[len(m) // 4 for m in made], made]
-            return [*columns, [_decoder(path).decode(unpacked(m)) for m in made]] if decoded else columns
-
-        return work
+    def run(batches):
+        # What is remembered goes with the task.
+        encoder = TextEncoder(load_ranks(path), pattern, spaced)
+        decoder = StreamDecoder(encoder.transducer.tokens) if decoded else None
+        for batch in batches:
+            for part in slices(batch, text, 2_000_000):
+                texts = [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                # Python's collector would walk through all states again and again; they go with _forget.
+                gc.disable()
+                try:
+                    made = encoder.encode_all(texts)
+                finally:
+                    gc.enable()
+                columns = [list(map(len, made)), [m.astype("<u4").tobytes() for m in made]]
+                if decoded:
+                    columns.append([decoder.decode(m.tolist()) for m in made])
+                new = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                old = [part.column(part.schema.get_field_index(n)) for n in names]
+                yield pa.RecordBatch.from_arrays([*old, *new], [*names, *added.names])
 
     fields = "n_tokens bigint, ids binary" + (f", `{decoded}` string" if decoded else "")
-    return add_columns(df, fields, make, () if keep_text else (text,))
+    added = T._parse_datatype_string(fields)
+    types = [to_arrow_type(f.dataType) for f in added.fields]
+    names = without(df, [*added.names, *([] if keep_text else [text])]).columns
+    kept = [f for f in df.schema.fields if f.name in names]
+    clashing = [n for n in added.names if n.lower() != text.lower()]
+    return without(df, clashing).mapInArrow(run, T.StructType([*kept, *added.fields]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``df`` with the text of the ids in ``into``; null ids give an empty text."""
 
     def make():
-        decoder = _decoder(path)
+        decoder = StreamDecoder({i: t for t, i in load_ranks(path).items()})
 
         def work(batch: pa.RecordBatch) -> list:
             column = batch.column(batch.schema.get_field_index(ids))
