@@ -10,9 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casemill.llm import bpe, decontaminate, quality, secret_scan, simhash
-from casemill.llm.common import table
+from casemill.llm.common import table, text_key, text_of
 from casemill.llm.queries import VOCABULARY, WORDS
-from casemill.session import write_through
+from casemill.session import discard, write_through
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each SimHash group stays, the one with the smallest id; of rows that repeat it, one."""
+    kept = simhash.keep_one(docs).withColumn("key of the text", text_key(text_of("text")))
+    return kept.dropDuplicates(["doc_id", "key of the text"]).drop("key of the text")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = write_through(stage(spark, docs, sf_dir))
+        before, docs = docs, write_through(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
