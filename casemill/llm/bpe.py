@@ -34,6 +34,9 @@ from casemill.llm.common import Ragged, add_columns, slices, without
 _CUT = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
 
 
+_NONE = 1 << 40  # above every rank
+
+
 @lru_cache(maxsize=1)
 def load_ranks(path: str) -> dict[bytes, int]:
     """Tokens and ranks of a vocabulary file with lines of base64 token and rank."""
@@ -43,7 +46,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The definition: join the neighbours whose bytes have the lowest rank, leftmost first, until none is left."""
-    none = 1 << 40
+    none = _NONE
     parts = [piece[i : i + 1] for i in range(len(piece))]
     joined = [ranks.get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
     while joined and (lowest := min(joined)) < none:
@@ -90,11 +93,12 @@ class _State:
 class Transducer:
     """Encodes pieces of bytes. ``max_states`` and ``max_pairs`` bound the memory, not the results."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 50_000, max_pairs: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000, max_pairs: int = 250_000):
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
         self.begins = {t[:i] for t in ranks for i in range(1, len(t))}
         self.max_states, self.max_pairs = max_states, max_pairs
         self.pairs: dict[int, bool] = {}
+        self.merges: dict[int, list] = {}  # of the tokens met, at most the vocabulary
         self.start = _State(b"", (), (0,))
         self.states = {(b"", ()): self.start}
 
@@ -109,14 +113,47 @@ class Transducer:
             x.moves = {b: m for b, m in x.moves.items() if m[1] in known}
             x.refused = {b: m for b, m in (x.refused or {}).items() if m[1] in known} or None
         self.states = {(x.bytes, x.paths): x for x in kept}
+        gc.unfreeze()
         gc.collect()  # states refer to each other
 
+    def _merges(self, token: int) -> list[tuple[int, bytes, bytes]]:
+        """``(rank, first part, last part)``: the parts of a token before its first merge and after each one, with the rank
+        of the merge that comes next."""
+        found = self.merges.get(token)
+        if found is None:
+            parts, found = [bytes((b,)) for b in self.tokens[token]], []
+            while True:
+                ranks = [self.ranks.get(x + y, _NONE) for x, y in zip(parts, parts[1:])]
+                lowest = min(ranks, default=_NONE)
+                found.append((lowest, parts[0], parts[-1]))
+                if lowest == _NONE:
+                    break
+                i = ranks.index(lowest)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self.merges[token] = found
+        return found
+
     def _compatible(self, a: int, b: int) -> bool:
+        """Whether no merge goes over the border: both tokens merge their own parts, always the lowest rank first and of
+        equal ones the leftmost, while the parts at the border have none as low."""
         known = self.pairs.get(a << 32 | b)
         if known is None:
             if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
-            known = merge_by_rank(self.tokens[a] + self.tokens[b], self.ranks) == [a, b]
+            left, right = iter(self._merges(a)), iter(self._merges(b))
+            (low, _, x), (high, y, _) = next(left), next(right)
+            while True:
+                over = self.ranks.get(x + y, _NONE)
+                if over < low and over <= high:
+                    known = False
+                    break
+                if low == high == _NONE:
+                    known = True
+                    break
+                if low <= high:
+                    low, _, x = next(left)
+                else:
+                    high, y, _ = next(right)
             self.pairs[a << 32 | b] = known
         return known
 
@@ -186,7 +223,7 @@ class Transducer:
 
 
 class TextEncoder:
-    """Whole texts: each match of the pattern is a piece.
+    """Whole texts: each match of the pattern is a piece, and each different piece goes through the transducer once.
 
     ``spaced`` says that no match of the pattern goes on over a space between two other characters that are not
     white space, so that such a space begins a match. Texts are cut there (only between letters, digits and ASCII signs), and each
@@ -194,7 +231,7 @@ class TextEncoder:
     each part) all are forgotten, so what comes late is remembered like what comes early.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False, max_known: int = 4_000_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False, max_known: int = 5_000_000):
         self.matches = regex.compile(pattern).findall
         self.cut = _CUT.split if spaced else (lambda text: [text] if text else [])
         self.max_known = max_known
@@ -203,14 +240,18 @@ class TextEncoder:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.ids, self.chars = Ragged(), 0
 
     def _learn(self, parts) -> None:
         new = [p for p in parts if p not in self.index]
-        made, ends = [], []
+        made, ends, known = [], [], self.pieces
         for part in new:
             for piece in self.matches(part):
-                made += self.transducer.encode(piece.encode())
+                ids = known.get(piece)
+                if ids is None:
+                    ids = known[piece] = tuple(self.transducer.encode(piece.encode()))
+                made += ids
             ends.append(len(made))
             self.index[part] = len(self.index)
             self.chars += len(part) + 8
@@ -318,14 +359,16 @@ def encode(
         # What is remembered goes with the task.
         encoder = TextEncoder(load_ranks(path), pattern, spaced)
         decoder = StreamDecoder(encoder.transducer.tokens) if decoded else None
+        # Python's collector would walk through all states again and again.
+        gc.freeze()
         for batch in batches:
             for part in slices(batch, text, 2_000_000):
                 texts = [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
-                # Python's collector would walk through all states again and again; they go with _forget.
                 gc.disable()
                 try:
                     made = encoder.encode_all(texts)
                 finally:
+                    gc.freeze()
                     gc.enable()
                 columns = [list(map(len, made)), [m.astype("<u4").tobytes() for m in made]]
                 if decoded:

@@ -512,3 +512,18 @@ def test_the_last_stage_decodes(odd, spark):
     texts = [r["text"] or "" for r in odd.collect()]
     assert sorted(r["decoded_sha256"] for r in rows) == sorted(sha256(t.encode()).hexdigest() for t in texts)
     assert all(r["ids"] is not None for r in rows) and "decoded" not in rows[0].asDict()
+
+
+def test_neighbours_are_compatible_if_their_bytes_give_them_back():
+    ranks = bpe.load_ranks(RANKS)
+    transducer, rng = bpe.Transducer(ranks, max_pairs=100), random.Random(3)
+    tokens = sorted(ranks, key=len)[:6000] + rng.sample(list(ranks), 3000)
+    for _ in range(20_000):
+        a, b = rng.choice(tokens), rng.choice(tokens)
+        if rng.random() < 0.5:  # parts of one token are often not compatible
+            whole = rng.choice(tokens)
+            at = rng.randint(1, max(len(whole) - 1, 1))
+            a, b = (whole[:at], whole[at:]) if whole[:at] in ranks and whole[at:] in ranks else (a, b)
+        if [bpe.merge_by_rank(x, ranks) for x in (a, b)] == [[ranks[a]], [ranks[b]]]:
+            want = bpe.merge_by_rank(a + b, ranks) == [ranks[a], ranks[b]]
+            assert transducer._compatible(ranks[a], ranks[b]) == want
