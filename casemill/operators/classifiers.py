@@ -6,11 +6,9 @@ import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, functions as F
 
-from casemill.operators.reduce import check_width
+from casemill.operators.joint import discriminant_of, moments
 from casemill.operators.stages import (
     ClassifierParams,
     DefaultParamsReadable,
@@ -91,8 +89,7 @@ class LinearScoreModel(StatefulModel, ClassifierParams):
 class LinearDiscriminant(Estimator, ClassifierParams, DefaultParamsReadable, DefaultParamsWritable):
     """Discriminant analysis by least squares on the (shrunk) within-class covariance.
 
-    Two passes inside the JVM give the class means and the Gram matrix; only the d x d solve
-    runs on the driver.
+    One pass gives the class sums and the Gram matrix; only the d x d solve runs on the driver.
     """
 
     shrinkage = param("shrinkage", "weight of the scaled identity in [0, 1]; None is 0")
@@ -105,26 +102,9 @@ class LinearDiscriminant(Estimator, ClassifierParams, DefaultParamsReadable, Def
 
     def _fit(self, df: DataFrame) -> LinearScoreModel:
         features, label = self.getFeaturesCol(), self.getLabelCol()
-        d = width_of(df, features)
-        check_width(d)
-        summary = Summarizer.metrics("mean", "count").summary(F.col(features))
-        classes = df.groupBy(F.col(label).cast("int").alias("label")).agg(summary.alias("s")).collect()
-        if len(classes) < 2:
-            raise ValueError("discriminant analysis needs at least two classes")
-        rows = MLUtils.convertVectorColumnsFromML(df.select(features), features)
-        gram = RowMatrix(rows).computeGramianMatrix().toArray()
-        width = max(r["label"] for r in classes) + 1
-        means, sizes = np.zeros((width, d)), np.zeros(width)
-        for r in classes:
-            means[r["label"]], sizes[r["label"]] = r["s"]["mean"].toArray(), r["s"]["count"]
-        total = sizes.sum()
-        covariance = (gram - (means * sizes[:, None]).T @ means) / total
-        weight = self.getOrDefault("shrinkage") or 0.0
-        shrunk = (1 - weight) * covariance + weight * np.trace(covariance) / d * np.eye(d)
-        weights = np.linalg.lstsq(shrunk, means.T, rcond=None)[0].T
-        with np.errstate(divide="ignore"):
-            bias = -0.5 * np.einsum("ij,ij->i", means, weights) + np.log(sizes / total)
-        weights[sizes == 0] = 0.0
+        top = df.agg(F.max(label).alias("top")).first()["top"]
+        found = moments(df, features, label, int(top or 0) + 1)
+        weights, bias = discriminant_of(found, None, self.getOrDefault("shrinkage"))
         return self._copyValues(LinearScoreModel(weights, bias))
 
 

@@ -8,6 +8,7 @@ work grows with the rows and not with their square.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
@@ -28,6 +29,8 @@ from casemill.session import discard, write_through
 
 # Landmarks handled side by side as columns of one row.
 LANES = 32
+# A graph of at most this many edges is broadcast while looking for paths (24 MB).
+GRAPH_EDGES = 1_000_000
 # A fitted table of at most this many numbers is broadcast when transforming.
 BROADCAST_NUMBERS = 4_000_000
 
@@ -78,6 +81,43 @@ def shortest_paths(edges: DataFrame, start: DataFrame, lanes: list[str], rounds:
     raise RuntimeError(f"paths did not settle within {rounds} rounds")
 
 
+def paths(edges: DataFrame, start: DataFrame, lanes: list[str]) -> DataFrame:
+    """Shortest paths from the distances of ``start``: in the tasks of the bands over a graph that is broadcast if it has at
+    most ``GRAPH_EDGES`` edges, otherwise by rounds of joins."""
+    held = edges.limit(GRAPH_EDGES + 1).toArrow()
+    if held.num_rows > GRAPH_EDGES:
+        return shortest_paths(edges, start, lanes)
+    src, dst, w = (held[c].to_numpy() for c in ("src", "dst", "w"))
+    keys = np.unique(np.concatenate([src, dst]))
+    order = np.argsort(dst, kind="stable")
+    src, dst, w = np.searchsorted(keys, src[order]), np.searchsorted(keys, dst[order]), w[order]
+    graph = edges.sparkSession.sparkContext.broadcast((keys, src, w, *np.unique(dst, return_index=True)))
+
+    def relax(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, src, w, ends, starts = graph.value
+        found = np.unique(np.concatenate([keys, pdf["key"].to_numpy()]))
+        at = np.searchsorted(found, keys)  # points without an edge keep what they have
+        away = np.full((len(lanes), len(found)), np.inf)
+        first = pdf[lanes].to_numpy(dtype=float).T
+        np.fmin.at(away, (slice(None), np.searchsorted(found, pdf["key"].to_numpy())), first)
+        while len(src):
+            near = away[:, at]
+            nearer = np.minimum(near[:, ends], np.minimum.reduceat(near[:, src] + w, starts, axis=1))
+            if (nearer == near[:, ends]).all():
+                break
+            away[:, at[ends]] = nearer
+        away[np.isinf(away)] = np.nan
+        out = pd.DataFrame(away.T, columns=lanes)
+        out.insert(0, "key", found)
+        out.insert(0, "band", pdf["band"].iloc[0])
+        return out[~np.isnan(away).all(axis=0)]
+
+    schema = "band int, key long, " + ", ".join(f"{c} double" for c in lanes)
+    nullable = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in lanes]
+    relaxed = start.repartition(max(1, start.sparkSession.sparkContext.defaultParallelism), "band").groupBy("band").applyInPandas(relax, schema)
+    return write_through(relaxed.select("band", "key", *nullable))
+
+
 class Isomap(Estimator, _IsomapParams, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
     def __init__(
@@ -90,13 +130,11 @@ class Isomap(Estimator, _IsomapParams, DefaultParamsReadable, DefaultParamsWrita
     def _fit(self, df: DataFrame) -> IsomapModel:
         spark = df.sparkSession
         k, seed = self.getOrDefault("k"), self.getOrDefault("seed")
-        vectors = df.select(
-            F.col(self.getOrDefault("keyCol")).cast("long").alias("key"),
-            vector_to_array(self.getInputCol()).alias("vector"),
-        )
-        # Copies share one point: more copies than neighbours would form an island.
-        points = write_through(vectors.groupBy("vector").agg(F.min("key").alias("key")).select("key", "vector"))
-        chosen = points.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(self.getOrDefault("landmarks")).toArrow()
+        vectors = df.select(vector_to_array(self.getInputCol()).alias("vector"))
+        # Copies share one point: more copies than neighbours would form an island. Points are numbered by themselves, so
+        # that repeated or missing keys are rows like others.
+        points = write_through(vectors.distinct().withColumn("key", F.monotonically_increasing_id()).select("key", "vector"))
+        chosen = points.orderBy(F.xxhash64(F.lit(seed), "vector"), "vector").limit(self.getOrDefault("landmarks")).toArrow()
         ids = chosen["key"].to_numpy()
         places = as_block(chosen["vector"].combine_chunks())
         if not k or k >= len(ids):
@@ -111,7 +149,7 @@ class Isomap(Estimator, _IsomapParams, DefaultParamsReadable, DefaultParamsWrita
             "band int, key long, " + ", ".join(f"{c} double" for c in lanes),
         )
         edges = write_through(graph_of(points, self.getOrDefault("neighbors")))
-        state = shortest_paths(edges, start, lanes)
+        state = paths(edges, start, lanes)
         state = self._bridge(points, edges, state, ids, places, lanes)
 
         bands = state.groupBy("key").agg(
@@ -166,7 +204,7 @@ class Isomap(Estimator, _IsomapParams, DefaultParamsReadable, DefaultParamsWrita
         lines = spark.createDataFrame(pairs, "src long, dst long, w double")
         added = ties.unionByName(lines)
         back = added.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-        return shortest_paths(write_through(edges.unionByName(added).unionByName(back)), state, lanes)
+        return paths(write_through(edges.unionByName(added).unionByName(back)), state, lanes)
 
 
 class IsomapModel(StatefulModel, _IsomapParams):
@@ -211,8 +249,8 @@ class IsomapModel(StatefulModel, _IsomapParams):
 
             return df.select("*", block_map(F.col(column), place, out, self.matrix.shape[1]))
 
-        key = self.getOrDefault("keyCol")
-        queries = df.select(F.col(key).alias("key"), vector_to_array(column).alias("vector"))
+        numbered = write_through(df.withColumn("_row", F.monotonically_increasing_id()))
+        queries = numbered.select(F.col("_row").alias("key"), vector_to_array(column).alias("vector"))
         near = knn_join(queries, self.table.select("key", "vector"), k).withColumnRenamed("key", "_query")
         steps = near.join(self.table.select(F.col("key").alias("neighbor"), "away"), "neighbor")
         # At most ``neighbors`` entries per query.
@@ -232,4 +270,4 @@ class IsomapModel(StatefulModel, _IsomapParams):
         placed = grouped.select(
             "_query", array_to_vector(arrow_udf(project, "array<double>")("_steps")).alias(out)
         )
-        return df.join(placed, df[key] == F.col("_query"), "left").drop("_query")
+        return numbered.join(placed, F.col("_row") == F.col("_query"), "left").drop("_query", "_row")

@@ -65,6 +65,18 @@ def nearest(queries: np.ndarray, train: np.ndarray, train_ids: np.ndarray, k: in
     return places, found
 
 
+def vote(labels: np.ndarray) -> np.ndarray:
+    """The most frequent label of each row, the smallest one on ties."""
+    ordered = np.sort(labels, axis=1)
+    best, most = ordered[:, 0].copy(), np.zeros(len(ordered), np.int64)
+    run = np.zeros(len(ordered), np.int64)
+    for j in range(ordered.shape[1]):
+        run = np.where(ordered[:, j] == ordered[:, j - 1], run + 1, 1) if j else run + 1
+        more = run > most
+        best[more], most[more] = ordered[more, j], run[more]
+    return best
+
+
 def _stack(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype(np.float64)
 
@@ -284,14 +296,12 @@ class KNeighborsModel(StatefulModel, ClassifierParams):
         if self.small is not None:
             held = df.sparkSession.sparkContext.broadcast(self.small)
 
-            def vote(block: np.ndarray) -> np.ndarray:
+            def predict(block: np.ndarray) -> np.ndarray:
                 keys, train, labels = held.value
                 places, _ = nearest(block, train, keys, k)
-                classes = np.unique(labels)
-                votes = (labels[places][:, :, None] == classes).sum(axis=1)
-                return classes[votes.argmax(axis=1)]
+                return vote(labels[places])
 
-            return df.withColumn(self.getPredictionCol(), block_score(F.col(self.getFeaturesCol()), vote))
+            return df.withColumn(self.getPredictionCol(), block_score(F.col(self.getFeaturesCol()), predict))
         numbered = write_through(df.withColumn("_row", F.monotonically_increasing_id()))
         queries = numbered.select(
             F.col("_row").alias("key"), vector_to_array(self.getFeaturesCol()).alias("vector")

@@ -117,8 +117,7 @@ def index_labels(cases: DataFrame, target: str = TARGET) -> tuple[DataFrame, lis
 
 
 def with_folds(cases: DataFrame, folds: int = 5) -> DataFrame:
-    assigned = stratified_folds(cases.select(KEY, "label"), KEY, "label", folds)
-    return cases.join(assigned.select(KEY, FOLD), KEY)
+    return stratified_folds(cases, KEY, "label", folds)
 
 
 def sweep_candidates(

@@ -125,9 +125,7 @@ def isomap_embedding(spark, sf):
 
 
 def folded_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    rows = vectors(spark, sf)
-    folds = stratified_folds(rows.select(KEY, "label"), KEY, "label")
-    return rows.join(folds.select(KEY, FOLD), KEY)
+    return stratified_folds(vectors(spark, sf), KEY, "label")
 
 
 def predictions(spark, sf, name: str, params: dict | None = None) -> DataFrame:
