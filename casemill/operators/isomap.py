@@ -97,20 +97,20 @@ def paths(edges: DataFrame, start: DataFrame, lanes: list[str]) -> DataFrame:
         keys, src, w, ends, starts = graph.value
         found = np.unique(np.concatenate([keys, pdf["key"].to_numpy()]))
         at = np.searchsorted(found, keys)  # points without an edge keep what they have
-        away = np.full((len(lanes), len(found)), np.inf)
-        first = pdf[lanes].to_numpy(dtype=float).T
-        np.fmin.at(away, (slice(None), np.searchsorted(found, pdf["key"].to_numpy())), first)
+        away = np.full((len(found), len(lanes)), np.inf)
+        own = np.searchsorted(found, pdf["key"].to_numpy())
+        np.fmin.at(away, own, pdf[lanes].to_numpy(dtype=float))
         while len(src):
-            near = away[:, at]
-            nearer = np.minimum(near[:, ends], np.minimum.reduceat(near[:, src] + w, starts, axis=1))
-            if (nearer == near[:, ends]).all():
+            near = away[at]
+            nearer = np.minimum(near[ends], np.minimum.reduceat(near[src] + w[:, None], starts, axis=0))
+            if (nearer == near[ends]).all():
                 break
-            away[:, at[ends]] = nearer
+            away[at[ends]] = nearer
         away[np.isinf(away)] = np.nan
-        out = pd.DataFrame(away.T, columns=lanes)
+        out = pd.DataFrame(away, columns=lanes)
         out.insert(0, "key", found)
         out.insert(0, "band", pdf["band"].iloc[0])
-        return out[~np.isnan(away).all(axis=0)]
+        return out[~np.isnan(away).all(axis=1)]
 
     schema = "band int, key long, " + ", ".join(f"{c} double" for c in lanes)
     nullable = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in lanes]

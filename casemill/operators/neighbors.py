@@ -32,6 +32,8 @@ from casemill.session import write_through
 BROADCAST_NUMBERS = 8_000_000
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 2048
+# Candidates beyond k whose distances are taken exactly without a look at how many are as near.
+SPARE = 8
 
 
 def nearest(queries: np.ndarray, train: np.ndarray, train_ids: np.ndarray, k: int, own_ids=None):
@@ -46,7 +48,7 @@ def nearest(queries: np.ndarray, train: np.ndarray, train_ids: np.ndarray, k: in
     if k == 0:
         return places, found
     norms = np.einsum("ij,ij->i", train, train)
-    step = max(1, 4_000_000 // len(train))
+    step = max(1, min(4_000_000 // len(train), 4_000_000 // ((k + SPARE) * max(train.shape[1], 1))))
     for start in range(0, len(queries), step):
         part = queries[start : start + step]
         own = np.einsum("ij,ij->i", part, part)
@@ -54,12 +56,28 @@ def nearest(queries: np.ndarray, train: np.ndarray, train_ids: np.ndarray, k: in
         if own_ids is not None:
             rough[own_ids[start : start + step][:, None] == train_ids[None, :]] = np.inf
         margin = 1e-9 * (1.0 + own + norms.max())
-        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + margin
-        for i, row in enumerate(part):
+        # Some more than k candidates: mostly these are all rows within the margin of the k-th one.
+        wide = min(len(train), k + SPARE)
+        some = np.argpartition(rough, wide - 1, axis=1)[:, :wide] if wide < len(train) else np.arange(wide)[None, :].repeat(len(part), 0)
+        close = np.take_along_axis(rough, some, 1)
+        limit = np.partition(close, k - 1, axis=1)[:, k - 1] + margin
+        difference = train[some] - part[:, None, :]
+        exact = np.einsum("ijk,ijk->ij", difference, difference)
+        exact[(close > limit[:, None]) | np.isinf(close)] = np.inf
+        order = np.argsort(train_ids[some], axis=1, kind="stable")
+        order = np.take_along_axis(order, np.argsort(np.take_along_axis(exact, order, 1), axis=1, kind="stable"), 1)[:, :k]
+        best = np.take_along_axis(exact, order, 1)
+        places[start : start + len(part)] = np.where(np.isinf(best), -1, np.take_along_axis(some, order, 1))
+        found[start : start + len(part)] = best
+        if wide == len(train):
+            continue
+        for i in np.flatnonzero(close.max(axis=1) <= limit):  # more rows are as near
             near = np.flatnonzero((rough[i] <= limit[i]) & np.isfinite(rough[i]))
-            difference = train[near] - row
+            difference = train[near] - part[i]
             exact = np.einsum("ij,ij->i", difference, difference)
             order = np.lexsort((train_ids[near], exact))[:k]
+            places[start + i] = -1
+            found[start + i] = np.inf
             places[start + i, : len(order)] = near[order]
             found[start + i, : len(order)] = exact[order]
     return places, found

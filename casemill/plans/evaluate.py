@@ -10,9 +10,9 @@ from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.errors import IllegalArgumentException
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from casemill.functions.scalar import to_number
 from casemill.operators import ranking as rk
@@ -21,6 +21,7 @@ from casemill.operators.isomap import Isomap
 from casemill.operators.reduce import CenteredPCA, TruncatedSVD
 from casemill.operators.registry import MODELS, NamedClassifier, candidates, model_str
 from casemill.operators.splits import FOLD, prefix_cutoffs, stratified_folds
+from casemill.plans.shared import FoldSpaces, is_joint, score_joint
 from casemill.schema import KEY, RESULT_SCHEMA, TARGET
 from casemill.sources.results import ResultStore, save_model
 
@@ -35,6 +36,14 @@ REDUCERS: dict[str, Callable] = {
     "Isomap": lambda n: Isomap(k=n, seed=SEED),
 }
 
+BUILT_IN = dict(REDUCERS)
+
+
+def register_reducer(name: str, build: Callable[[int | None], Estimator]) -> None:
+    """Add a user's own reducer: ``build(n_dimensions)`` gives an estimator from ``features`` to ``reduced``."""
+    REDUCERS[name] = build
+
+
 # The options of the full sweep.
 FULL_SWEEP = {
     "models": list(MODELS),
@@ -143,9 +152,9 @@ def sweep_candidates(
 class Evaluator:
     """Scores candidates on cases with ``case_id``, features, ``label`` and ``fold``.
 
-    Candidates with the same evidence options share the encoded features of a fold, and those
-    with the same layout the reduced ones: each is computed once, persisted, used by all
-    classifiers and released. Up to ``threads`` folds run at a time, so that the executors stay
+    Candidates with the same evidence options share the encoded features of a fold, those with
+    the same reducer its decomposition, and most frequent, neighbours and discriminant analysis also their
+    passes (see ``plans.shared``). Everything shared is computed once, persisted, and released. Up to ``threads`` folds run at a time, so that the executors stay
     busy during the many short jobs. ``features`` names a ready-made vector column, which then
     takes the place of the encoded cases in every layout.
     """
@@ -165,6 +174,8 @@ class Evaluator:
         self.cases, self.classes, self.folds, self.metric = cases, classes, folds, metric
         self.count_cols, self.threads, self.seed = list(count_cols), threads, seed
         self.spark: SparkSession = cases.sparkSession
+        self.storage, self.reducers = STORAGE, REDUCERS
+        self.failures: list[tuple] = []
 
     def _encoded(self, layout: Layout, fold: int, rows: Column | None) -> DataFrame:
         """Encoded features of all used rows, fitted on the training rows of the fold."""
@@ -175,48 +186,45 @@ class Evaluator:
         fitted = preprocessing(plain, self.count_cols).fit(used.filter(F.col(FOLD) != fold))
         return fitted.transform(used).select(KEY, "label", FOLD, "features").persist(STORAGE)
 
-    def _reduced(self, encoded: DataFrame, layout: Layout, fold: int) -> DataFrame:
-        reducer = REDUCERS[layout.reducer](layout.n_dimensions)
-        fitted = reducer.fit(encoded.filter(F.col(FOLD) != fold))
-        return fitted.transform(encoded).select(KEY, "label", FOLD, "reduced").persist(STORAGE)
-
-    def _score(self, rows: DataFrame, column: str, fold: int, model: str, params: dict):
-        """``(train, test)``: one fit, and one pass that scores both sides."""
-        stage = NamedClassifier(
-            name=model, params_=params, classes=self.classes, seed=self.seed, featuresCol=column
+    def _scores(self, predicted: DataFrame, fold: int, columns: Sequence[Column]) -> list[tuple]:
+        """``(train, test)`` of each prediction column, in one pass."""
+        sides = predicted.groupBy((F.col(FOLD) == fold).alias("held_out")).agg(
+            *[self.metric(F.col("label"), c).alias(f"s{i}") for i, c in enumerate(columns)]
         )
-        fitted = stage.fit(rows.filter(F.col(FOLD) != fold))
-        scored = (
-            fitted.transform(rows)
-            .groupBy((F.col(FOLD) == fold).alias("held_out"))
-            .agg(self.metric(F.col("label"), F.col("prediction")).alias("score"))
-        )
-        by_side = {r["held_out"]: r["score"] for r in scored.collect()}
-        return by_side.get(False), by_side.get(True)
+        found = {r["held_out"]: r for r in sides.collect()}
+        return [tuple(found[side][f"s{i}"] if side in found else None for side in (False, True)) for i in range(len(columns))]
 
     def _fold(self, group: Sequence[Candidate], fold: int, rows: Column | None, report) -> None:
-        """All candidates of one evidence option on one fold, layout by layout."""
+        """All candidates of one evidence option on one fold: first those that share passes, then layout by layout.
+
+        What a stage rejects is noted with its reason; an error of the metric is an error of the search.
+        """
         encoded = self._encoded(group[0].layout, fold, rows)
+        own = {n: make for n, make in REDUCERS.items() if BUILT_IN.get(n) is not make}
+        spaces = FoldSpaces(self, encoded, fold, own, INVALID)
+        dimensions: dict = {}
+        for c in group:
+            dimensions.setdefault(c.layout.reducer, []).append(c.layout.n_dimensions)
         try:
+            shared = [c for c in group if is_joint(c, own)]
+            scores, reasons, rest = score_joint(spaces, shared, dimensions, lambda df, columns: self._scores(df, fold, columns))
+            single = [*rest, *(c for c in group if c not in shared)]
             for layout in dict.fromkeys(c.layout for c in group):
+                for c in [c for c in single if c.layout == layout]:
+                    try:
+                        ready, column = spaces.rows(layout, dimensions[layout.reducer])
+                        stage = NamedClassifier(
+                            name=c.model, params_=c.params, classes=self.classes, seed=self.seed, featuresCol=column
+                        )
+                        predicted = stage.fit(ready.filter(F.col(FOLD) != fold)).transform(ready)
+                    except INVALID as error:
+                        reasons[c.seq] = str(error)
+                        continue
+                    (scores[c.seq],) = self._scores(predicted, fold, [F.col("prediction")])
                 members = [c for c in group if c.layout == layout]
-                scores = dict.fromkeys((c.seq for c in members), None)
-                ready = encoded
-                try:
-                    if layout.reducer:
-                        ready = self._reduced(encoded, layout, fold)
-                    for c in members:
-                        try:
-                            scores[c.seq] = self._score(ready, input_column(layout), fold, c.model, c.params)
-                        except INVALID:
-                            continue
-                except INVALID:
-                    pass
-                finally:
-                    if ready is not encoded:
-                        ready.unpersist()
-                report(layout, fold, scores)
+                report(layout, fold, {c.seq: scores.get(c.seq) for c in members}, reasons)
         finally:
+            spaces.close()
             encoded.unpersist()
 
     def evaluate(
@@ -231,15 +239,18 @@ class Evaluator:
         each layout, for checkpoints.
         """
         found: list[tuple] = []
+        failed: dict[int, tuple] = {}
         scores: dict[int, dict[int, tuple]] = {c.seq: {} for c in wanted}
         finished: dict[Layout, int] = {}
         lock = Lock()
 
-        def report(layout: Layout, fold: int, seen: dict) -> None:
+        def report(layout: Layout, fold: int, seen: dict, reasons: dict) -> None:
             with lock:
                 for seq, score in seen.items():
                     if score is not None:
                         scores[seq][fold] = score
+                    else:
+                        failed[seq] = min(failed.get(seq, (fold, "")), (fold, reasons.get(seq, "")))
                 finished[layout] = finished.get(layout, 0) + 1
                 if finished[layout] < self.folds:
                     return
@@ -262,8 +273,19 @@ class Evaluator:
             work = [pool.submit(self._fold, g, f, rows(f) if rows else None, report) for g, f in units]
             for unit in work:
                 unit.result()
+        self.failures = [
+            (c.seq, c.model, model_str(c.model), *c.layout, {k: json.dumps(v) for k, v in c.params.items()}, *failed[c.seq])
+            for c in wanted
+            if c.seq in failed
+        ]
         return self.spark.createDataFrame(sorted(found, key=lambda r: r[0]), RESULT_SCHEMA)
 
+    def failed(self) -> DataFrame:
+        """The candidates of the last search that a stage rejected: the first such fold, and the reason."""
+        fields = [f for f in RESULT_SCHEMA.fields if f.name not in ("mean_train_score", "mean_test_score", "fold_scores")]
+        more = [T.StructField("fold", T.IntegerType()), T.StructField("reason", T.StringType())]
+        return self.spark.createDataFrame(self.failures, T.StructType([*fields, *more]))
+
     @staticmethod
     def _row(c: Candidate, scores: list[tuple]) -> tuple:
         def mean(values):

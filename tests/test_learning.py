@@ -352,3 +352,88 @@ def test_own_metric_and_preprocessing(spark, judged):
     assert row["mean_test_score"] == 0.5
     out = ev.fit_transform_features(judged.cases, ev.Layout("PCA", 2, True, True))
     assert column(out, "reduced").shape == (80, 2)
+
+
+def test_shared_passes_give_what_single_fits_give(spark, judged, monkeypatch):
+    """All layouts of three models, against each candidate fitted by itself."""
+    from casemill.operators import joint
+    from casemill.plans import shared
+
+    wanted = ev.sweep_candidates(
+        ["DummyClassifier", "KNeighborsClassifier", "LinearDiscriminantAnalysis"],
+        [None, "PCA", "TruncatedSVD", "Isomap"], [2, 5, 300, None], [False], [True],
+    )
+    more = [{"n_neighbors": k} for k in (1, 3, 50)], [{"shrinkage": s} for s in (0.0, 0.5, 1.0)]
+    for name, params in zip(("KNeighborsClassifier", "LinearDiscriminantAnalysis"), more):
+        for layout in (ev.Layout(), ev.Layout("PCA", 2)):
+            wanted += [ev.Candidate(100 + len(wanted) + i, name, p, layout) for i, p in enumerate(params)]
+
+    def rows(found):
+        return {r["seq"]: [r["mean_train_score"], r["mean_test_score"], *(x for s in r["fold_scores"] for x in s)] for r in found.collect()}
+
+    together = rows(judged.evaluate(wanted))
+    reasons = {r["seq"]: r["reason"] for r in judged.failed().collect()}
+    assert set(together) | set(reasons) == {c.seq for c in wanted} and not set(together) & set(reasons)
+    assert {c.layout.n_dimensions for c in wanted if c.seq in reasons} == {300} and all(reasons.values())
+    monkeypatch.setattr(shared, "JOINT", {})
+    single = rows(judged.evaluate(wanted))
+    assert single.keys() == together.keys()
+    assert all(together[s] == pytest.approx(single[s]) for s in single)
+    monkeypatch.undo()
+    # Too much to broadcast: each model in its own form.
+    monkeypatch.setattr(joint, "MODEL_NUMBERS", 0)
+    monkeypatch.setattr(joint, "BROADCAST_NUMBERS", 0)
+    few = [c for c in wanted if c.layout in (ev.Layout(), ev.Layout("PCA", 2))]
+    large = rows(judged.evaluate(few))
+    assert large == {s: pytest.approx(together[s]) for s in large} and len(large) == len(few)
+
+
+def test_own_reducers_and_errors(spark, judged, monkeypatch):
+    from casemill.operators.reduce import TruncatedSVD as Own
+
+    monkeypatch.setattr(ev, "REDUCERS", dict(ev.REDUCERS))
+    ev.register_reducer("Own", lambda n: Own(k=n))
+    wanted = [ev.Candidate(i, "LinearDiscriminantAnalysis", {}, ev.Layout(r, 3)) for i, r in enumerate(["Own", "TruncatedSVD"])]
+    rows = judged.evaluate(wanted).collect()
+    assert rows[0]["mean_test_score"] == pytest.approx(rows[1]["mean_test_score"])
+
+    def broken(label, prediction):
+        raise ValueError("not a metric")
+
+    with pytest.raises(ValueError, match="not a metric"):
+        ev.Evaluator(judged.cases, 2, metric=broken).evaluate([ev.Candidate(0, "DummyClassifier", {}, ev.Layout())])
+
+
+@pytest.mark.parametrize("numbers", [None, 0])
+def test_isomap_names_rows_by_themselves(spark, monkeypatch, numbers):
+    """Repeated and missing keys: every row has its own place, in both forms."""
+    if numbers is not None:
+        monkeypatch.setattr(im, "BROADCAST_NUMBERS", numbers)
+        monkeypatch.setattr(im, "GRAPH_EDGES", numbers)
+    random = np.random.default_rng(3)
+    x = random.normal(size=(40, 3))
+    rows = [(None if i == 5 else i % 7, [float(v) for v in p]) for i, p in enumerate(x)]
+    df = spark.createDataFrame(rows, "case_id long, vector array<double>").withColumn("features", array_to_vector("vector"))
+    out = im.Isomap(k=2, neighbors=4, landmarks=100).fit(df).transform(df)
+    got = {tuple(r["vector"]): r["v"] for r in out.select("vector", vector_to_array("reduced").alias("v")).collect()}
+    assert len(got) == 40 and all(v is not None for v in got.values())
+    near = [np.argsort([((p - q) ** 2).sum() for q in x])[1:5] for p in x]
+    away = np.full((40, 40), np.inf)
+    np.fill_diagonal(away, 0)
+    for i, js in enumerate(near):
+        for j in js:
+            away[i, j] = away[j, i] = np.linalg.norm(x[i] - x[j])
+    for m in range(40):
+        away = np.minimum(away, away[:, [m]] + away[[m], :])
+    square = away**2
+    center = np.eye(40) - 1 / 40
+    values, basis = np.linalg.eigh(-0.5 * center @ square @ center)
+    wanted = (basis * np.sqrt(np.maximum(values, 0)))[:, ::-1][:, :2]
+    found = np.array([got[tuple(map(float, p))] for p in x])
+    assert np.allclose(np.abs(found), np.abs(wanted), atol=1e-6)
+
+
+def test_repeated_keys_stay_single_rows(spark):
+    rows = [(1, 0.0), (1, 1.0), (2, 0.0), (None, 1.0)]
+    df = spark.createDataFrame(rows, "case_id long, label double")
+    assert ev.with_folds(df, 2).count() == 4
