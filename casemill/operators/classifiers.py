@@ -103,7 +103,7 @@ class LinearDiscriminant(Estimator, ClassifierParams, DefaultParamsReadable, Def
     def _fit(self, df: DataFrame) -> LinearScoreModel:
         features, label = self.getFeaturesCol(), self.getLabelCol()
         top = df.agg(F.max(label).alias("top")).first()["top"]
-        found = moments(df, features, label, int(top or 0) + 1)
+        found = moments(df, features, F.col(label), int(top or 0) + 1)
         weights, bias = discriminant_of(found, None, self.getOrDefault("shrinkage"))
         return self._copyValues(LinearScoreModel(weights, bias))
 

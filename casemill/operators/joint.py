@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from casemill.operators.neighbors import BROADCAST_NUMBERS, nearest, vote
-from casemill.operators.reduce import check_width
-from casemill.operators.vectors import as_block, as_lists, packed, summed, width_of
+from casemill.operators.vectors import as_block, as_lists, check_width, packed, summed, width_of
 
 #: Numbers of all models of a pass together, which are broadcast (64 MB).
 MODEL_NUMBERS = 8_000_000
@@ -40,7 +39,7 @@ class Moments(NamedTuple):
         return self.sums.sum(0) / max(self.counts.sum(), 1.0)
 
 
-def moments(df: DataFrame, features: str, label: str, classes: int) -> Moments:
+def moments(df: DataFrame, features: str, label: Column, classes: int) -> Moments:
     d = width_of(df, features)
     check_width(d)
 
@@ -52,7 +51,7 @@ def moments(df: DataFrame, features: str, label: str, classes: int) -> Moments:
             gram += x.T @ x
         return np.concatenate([counts, sums.ravel(), gram.ravel()])
 
-    total = summed(packed(df, features, F.col(label)), partial, classes * (d + 1) + d * d)
+    total = summed(packed(df, features, label), partial, classes * (d + 1) + d * d)
     counts, sums, gram = np.split(total, [classes, classes * (d + 1)])
     if not counts.sum():
         raise ValueError("no rows to fit on")
@@ -60,8 +59,11 @@ def moments(df: DataFrame, features: str, label: str, classes: int) -> Moments:
 
 
 def _leading(matrix: np.ndarray, k: int) -> np.ndarray:
+    """Leading eigenvectors, with the largest entry of each positive; zero beyond the rank."""
     values, vectors = np.linalg.eigh(matrix)
-    return vectors[:, np.argsort(values)[::-1][:k]]
+    top = np.argsort(values)[::-1][:k]
+    chosen = vectors[:, top] * (values[top] > 1e-13 * max(values.max(), 0.0))
+    return chosen * np.where(chosen[np.abs(chosen).argmax(0), np.arange(k)] < 0, -1.0, 1.0)
 
 
 def principal(m: Moments, k: int | None) -> tuple[np.ndarray, np.ndarray]:

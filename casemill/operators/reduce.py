@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import PCA
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, functions as F
@@ -18,16 +16,8 @@ from casemill.operators.stages import (
     keyword_only,
     param,
 )
-from casemill.operators.vectors import block_map, width_of
-
-# A d x d matrix of doubles is held on the driver: 8 * d^2 bytes, at most about 3 GB.
-WIDTH_LIMIT = 20_000
-
-
-def check_width(d: int) -> None:
-    if d > WIDTH_LIMIT:
-        raise ValueError(f"{d} features exceed the {WIDTH_LIMIT} a d x d driver step allows")
-
+from casemill.operators.joint import moments, principal, singular
+from casemill.operators.vectors import WIDTH_LIMIT, block_map, width_of
 
 class _ReducerParams(HasInputCol, HasOutputCol):
     k = param("k", "number of output dimensions; None keeps as many as possible")
@@ -37,7 +27,7 @@ class _ReducerParams(HasInputCol, HasOutputCol):
 
 
 class CenteredPCA(Estimator, _ReducerParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Principal components of the covariance, which Spark accumulates in one pass."""
+    """Principal components of the covariance, from the Gram matrix of one pass."""
 
     @keyword_only
     def __init__(self, k=None, inputCol="features", outputCol="reduced"):
@@ -47,22 +37,13 @@ class CenteredPCA(Estimator, _ReducerParams, DefaultParamsReadable, DefaultParam
 
     def _fit(self, df: DataFrame) -> ProjectionModel:
         column = self.getInputCol()
-        d = width_of(df, column)
-        check_width(d)
-        summary = df.select(
-            Summarizer.metrics("mean", "count").summary(F.col(column)).alias("s")
-        ).first()["s"]
-        most = min(d, summary["count"])
-        k = self.getOrDefault("k") or most
-        if k > most:
-            raise ValueError(f"{k} components from {summary['count']} rows of {d} features")
-        components = PCA(k=k, inputCol=column, outputCol="_pc").fit(df).pc.toArray()
-        offset = -summary["mean"].toArray() @ components
+        components, offset = principal(moments(df, column, F.lit(0), 1), self.getOrDefault("k"))
         return self._copyValues(ProjectionModel(components, offset))
 
 
 class TruncatedSVD(Estimator, _ReducerParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Leading right singular vectors, without centring."""
+    """Leading right singular vectors, without centring: from the Gram matrix, or by Spark's distributed products if a d x d
+    matrix is too large for the driver."""
 
     @keyword_only
     def __init__(self, k=2, inputCol="features", outputCol="reduced"):
@@ -75,6 +56,8 @@ class TruncatedSVD(Estimator, _ReducerParams, DefaultParamsReadable, DefaultPara
         d = width_of(df, column)
         if k is None or k > d:
             raise ValueError(f"{k} components from {d} features")
+        if d <= WIDTH_LIMIT:
+            return self._copyValues(ProjectionModel(*singular(moments(df, column, F.lit(0), 1), k)))
         rows = MLUtils.convertVectorColumnsFromML(df.select(column), column)
         right = RowMatrix(rows).computeSVD(k, computeU=False).V.toArray()
         # A rank below k leaves the last dimensions at zero.

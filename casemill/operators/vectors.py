@@ -61,6 +61,15 @@ def width_of(df: DataFrame, features: str) -> int:
     return row["d"]
 
 
+# A d x d matrix of doubles is held on the driver: 8 * d^2 bytes, at most about 3 GB.
+WIDTH_LIMIT = 20_000
+
+
+def check_width(d: int) -> None:
+    if d > WIDTH_LIMIT:
+        raise ValueError(f"{d} features exceed the {WIDTH_LIMIT} a d x d driver step allows")
+
+
 # Numbers in one packed block (4 MB).
 BLOCK_NUMBERS = 500_000
 

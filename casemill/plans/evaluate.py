@@ -250,7 +250,8 @@ class Evaluator:
                     if score is not None:
                         scores[seq][fold] = score
                     else:
-                        failed[seq] = min(failed.get(seq, (fold, "")), (fold, reasons.get(seq, "")))
+                        if seq not in failed or fold < failed[seq][0]:
+                            failed[seq] = (fold, reasons[seq])
                 finished[layout] = finished.get(layout, 0) + 1
                 if finished[layout] < self.folds:
                     return
