@@ -212,6 +212,7 @@ class LinearMargin(Estimator, ClassifierParams, DefaultParamsReadable, DefaultPa
             if not present:
                 raise ValueError("no rows to fit on")
             classes, C = np.array(present), self.getOrDefault("C")
+            partitions = blocks.rdd.getNumPartitions()
             runs = [_Descent(np.zeros(d + 1)) for _ in present]
             for _ in range(self.getOrDefault("passes")):
                 # Classes x features doubles: the size of the model itself.
@@ -227,7 +228,7 @@ class LinearMargin(Estimator, ClassifierParams, DefaultParamsReadable, DefaultPa
                         total = part if total is None else total + part
                     return None if total is None else total.ravel()
 
-                sums = summed(blocks, losses, len(classes) * (d + 2)).reshape(len(classes), d + 2)
+                sums = summed(blocks, losses, len(classes) * (d + 2), partitions).reshape(len(classes), d + 2)
                 for run, weights, row in zip(runs, trial.value, sums):
                     run.take(0.5 * weights @ weights + C * row[0], weights + C * row[1:])
                 trial.unpersist()
@@ -365,7 +366,7 @@ class OnlineLinear(Estimator, ClassifierParams, DefaultParamsReadable, DefaultPa
                         seen += len(y)
                     return np.append(own.ravel() * seen, [wrong, seen]) if seen else None
 
-                sums = summed(blocks, learn, weights.size + 2)
+                sums = summed(blocks, learn, weights.size + 2, parts)
                 start.unpersist()
                 mixed = sums[:-1] / sums[-1]
                 weights, errors = mixed[:-1].reshape(weights.shape), mixed[-1]

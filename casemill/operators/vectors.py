@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
@@ -112,27 +113,46 @@ def blocks_of(batches):
             yield x.values.to_numpy(zero_copy_only=False).reshape(len(labels), -1), labels
 
 
-def summed(blocks: DataFrame, partial: Callable, size: int) -> np.ndarray:
+# Numbers in one row of a partial sum (512 kB), and how many partial sums there are after the first round of adding.
+CHUNK, SLOTS = 65_536, 32
+# Sums of more numbers are added up in Spark to the end.
+DRIVER_NUMBERS = 1_000_000
+
+
+def summed(blocks: DataFrame, partial: Callable, size: int, partitions: int | None = None) -> np.ndarray:
     """Sum over all partitions of ``partial(blocks) -> vector`` of a fixed ``size``.
 
-    Each partition gives one vector as (place, value) rows; Spark adds them by place, so the
-    driver receives ``size`` numbers however many partitions there are.
+    Each partition gives its vector as a few rows of packed numbers. Vectors of the same slot are added in one task, so the
+    rows that are shuffled depend on the partitions and not on what is in the vector, no task sees more than a share of
+    them, and the driver receives at most ``SLOTS`` vectors. Loops that know their number of ``partitions`` spare the shuffle
+    while all vectors together are small.
     """
+    schema = "slot int, start long, value binary"
 
     def run(batches):
         vector = partial(blocks_of(batches))
         if vector is not None:
-            places = pa.array(np.arange(len(vector), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([places, pa.array(vector)], ["place", "value"])
-
-    table = (
-        blocks.mapInArrow(run, "place int, value double")
-        .groupBy("place")
-        .agg(F.sum("value").alias("value"))
-        .toArrow()
-    )
+            slot = TaskContext.get().partitionId() % SLOTS
+            for start in range(0, len(vector), CHUNK):
+                part = np.ascontiguousarray(vector[start : start + CHUNK], dtype=np.float64).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([slot], pa.int32()), pa.array([start], pa.int64()), pa.array([part], pa.binary())], ["slot", "start", "value"]
+                )
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v.as_py()) for v in rows["value"])
+        return pa.table([rows["slot"][:1], rows["start"][:1], pa.array([total.tobytes()], pa.binary())], ["slot", "start", "value"])
+
+    parts = blocks.mapInArrow(run, schema)
+    few = partitions is not None and partitions * size <= DRIVER_NUMBERS
+    if not few:
+        parts = parts.groupBy("slot", "start").applyInArrow(add, schema)
+    if size > DRIVER_NUMBERS:
+        parts = parts.withColumn("slot", F.lit(0)).groupBy("slot", "start").applyInArrow(add, schema)
     total = np.zeros(size)
-    total[table["place"].to_numpy()] = table["value"].to_numpy()
+    for row in parts.toArrow().to_pylist():
+        value = np.frombuffer(row["value"])
+        total[row["start"] : row["start"] + len(value)] += value
     return total
 
 

@@ -437,3 +437,20 @@ def test_repeated_keys_stay_single_rows(spark):
     rows = [(1, 0.0), (1, 1.0), (2, 0.0), (None, 1.0)]
     df = spark.createDataFrame(rows, "case_id long, label double")
     assert ev.with_folds(df, 2).count() == 4
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_partial_sums(spark, monkeypatch, limit):
+    from casemill.operators import vectors
+
+    monkeypatch.setattr(vectors, "CHUNK", 3)
+    monkeypatch.setattr(vectors, "SLOTS", 2)
+    monkeypatch.setattr(vectors, "DRIVER_NUMBERS", limit)
+    x = np.arange(60.0).reshape(20, 3)
+    blocks = vectors.packed(frame(spark, x), "features", F.col("label"))
+
+    def gram(parts):
+        return sum((p.T @ p).ravel() for p, _ in parts)
+
+    assert np.allclose(vectors.summed(blocks, gram, 9), (x.T @ x).ravel())
+    assert not vectors.summed(blocks.filter("false"), lambda parts: None, 9).any()
