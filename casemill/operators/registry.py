@@ -18,6 +18,7 @@ from casemill.operators.classifiers import (
     OnlineLinear,
 )
 from casemill.operators.neighbors import KNeighbors
+from casemill.operators.network import Perceptrons
 from casemill.operators.stages import (
     ClassifierParams,
     DefaultParamsReadable,
@@ -88,8 +89,9 @@ def _boosting(size: Size, p: dict, c: dict):
 
 
 def _mlp(size: Size, p: dict, c: dict):
-    layers = [size.features, *p.get("hidden_layer_sizes", (100,)), size.classes]
-    return mlc.MultilayerPerceptronClassifier(layers=layers, maxIter=200, seed=size.seed, **c)
+    return Perceptrons(
+        hidden=list(p.get("hidden_layer_sizes", (100,))), alpha=p.get("alpha", 0.0001), classes=size.classes, seed=size.seed, **c
+    )
 
 
 def _online(kind: str):
@@ -99,8 +101,7 @@ def _online(kind: str):
     return build
 
 
-# The tuned parameters and their candidates. The strength of the L2 term of the
-# multi-layer perceptron is missing, as the Spark stage has no such parameter.
+# The tuned parameters and their candidates.
 _STRENGTH = [0.001, 0.01, 0.1, 1.0, 10.0]
 _DEPTHS = [1, 10, MAX_DEPTH]  # 50, 200, 500 and no limit cannot be built
 _TREES = [10, 100, 500, 1000]
@@ -115,7 +116,9 @@ MODELS: dict[str, ModelSpec] = {
     "LogisticRegression": ModelSpec(_logistic, {"C": _STRENGTH}),
     "LinearSVC": ModelSpec(lambda s, p, c: LinearMargin(C=p.get("C", 1.0), **c), {"C": _STRENGTH}),
     "SVC": ModelSpec(lambda s, p, c: KernelSVC(C=p.get("C", 1.0), seed=s.seed, **c), {"C": _STRENGTH}),
-    "MLPClassifier": ModelSpec(_mlp, {"hidden_layer_sizes": [(5,), (50,), (200,), (500,)]}),
+    "MLPClassifier": ModelSpec(
+        _mlp, {"alpha": [0.00001, 0.0001, 0.001, 0.01, 0.1], "hidden_layer_sizes": [(5,), (50,), (200,), (500,)]}
+    ),
     "LinearDiscriminantAnalysis": ModelSpec(
         lambda s, p, c: LinearDiscriminant(shrinkage=p.get("shrinkage"), **c),
         {"shrinkage": [None, 0.0, 0.3, 0.6, 1.0]},

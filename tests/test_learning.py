@@ -454,3 +454,34 @@ def test_partial_sums(spark, monkeypatch, limit):
 
     assert np.allclose(vectors.summed(blocks, gram, 9), (x.T @ x).ravel())
     assert not vectors.summed(blocks.filter("false"), lambda parts: None, 9).any()
+
+
+def test_back_propagation_is_the_gradient():
+    from casemill.operators import network as nw
+
+    random = np.random.default_rng(2)
+    sizes, x, y = [4, 5, 3, 6], random.normal(size=(30, 4)), random.integers(0, 6, 30)
+    vector = random.normal(size=sum((a + 1) * b for a, b in zip(sizes, sizes[1:])))
+    total = nw.loss_and_gradient(vector, sizes, x, y)
+    for i in random.permutation(len(vector))[:40]:
+        step = np.zeros_like(vector)
+        step[i] = 1e-6
+        high, low = (nw.loss_and_gradient(vector + s, sizes, x, y)[0] for s in (step, -step))
+        assert total[1 + i] == pytest.approx((high - low) / 2e-6, rel=1e-4, abs=1e-5)
+
+
+def test_strength_of_the_network(spark, tmp_path):
+    """A strong L2 term shrinks the weights; the minimum has no gradient; every candidate of the grid can be built."""
+    from casemill.operators import network as nw
+
+    x, y = blobs()
+    df = frame(spark, x, y)
+    models = [nw.Perceptrons(hidden=[8], alpha=a, passes=400).fit(df) for a in (0.1, 100.0)]
+    free, held = (np.concatenate([w.ravel() for w, _ in nw.layers_of(m.vector, m.sizes)]) for m in models)
+    assert (held @ held) < 0.5 * (free @ free) and all(m.converged for m in models)
+    total = nw.loss_and_gradient(models[1].vector, models[1].sizes, x, y) / len(x)
+    pull = np.zeros_like(models[1].vector)
+    for (w, _), (into, _) in zip(nw.layers_of(models[1].vector, models[1].sizes), nw.layers_of(pull, models[1].sizes)):
+        into[...] = w
+    assert np.abs(total[1:] + 100.0 / len(x) * pull).max() < 1e-2
+    assert len(candidates(MODELS["MLPClassifier"].grid)) == 20
