@@ -93,7 +93,7 @@ def encode_long(
     if handle_unknown == "ignore":
         return encoded.join(ids, "evidence_id", "left_semi").select(KEY, "evidence_id", "value")
     marked = encoded.join(ids.withColumn("_known", F.lit(True)), "evidence_id", "left")
-    failure = F.raise_error(F.concat(F.col("evidence_id"), F.lit(" is an unknown evidence.")))
+    failure = F.raise_error(F.concat(F.lit("not in the fitted vocabulary: "), F.col("evidence_id")))
     value = F.when(F.col("_known").isNull(), failure.cast("int")).otherwise(F.col("value"))
     return marked.select(KEY, "evidence_id", value.alias("value"))
 
@@ -159,7 +159,7 @@ def _vector_encoder(ids: list[str], strict: bool):
         for lists, sign in ((absent, -1.0), (present, 1.0)):
             rows, found, values = _flat(lists, ordered)
             if strict and (found < 0).any():
-                raise ValueError(f"{values[int(np.argmax(found < 0))].as_py()} is an unknown evidence.")
+                raise ValueError(f"not in the fitted vocabulary: {values[int(np.argmax(found < 0))].as_py()}")
             known = found >= 0
             cells.append(rows[known] * width + found[known])
             signs.append(np.full(int(known.sum()), sign))
@@ -285,7 +285,7 @@ class EvidenceEncoderModel(StatefulModel, _EvidenceParams):
         known = df.sparkSession.createDataFrame([(i,) for i in self.ids], "evidence_id string")
         marked = long.join(F.broadcast(known.withColumn("_known", F.lit(True))), "evidence_id", "left")
         if self.get("handleUnknown") == "error":
-            failure = F.raise_error(F.concat(F.col("evidence_id"), F.lit(" is an unknown evidence.")))
+            failure = F.raise_error(F.concat(F.lit("not in the fitted vocabulary: "), F.col("evidence_id")))
             value = F.when(F.col("_known").isNull(), failure.cast("int")).otherwise(F.col("value"))
             return marked.select(KEY, "evidence_id", value.alias("value"))
         return marked.filter("_known").select(KEY, "evidence_id", "value")

@@ -42,9 +42,9 @@ def test_unknown_ids(spark, cases):
     ignoring = ev.EvidenceEncoder(countEvidence=True).fit(cases).transform(new)
     assert encoded(ignoring)[9] == [0, 0, 0, 0] and ignoring.first()[ev.PRESENT_COUNT] == 2
     strict = ev.EvidenceEncoder(handleUnknown="error").fit(cases)
-    with pytest.raises(Exception, match="x is an unknown evidence"):
+    with pytest.raises(Exception, match="not in the fitted vocabulary: x"):
         strict.transform(new).collect()
-    with pytest.raises(Exception, match="x is an unknown evidence"):
+    with pytest.raises(Exception, match="not in the fitted vocabulary: x"):
         strict.transform_long(new).collect()
     with pytest.raises(ValueError, match="handle_unknown"):
         ev.EvidenceEncoder(handleUnknown="drop").fit(cases)
