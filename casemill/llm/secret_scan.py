@@ -23,9 +23,17 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of 16 and more
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|auth|(?:api|access|private|client)[_-]?(?:key|secret))"""
-    r"""["']?\x20*[:=]\x20*["']?([!#-&(-~]+)""",
-    re.IGNORECASE | re.ASCII,
+    r"""(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|auth|(?:api|access|private|client|secret)[_-]?(?:key|secret|token))"""
+    r"""["']?[\x20\t]*[:=][\x20\t]*(?:"([^"\r\n]+)"|'([^'\r\n]+)'|["']?([^\s"']\S*))""",
+    re.IGNORECASE,
+)
+#: What closes something around a value that has no quotes, and what would open it inside the value.
+_CLOSERS = {"'": "", '"': "", ",": "", ";": "", ")": "(", "]": "[", "}": "{", ">": "<"}
+#: Values that stand for a secret kept elsewhere: they are guessed at once.
+PLACEHOLDER = re.compile(
+    r"""\$\{[^}]*\}|\$\(\w+\)|\$[A-Z_][A-Z0-9_]*|\{\{[^}]*\}\}|\{\w+\}|<[^>]*>|%\w+%|\[\w+\]|"""
+    r"""(?:os\.environ|os\.getenv|process\.env|getenv|env)\b.*|[*x.•_-]+""",
+    re.IGNORECASE,
 )
 KINDS = ("assign", "access", "hex", "guess")
 MIN_GUESS_LENGTH, MIN_LOG10_GUESSES = 6, 6.0
@@ -52,12 +60,25 @@ def ranked_words(path: str) -> dict[str, int]:
     return {w: n for n, w in enumerate((w for _, w in words if len(w) > 2 and w.isalpha()), 1)}
 
 
+_lengths: dict[int, int] = {}
+
+
+def _longest(words: dict[str, int]) -> int:
+    """Letters of the longest word; word lists are few and stay."""
+    if id(words) not in _lengths:
+        _lengths[id(words)] = max(map(len, words), default=0)
+    return _lengths[id(words)]
+
+
 def _char_cost(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
 def log10_guesses(value: str, words: dict[str, int]) -> float:
-    """The least cost over all segmentations; linear in the length of the value."""
+    """The least cost over all segmentations; linear in the length of the value. A placeholder costs nothing, and so do
+    several words in a row, which are text and no secret."""
+    if PLACEHOLDER.fullmatch(value) or (" " in value and all(p.strip(".,;:!?()").isalpha() for p in value.split())):
+        return 0.0
     n, low = len(value), value.lower()
     if len(low) != n:
         low = value
@@ -68,7 +89,7 @@ def log10_guesses(value: str, words: dict[str, int]) -> float:
             for pattern, cost in _DATES:
                 if found := pattern.match(value, i):
                     dates.setdefault(found.end(), []).append((i, cost))
-    longest = 24
+    longest = _longest(words)
     walk_from, turns, way = 0, 0, None  # of the walk that ends here
     turned = [0] * n
     walks = [0] * n
@@ -97,7 +118,7 @@ def log10_guesses(value: str, words: dict[str, int]) -> float:
         begun = walks[j - 1]
         for i in {begun, *range(max(begun, j - SPAN), j - 2)}:
             if j - i > 2:
-                cost = min(cost, best[i] + math.log10(47 * (j - i)) + (turned[j - 1] - turned[i]) * math.log10(6))
+                cost = min(cost, best[i] + math.log10(47 * (j - i)) + (turned[j - 1] - turned[i + 1]) * math.log10(6))
         for p in range(1, UNIT + 1):
             run = same[p][j] // p * p
             if run >= max(p, 2 if p == 1 else p):
@@ -108,6 +129,14 @@ def log10_guesses(value: str, words: dict[str, int]) -> float:
     return best[n]
 
 
+def _without_closers(value: str) -> str:
+    while value and (opener := _CLOSERS.get(value[-1])) is not None:
+        if opener and value.count(opener) >= value.count(value[-1]):
+            break
+        value = value[:-1]
+    return value
+
+
 def find_spans(text: str, words: dict[str, int]) -> list[tuple[str, int, int, float]]:
     """``(kind, start, end, log10 of guesses)`` by start, then kind. Ends are exclusive, in code points."""
     found = []
@@ -128,12 +157,14 @@ def find_spans(text: str, words: dict[str, int]) -> list[tuple[str, int, int, fl
                 base.append([s, e])
         k = 0
         for m in CONTEXT.finditer(text):
-            start, end = m.span(1)
+            start, end = m.span(m.lastindex)
+            if m.lastindex == 3:
+                end = start + len(_without_closers(m[3]))
             while k < len(base) and base[k][1] <= start:
                 k += 1
             whole = k < len(base) and base[k][0] <= start and end <= base[k][1]  # nothing of the value is left
             if not whole and end - start >= MIN_GUESS_LENGTH:
-                cost = log10_guesses(m[1], words)
+                cost = log10_guesses(text[start:end], words)
                 if cost >= MIN_LOG10_GUESSES:
                     found.append(("guess", start, end, cost))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))

@@ -1,5 +1,6 @@
 """Operators on documents against plain brute force."""
 
+import math
 import random
 import re
 import string
@@ -232,6 +233,59 @@ def test_guess_costs():
     assert cost("a" * 3000) < 8
 
 
+def test_values_are_read_whole():
+    words = secret_scan.ranked_words(public_tokenizers.path(WORDS))
+    cases = {
+        'password="Kq9 vR7x Zt3m Wp5" end': "Kq9 vR7x Zt3m Wp5",
+        "password: Kq9vRüx7Zt3mWp5 end": "Kq9vRüx7Zt3mWp5",
+        'password = Kq9v"R7xZt3mWp5 end': 'Kq9v"R7xZt3mWp5',
+        "secret_key=Xk29dkw!iqQz0, end": "Xk29dkw!iqQz0",
+        "token\t=\t'x9$Kq!2vA' end": "x9$Kq!2vA",
+    }
+    for text, value in cases.items():
+        spans = [s for s in secret_scan.find_spans(text, words) if s[0] == "guess"]
+        assert [text[s:e] for _, s, e, _ in spans] == [value], text
+        assert value not in secret_scan.redacted(text, secret_scan.find_spans(text, words))
+    for text in ("password=${DB_PASSWORD}", "token: $API_TOKEN", "secret: <your secret here>", "auth={{ token }}", "password: **********",
+                 'secret: "the treasure was under the old tree"', "token = os.environ['TOKEN']"):
+        assert not secret_scan.find_spans(text, words), text
+
+
+def test_guess_costs_are_the_minimum_over_all_segmentations():
+    words = {"pass": 3, "word": 10, "password": 20, "secret": 7, "abcdefghijklmnopqrstuvwxyzab": 2}
+    brute = secret_scan._char_cost
+    keys = secret_scan._KEYS
+
+    def part(value):
+        """The cheapest way to see a part as one thing."""
+        costs, low, n = [], value.lower(), len(value)
+        if n == 1:
+            costs.append(brute(value))
+        if low in words:
+            costs.append(math.log10(words[low] + 1) + (0.0 if low == value else math.log10(2)))
+        costs += [cost for pattern, cost in secret_scan._DATES if pattern.fullmatch(value)]
+        places = [keys.get(c) for c in low]
+        if n > 2 and all(places):
+            steps = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(places, places[1:])]
+            if all(s != (0, 0) and max(map(abs, s)) <= 1 for s in steps):
+                turns = sum(a != b for a, b in zip(steps, steps[1:]))
+                costs.append(math.log10(47 * n) + turns * math.log10(6))
+        for p in range(1, n // 2 + 1):
+            if n % p == 0 and value == value[:p] * (n // p) and (p > 1 or n > 2):
+                costs.append(sum(map(brute, value[:p])) + math.log10(n // p))
+        return min(costs, default=math.inf)
+
+    rng = random.Random(8)
+    for _ in range(600):
+        value = "".join(rng.choices(["pass", "Word", "secret", "1985", "0412", "qwe", "rty", "ab", "ab", "a", "!", "7", "z"], k=rng.randint(1, 5)))[:13]
+        least = [0.0]
+        for j in range(1, len(value) + 1):
+            least.append(min(least[i] + part(value[i:j]) for i in range(j)))
+        assert secret_scan.log10_guesses(value, words) == pytest.approx(least[-1]), value
+    long = "abcdefghijklmnopqrstuvwxyzab"
+    assert secret_scan.log10_guesses(long, words) == pytest.approx(math.log10(3))
+
+
 def test_redaction(odd, none, spark):
     path = public_tokenizers.path(WORDS)
     docs = frame(spark, ['x token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" y', "clean text", "pwd: x9$Kq!2vA end", None])
