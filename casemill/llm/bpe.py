@@ -93,7 +93,7 @@ class _State:
 class Transducer:
     """Encodes pieces of bytes. ``max_states`` and ``max_pairs`` bound the memory, not the results."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000, max_pairs: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000, max_pairs: int = 250_000):
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
         self.begins = {t[:i] for t in ranks for i in range(1, len(t))}
         self.max_states, self.max_pairs = max_states, max_pairs
@@ -112,9 +112,16 @@ class Transducer:
         for x in kept:
             x.moves = {b: m for b, m in x.moves.items() if m[1] in known}
             x.refused = {b: m for b, m in (x.refused or {}).items() if m[1] in known} or None
+        for x in self.states.values():
+            if x not in known:  # states refer to each other
+                x.moves, x.refused = {}, None
         self.states = {(x.bytes, x.paths): x for x in kept}
-        gc.unfreeze()
-        gc.collect()  # states refer to each other
+
+    def clear(self) -> None:
+        """Break the cycles between the states."""
+        for x in self.states.values():
+            x.moves, x.refused = {}, None
+        self.states = {}
 
     def _merges(self, token: int) -> list[tuple[int, bytes, bytes]]:
         """``(rank, first part, last part)``: the parts of a token before its first merge and after each one, with the rank
@@ -194,7 +201,10 @@ class Transducer:
                 paths[at - root] = (start - root, token)
                 at = start
         # Which positions are alive follows from the bytes.
-        key = (text[root:], tuple(x for at, (start, token) in paths.items() for x in (at, start, token)))
+        flat = []
+        for at, (start, token) in paths.items():
+            flat += (at, start, token)
+        key = (text[root:], tuple(flat))
         known = self.states.get(key)
         if known is None:
             if len(self.states) >= self.max_states:
@@ -359,23 +369,21 @@ def encode(
         # What is remembered goes with the task.
         encoder = TextEncoder(load_ranks(path), pattern, spaced)
         decoder = StreamDecoder(encoder.transducer.tokens) if decoded else None
-        # Python's collector would walk through all states again and again.
-        gc.freeze()
-        for batch in batches:
-            for part in slices(batch, text, 2_000_000):
-                texts = [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
-                gc.disable()
-                try:
-                    made = encoder.encode_all(texts)
-                finally:
-                    gc.freeze()
-                    gc.enable()
-                columns = [list(map(len, made)), [m.astype("<u4").tobytes() for m in made]]
-                if decoded:
-                    columns.append([decoder.decode(m.tolist()) for m in made])
-                new = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-                old = [part.column(part.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*old, *new], [*names, *added.names])
+        # Python's collector would walk through all states again and again; without it the task breaks their cycles itself.
+        gc.disable()
+        try:
+            for batch in batches:
+                for part in slices(batch, text, 2_000_000):
+                    made = encoder.encode_all([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()])
+                    columns = [list(map(len, made)), [m.astype("<u4").tobytes() for m in made]]
+                    if decoded:
+                        columns.append([decoder.decode(m.tolist()) for m in made])
+                    new = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                    old = [part.column(part.schema.get_field_index(n)) for n in names]
+                    yield pa.RecordBatch.from_arrays([*old, *new], [*names, *added.names])
+        finally:
+            encoder.transducer.clear()
+            gc.enable()
 
     fields = "n_tokens bigint, ids binary" + (f", `{decoded}` string" if decoded else "")
     added = T._parse_datatype_string(fields)
