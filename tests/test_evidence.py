@@ -64,7 +64,7 @@ def test_long_form_agrees(spark, cases):
     assert a == b == c
     unknown = spark.createDataFrame([(1, "zz", "present")], "case_id long, evidence_id string, state string")
     assert ev.encode_long(unknown, known).count() == 0
-    with pytest.raises(Exception, match="zz is an unknown"):
+    with pytest.raises(Exception, match="not in the fitted vocabulary: zz"):
         ev.encode_long(unknown, known, handle_unknown="error").collect()
 
 
