@@ -1,15 +1,14 @@
 """Language-model scores from subword lattices.
 
-A word can be read as one frequent word, as a rare word, or as any sequence of pieces of an existing subword
-vocabulary that spells it; its probability is the sum over all readings. The sum over the pieces is a forward
-recursion in logarithms over the places of the word. Pieces are weighted by how often the vocabulary's own
-segmentation of the distinct training words uses them.
+A word is read as any sequence of pieces of an existing subword vocabulary that spells it, each character also as its
+bytes; its probability is the sum over all readings, by a forward recursion in logarithms over the places of the word. The
+probability of a text is the product over its words and one end. As pieces only begin, never go on, behind a space, this
+is the sum over all segmentations of the whole text.
 
-* Words that are repeated in the training texts have a probability for each class of documents (their language, say).
-  The class of a scored text is not looked at: its probability is summed over the classes.
-* Words seen once and unseen words share one symbol of that unigram model, with the count of the former. Given the
-  symbol, a word seen once has its discounted count, and the discounted mass is spread over all strings by the lattice.
-  So every string has a probability and all probabilities sum to one.
+The scores of a merge vocabulary are ranks, no probabilities. So the weights of its pieces are fitted to the training
+texts: they start at the uses of the pieces in the vocabulary's own segmentation of the training words, and each pass of
+expectation maximisation (forward and backward recursion over all distinct training words, with their counts) replaces
+them by the expected uses. The lattices of many words are walked together, one place after the other.
 
 Counts are taken of all training texts. Only the most common words, up to ``frequent``, the pieces (both bounded by a
 parameter) and totals reach the driver; all other words are joined with their counts, which changes no score.
@@ -19,8 +18,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,10 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casemill.llm.common import make_rows, quoted, release, text_key, text_of
-from casemill.session import write_through
+from casemill.session import discard, write_through
 
-#: Words that are broadcast with their counts, and classes that are told apart; others form one more class.
-FREQUENT, CLASSES = 200_000, 8
-PRIOR = 1000.0  # tokens of the general distribution that are added to each class
+#: Words that are broadcast with their counts, and passes of the fit.
+FREQUENT, PASSES = 200_000, 3
 _MARK = "▁"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _FLUSH = 200_000
@@ -57,13 +56,27 @@ class Pieces:
         usable = [i for i in range(self.size) if not (p.is_unknown(i) or p.is_control(i) or p.is_byte(i) or p.is_unused(i))]
         self.ids = {t: i for i in usable if _MARK not in (t := p.id_to_piece(i))[1:]}
         self.bytes = [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.begins = {t[:k] for t in self.ids for k in range(1, len(t))}
-
-    def count(self, words: list[str]) -> Counter:
+        # A tree of the pieces: sorted keys of node and character, the node each leads to, and the piece that ends there.
+        nodes, edges, ends = 1, {}, {}
+        for piece, number in self.ids.items():
+            node = 0
+            for letter in piece:
+                key = node << 21 | ord(letter)
+                if key not in edges:
+                    edges[key], nodes = nodes, nodes + 1
+                node = edges[key]
+            ends[node] = number
+        self.keys = np.array(sorted(edges), np.int64)
+        self.child = np.array([edges[k] for k in self.keys.tolist()], np.int64)
+        self.piece = np.full(nodes, -1, np.int64)
+        self.piece[list(ends)] = list(ends.values())
+
+    def count(self, words: list[str], times: Iterable[int] | None = None) -> Counter:
         """Uses of each piece id in the vocabulary's own segmentation of the words."""
         used = Counter()
-        for ids in self.processor.encode(words):
-            used.update(ids)
+        for ids, n in zip(self.processor.encode(words), times if times is not None else repeat(1)):
+            for i in ids:
+                used[i] += n
         return used
 
 
@@ -72,95 +85,199 @@ def load_pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-class Lattice:
-    """Log probabilities of words, for the weights of the pieces and of the end of a word."""
+class Arcs:
+    """The lattices of some words: their places one behind the other, and arcs ordered by where they begin in their word.
+
+    A place is a character or the end of a word. The arcs of one step begin at the same distance from the start of their
+    words and have the same length, so that all of a step begin and end at different places.
+    """
+
+    def __init__(self, pieces: Pieces, words: list[str]):
+        letters = np.frombuffer("".join(f"{_MARK}{w}\0" for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.array([len(w) + 2 for w in words], np.int64)
+        self.ends = np.cumsum(sizes) - 1
+        self.starts = self.ends - sizes + 1
+        self.word = np.repeat(np.arange(len(words)), sizes)
+        inside = np.ones(len(letters), bool)
+        inside[self.ends] = False
+        at = np.flatnonzero(inside)
+        self.letters, spelled = np.unique(letters[at], return_inverse=True)
+        begins, lengths, labels = [at], [np.zeros(len(at), np.int64)], [pieces.size + spelled]  # length 0: by its bytes
+        node, length = np.zeros(len(at), np.int64), 1
+        while len(at):
+            key = node << 21 | letters[at + length - 1]
+            found = np.minimum(np.searchsorted(pieces.keys, key), len(pieces.keys) - 1)
+            hit = pieces.keys[found] == key
+            at, node = at[hit], pieces.child[found[hit]]
+            piece = pieces.piece[node]
+            whole = piece >= 0
+            begins.append(at[whole])
+            lengths.append(np.full(int(whole.sum()), length))
+            labels.append(piece[whole])
+            length += 1
+        begin, size, label = np.concatenate(begins), np.concatenate(lengths), np.concatenate(labels)
+        step = (begin - self.starts[self.word[begin]]) * length + size
+        if step.max(initial=0) < 1 << 16:
+            step = step.astype(np.uint16)  # sorted by counting
+        order = np.argsort(step, kind="stable")
+        self.begin, self.label, step = begin[order], label[order], step[order]
+        self.end = self.begin + np.maximum(size[order], 1)
+        cuts = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), len(step)]
+        self.steps = [slice(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+    def weights(self, pieces: Pieces, log: np.ndarray) -> np.ndarray:
+        """The weight of each arc, for weights of the piece ids."""
+        spelled = [sum(log[pieces.bytes[b]] for b in chr(x).encode()) for x in self.letters.tolist()]
+        return np.concatenate([log, spelled])[self.label]
+
+    def forward(self, weights: np.ndarray) -> np.ndarray:
+        """The logarithm of the sum over all ways from the start of its word to each place."""
+        sums = np.full(len(self.word), -np.inf)
+        sums[self.starts] = 0.0
+        for s in self.steps:
+            into = self.end[s]
+            sums[into] = np.logaddexp(sums[into], sums[self.begin[s]] + weights[s])
+        return sums
+
+    def backward(self, weights: np.ndarray) -> np.ndarray:
+        """The same for the ways from each place to the end of its word."""
+        sums = np.full(len(self.word), -np.inf)
+        sums[self.ends] = 0.0
+        for s in reversed(self.steps):
+            out = self.begin[s]
+            sums[out] = np.logaddexp(sums[out], sums[self.end[s]] + weights[s])
+        return sums
+
+    def expected(self, pieces: Pieces, weights: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
+        """Expected uses of the piece ids in words that occur so many times, and the logarithm of their likelihood."""
+        ways = self.forward(weights)
+        whole = ways[self.ends]
+        word = self.word[self.begin]
+        share = np.exp(ways[self.begin] + weights + self.backward(weights)[self.end] - whole[word]) * times[word]
+        used = np.bincount(self.label, share, pieces.size + len(self.letters))
+        for x, n in zip(self.letters.tolist(), used[pieces.size :].tolist()):
+            for b in chr(x).encode():
+                used[pieces.bytes[b]] += n
+        return used[: pieces.size], float(whole @ times)
 
-    def __init__(self, pieces: Pieces, uses: dict[int, int], words: int, smoothing: float = 0.01):
-        total = math.log(sum(uses.values()) + words + 1 + smoothing * pieces.size)
-        weight = lambda n: math.log(n + smoothing) - total
-        self.arcs = {t: weight(uses.get(i, 0)) for t, i in pieces.ids.items()}
-        self.bytes = [weight(uses.get(i, 0)) for i in pieces.bytes]
-        self.end, self.begins = math.log(words + 1) - total, pieces.begins
+
+class Lattice:
+    """Log probabilities of words, for the uses of the pieces and the number of ends of a text."""
+
+    def __init__(self, pieces: Pieces, uses: dict[int, float], ends: int, smoothing: float = 0.01):
+        counts = np.zeros(pieces.size)
+        counts[list(uses)] = list(uses.values())
+        total = math.log(counts.sum() + ends + 1 + smoothing * pieces.size)
+        self.log, self.pieces = np.log(counts + smoothing) - total, pieces
+        self.end = math.log(ends + 1) - total
+
+    @property
+    def arcs(self) -> dict[str, float]:
+        return {t: float(self.log[i]) for t, i in self.pieces.ids.items()}
+
+    @property
+    def bytes(self) -> list[float]:
+        return self.log[self.pieces.bytes].tolist()
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """The natural logarithm of the sum over all segmentations of each word."""
+        if not words:
+            return np.zeros(0)
+        arcs = Arcs(self.pieces, words)
+        return arcs.forward(arcs.weights(self.pieces, self.log))[arcs.ends]
+
+    def expected(self, words: list[str], times: np.ndarray) -> tuple[np.ndarray, float]:
+        arcs = Arcs(self.pieces, words)
+        return arcs.expected(self.pieces, arcs.weights(self.pieces, self.log), times)
 
     def log_probability(self, word: str) -> float:
-        """The natural logarithm of the sum over all segmentations, by a forward recursion."""
-        text = _MARK + word
-        n = len(text)
-        into: list[list[float]] = [[] for _ in range(n + 1)]
-        into[0].append(0.0)
-        arcs, begins, spelled, log, exp = self.arcs.get, self.begins, self.bytes, math.log, math.exp
-        for i in range(n):
-            terms = into[i]
-            if len(terms) == 1:
-                here = terms[0]
-            else:
-                top = max(terms)
-                here = top + log(sum([exp(x - top) for x in terms]))
-            into[i + 1].append(here + sum([spelled[b] for b in text[i].encode()]))
-            for j in range(i + 1, n + 1):
-                part = text[i:j]
-                weight = arcs(part)
-                if weight is not None:
-                    into[j].append(here + weight)
-                if part not in begins:
-                    break
-        top = max(into[n])
-        return top + math.log(sum([math.exp(x - top) for x in into[n]])) + self.end
+        """Of the text that consists of this word."""
+        return float(self.words([word])[0]) + self.end
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """``word, class, n_train``, added up within a batch only; words of held-out texts have rows, too."""
+    """``word, n_train``, added up within a batch only; words of held-out texts have rows, too."""
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[list]:
-            seen: dict[tuple, Counter] = {}
-            texts, kinds, held = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "class", "held_out"))
-            for text, kind, out in zip(texts, kinds.to_pylist(), held.to_pylist(), strict=True):
-                seen.setdefault((kind, out), Counter()).update(tokens(text.as_py()))
-            for (kind, out), words in seen.items():
+            seen: dict[bool, Counter] = {False: Counter(), True: Counter()}
+            texts, held = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "held_out"))
+            for text, out in zip(texts, held.to_pylist(), strict=True):
+                seen[out].update(tokens(text.as_py()))
+            for out, words in seen.items():
                 names, numbers = list(words), list(words.values())
                 for at in range(0, len(names), _FLUSH):
                     some = numbers[at : at + _FLUSH]
-                    yield [
-                        [w.decode() for w in names[at : at + _FLUSH]],
-                        [kind] * len(some),
-                        [0] * len(some) if out else some,
-                    ]
+                    yield [[w.decode() for w in names[at : at + _FLUSH]], [0] * len(some) if out else some]
 
         return work
 
-    return make_rows(docs.select("text", "class", "held_out"), "word string, class int, n_train bigint", make)
+    return make_rows(docs.select("text", "held_out"), "word string, n_train bigint", make)
 
 
-def _piece_uses(words: DataFrame, path: str) -> dict[int, int]:
-    def make():
+def _gathered(words: DataFrame, make) -> dict[int, float]:
+    """Sums by piece of ``make()(words, times) -> vector`` over all words; a task gives a row per piece it met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, total = make(), 0.0
+        for batch in batches:
+            if batch.num_rows:
+                total = total + work(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
+        if isinstance(total, np.ndarray):
+            met = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["piece", "n"])
+
+    rows = words.select("word", "n_train").mapInArrow(run, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+    return {r["piece"]: r["n"] for r in rows.collect()}  # a row per piece of the vocabulary at most, and the likelihood
+
+
+def fit(words: DataFrame, path: str, ends: int, passes: int = PASSES) -> tuple[dict[int, float], list[float]]:
+    """Uses of the pieces in all words (``word, n_train``), and the log-likelihood of the words before each pass."""
+    spark, steps = words.sparkSession, []
+
+    def start():
         pieces = load_pieces(path)
 
-        def work(batch: pa.RecordBatch) -> Iterator[list]:
-            used = pieces.count(batch.column(0).to_pylist())
-            yield [list(used), list(used.values())]
+        def work(names: list[str], times: np.ndarray) -> np.ndarray:
+            used = np.zeros(pieces.size + 1)
+            for i, n in pieces.count(names, times.tolist()).items():
+                used[i] = n
+            return used
 
         return work
 
-    rows = make_rows(words.select("word"), "piece int, n bigint", make).groupBy("piece").agg(F.sum("n").alias("n"))
-    return {r["piece"]: r["n"] for r in rows.collect()}  # a row per piece of the vocabulary at most
+    uses = _gathered(words, start)
+    for _ in range(passes):
+        known = spark.sparkContext.broadcast(uses)
+
+        def step(known=known):
+            pieces = load_pieces(path)
+            lattice = Lattice(pieces, known.value, ends)
 
+            def work(names: list[str], times: np.ndarray) -> np.ndarray:
+                return np.append(*lattice.expected(names, times))
 
-def _with_lattice(words: DataFrame, path: str, uses: dict[int, int], types: int) -> DataFrame:
+            return work
+
+        uses = _gathered(words, step)
+        known.unpersist()
+        steps.append(uses.pop(load_pieces(path).size, 0.0))
+    return uses, steps
+
+
+def _with_lattice(words: DataFrame, path: str, uses: dict[int, float], ends: int) -> DataFrame:
     """``words`` with ``spelled`` (the lattice's log probability); the word is the first column."""
     known = words.sparkSession.sparkContext.broadcast(uses)
 
     def make():
-        lattice = Lattice(load_pieces(path), known.value, types)
+        lattice = Lattice(load_pieces(path), known.value, ends)
 
         def work(batch: pa.RecordBatch) -> Iterator[list]:
-            names = batch.column(0).to_pylist()
-            yield [*batch.columns, [lattice.log_probability(w) for w in names]]
+            yield [*batch.columns, lattice.words(batch.column(0).to_pylist())]
 
         return work
 
-    counts = "".join(f"{c} bigint, " for c in words.columns[1:])
-    return make_rows(words, f"word string, {counts}spelled double", make)
+    return make_rows(words, "word string, n_train bigint, spelled double", make)
 
 
 def _frequent(words: DataFrame, most: int) -> DataFrame:
@@ -175,112 +292,65 @@ def _frequent(words: DataFrame, most: int) -> DataFrame:
     return counted.filter(F.lit(False) if lowest is None else F.col("level") >= lowest)
 
 
-def score(
-    docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", classes: str | None = "lang", frequent: int = FREQUENT
-) -> DataFrame:
+def score(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, passes: int = PASSES) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    ``path`` is a vocabulary file; ``classes`` a column by which training texts are told apart, if any. Null texts are
-    empty and consist of their end; null ids and classes are allowed; repeated rows give a row each. Without any
-    training text every score is that of the lattice alone and every base score is 0.
-    """
+    ``path`` is a vocabulary file. Null texts are empty and consist of their end; null ids are allowed; repeated rows give
+    a row each. Without any training text all pieces weigh the same and every base score is 0.
+    """
     spark = docs.sparkSession
-    label = quoted(classes).cast("string") if classes and classes in docs.columns else F.lit(None).cast("string")
     plain = docs.select(
-        quoted(doc_id).alias("doc_id"), text_of(text).alias("text"), text_key(text_of(text)).alias("key"), label.alias("label")
+        quoted(doc_id).alias("doc_id"), text_of(text).alias("text"), text_key(text_of(text)).alias("key")
     ).withColumn("held_out", held_out(F.col("doc_id")))
-    trained = plain.filter(~F.col("held_out")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    common = [r["label"] for r in trained.orderBy(F.desc("n"), "label").limit(CLASSES).collect()]
-    number = F.lit(len(common))  # of all the rest
-    for i, name in enumerate(common):
-        number = F.when(F.col("label").eqNullSafe(F.lit(name)), i).otherwise(number)
-    plain = plain.withColumn("class", number)
-    texts_by_class = Counter({r["class"]: r["n"] for r in plain.filter(~F.col("held_out")).groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()})
-    texts = sum(texts_by_class.values())
-
-    kinds = range(len(common) + 1)
-    share = lambda c: F.sum(F.when(F.col("class") == c, F.col("n_train")).otherwise(0)).alias(f"c{c}")
-    seen_times = lambda n: F.sum((F.col("n_train") == n).cast("long"))
+    texts = plain.filter(~F.col("held_out")).count()
     words, seen = write_through(
-        _counts(plain).groupBy("word").agg(F.sum("n_train").alias("n_train"), *[share(c) for c in kinds]),
+        _counts(plain).groupBy("word").agg(F.sum("n_train").alias("n_train")),
         F.sum("n_train").alias("tokens"),
         F.sum((F.col("n_train") > 0).cast("long")).alias("types"),
-        seen_times(1).alias("once"),
-        seen_times(2).alias("twice"),
-        *[F.sum(f"c{c}").alias(f"tokens{c}") for c in kinds],
-        *[F.sum(F.when(F.col("n_train") == 1, F.col(f"c{c}")).otherwise(0)).alias(f"once{c}") for c in kinds],
     )
     release(spark)
-    types = seen["types"] or 0
-    total, distinct = (seen["tokens"] or 0) + texts, types + (texts > 0)
-    uses = _piece_uses(words.filter("n_train > 0"), path)
-    spelled = write_through(_with_lattice(words, path, uses, types))
+    total, distinct = (seen["tokens"] or 0) + texts, (seen["types"] or 0) + (texts > 0)
+    uses, _ = fit(words.filter("n_train > 0"), path, texts, passes)
+    spelled = write_through(_with_lattice(words, path, uses, texts))
+    discard(words)
 
     # At most ``frequent`` rows are broadcast and gathered.
-    listed = _frequent(spelled, frequent).select("word", "spelled", *[f"c{c}" for c in kinds]).toArrow()
-    n_top = listed.num_rows
-    where = {w.encode(): i for i, w in enumerate(listed["word"].to_pylist())}
-    counts = np.zeros((n_top + 2, len(kinds)))  # then the end, then the symbol of words seen once and unseen ones
-    for c in kinds:
-        counts[:n_top, c] = listed[f"c{c}"].to_numpy()
-        counts[-2, c], counts[-1, c] = texts_by_class[c], seen[f"once{c}"] or 0
-    sizes = np.array([(seen[f"tokens{c}"] or 0) + texts_by_class[c] for c in kinds]) + PRIOR
-    once, twice = seen["once"] or 0, seen["twice"] or 0
-    discount = once / (once + 2 * twice) if once else 0.5
-    spread = discount if once else 1.0
-    general = counts.sum(1) + (np.arange(len(counts)) >= n_top)  # the end and the symbol are never impossible
-    given = (counts + PRIOR * general[:, None] / (total + 2)) / sizes
-    # A repeated word can also be spelled.
-    given[:-2] += given[-1] * spread * np.exp(listed["spelled"].to_numpy())[:, None]
-    symbol = [float(x) for x in given[-1]]
+    listed = _frequent(spelled, frequent).select("word", "n_train", "spelled").toArrow()
     model = {
-        "where": where,
-        "log": np.log(given[:-1]),
-        "counts": counts[:-1].sum(1),
-        "weights": np.log(np.array([texts_by_class[c] + 1 for c in kinds]) / (texts + len(kinds))),
+        "where": {w.encode(): i for i, w in enumerate(listed["word"].to_pylist())},
+        "log": np.append(listed["spelled"].to_numpy(), Lattice(load_pieces(path), uses, texts).end),  # the last one is the end
+        "counts": np.append(listed["n_train"].to_numpy(), texts),
         "total": total,
         "distinct": distinct,
     }
     rows = _scored(plain, spark.sparkContext.broadcast(model))
 
-    left = F.greatest(F.col("n_train") - discount, F.lit(0.0)) / max(once, 1)
-    # The logarithm of the lattice is used as it is where the sum would be too small for a double.
-    rare = F.when((F.col("spelled") > -600) | (left > 0), F.log(left + spread * F.exp("spelled"))).otherwise(F.col("spelled") + math.log(spread))
-    repeated = [
-        F.log((F.col(f"c{c}") + PRIOR / (total + 2) * F.col("n_train")) / float(sizes[c]) + symbol[c] * spread * F.exp("spelled")) for c in kinds
-    ]
-    known = spelled.select("word", "n_train", F.when(F.col("n_train") > 1, F.array(*repeated)).alias("logs"), F.when(F.col("n_train") <= 1, rare).alias("rare"))
-
     count = F.coalesce("n_train", F.lit(0))
-    added = rows.join(known, "word", "left").select(
+    times, header = F.col("times"), F.col("headers") > 0
+    added = rows.join(spelled, "word", "left").select(
         "doc_id", "key", "held_out", "headers", "n_tokens",
-        (F.col("base") + F.when(F.col("headers") == 0, F.col("times") * F.log10((count + 1) / F.lit(float(total + distinct + 1)))).otherwise(0.0)).alias("base"),
-        F.coalesce(F.col("times") * F.col("rare"), F.lit(0.0)).alias("rare"),
-        F.when(F.col("rare").isNotNull(), F.col("times")).otherwise(0).alias("n_rare"),
-        *[F.coalesce(F.col("by_class")[c], F.col("times") * F.col("logs")[c], F.lit(0.0)).alias(f"log{c}") for c in kinds],
-        (F.col("n_known") + F.when(count > 0, F.col("times")).otherwise(0)).alias("n_known"),
+        F.when(header, F.col("base")).otherwise(times * F.log10((count + 1) / F.lit(float(total + distinct + 1)))).alias("base"),
+        F.when(header, F.col("log")).otherwise(times * F.col("spelled")).alias("log"),
+        (F.col("n_known") + F.when(count > 0, times).otherwise(0)).alias("n_known"),
     )
-    sums = ("headers", "n_tokens", "base", "rare", "n_rare", "n_known", *[f"log{c}" for c in kinds])
+    sums = ("headers", "n_tokens", "base", "log", "n_known")
     summed = added.groupBy("doc_id", "key").agg(*[F.sum(c).alias(c) for c in sums], F.first("held_out").alias("held_out"))
-    by_class = [(F.col(f"log{c}") + F.col("n_rare") * math.log(symbol[c])) / F.col("headers") for c in kinds]
-    summed = summed.withColumn("by_class", F.array(*by_class)).withColumn("top", F.array_max("by_class"))
-    summed = summed.withColumn("sum", sum(F.exp(F.col("by_class")[c] - F.col("top")) for c in kinds))
     # Rows that agree in id and text have been added up; each gets its share.
     each = summed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("headers").cast("int"))))
     part = lambda c: (F.col(c) / F.col("headers")).cast("long")
     return each.select(
         "doc_id", "held_out", part("n_tokens").alias("n_tokens"), part("n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("headers")).alias("base_score"),
-        ((F.col("top") + F.log("sum") + F.col("rare") / F.col("headers")) / math.log(10)).alias("score"),
+        (F.col("log") / F.col("headers") / math.log(10)).alias("score"),
     )
 
 
 def _scored(plain: DataFrame, shared) -> DataFrame:
-    """A header row per document with the sums of its broadcast words by class, and a row for each of its other words."""
+    """A header row per document with the sums of its broadcast words, and a row for each of its other words."""
 
     def make():
         model = shared.value
-        where, logs, counts, weights = model["where"], model["log"], model["counts"], model["weights"]
+        where, logs, counts = model["where"], model["log"], model["counts"]
         base = np.log10((counts + 1) / (model["total"] + model["distinct"] + 1))
         end = len(counts) - 1
 
@@ -299,14 +369,13 @@ def _scored(plain: DataFrame, shared) -> DataFrame:
                         at.append(found)
                         times.append(n)
                 each = np.array(times, float)
-                by_class = each @ logs[at] + weights
                 known = sum(n for i, n in zip(at, times, strict=True) if counts[i] > 0)
                 # No word has a space, so the header joins with nothing; its own text spreads headers over the tasks.
                 for column, values in zip(rows, (
                     [doc] * (len(others) + 1), [key] * (len(others) + 1), [out] * (len(others) + 1),
                     [f" {doc} {key}", *(w.decode() for w in others)], [0, *rest], [1, *[0] * len(others)],
                     [len(words) + 1, *[0] * len(others)], [float(each @ base[at]), *[0.0] * len(others)],
-                    [by_class.tolist(), *[None] * len(others)], [known, *[0] * len(others)],
+                    [float(each @ logs[at]), *[0.0] * len(others)], [known, *[0] * len(others)],
                 ), strict=True):
                     column += values
                 if len(rows[0]) >= _FLUSH:
@@ -320,6 +389,6 @@ def _scored(plain: DataFrame, shared) -> DataFrame:
     kind = plain.schema["doc_id"].dataType.simpleString()
     return make_rows(
         plain.select("doc_id", "key", "held_out", "text"),
-        f"doc_id {kind}, key bigint, held_out boolean, word string, times bigint, headers bigint, n_tokens bigint, base double, by_class array<double>, n_known bigint",
+        f"doc_id {kind}, key bigint, held_out boolean, word string, times bigint, headers bigint, n_tokens bigint, base double, log double, n_known bigint",
         make,
     )

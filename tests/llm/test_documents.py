@@ -4,6 +4,7 @@ import math
 import random
 import re
 import string
+import zlib
 from collections import Counter
 from hashlib import sha256
 
@@ -133,6 +134,68 @@ def test_lattice_is_the_sum_over_all_segmentations():
         assert made.log_probability(word) == pytest.approx(math.log(paths("▁" + word)) + made.end)
 
 
+def readings(made, text):
+    """All ways to spell a text, as the ids of their pieces; a character by its bytes counts as one way."""
+    if not text:
+        return [[]]
+    ways = [[made.pieces.bytes[b] for b in text[0].encode()] + rest for rest in readings(made, text[1:])]
+    for n in range(1, len(text) + 1):
+        if text[:n] in made.pieces.ids:
+            ways += [[made.pieces.ids[text[:n]], *rest] for rest in readings(made, text[n:])]
+    return ways
+
+
+def slow_fit(path, train, ends, passes):
+    """Uses of the pieces by listing all readings of all words, and the likelihoods before each pass."""
+    pieces = lattice.load_pieces(path)
+    uses, steps = dict(pieces.count(list(train), train.values())), []
+    for _ in range(passes):
+        made, used, likelihood = lattice.Lattice(pieces, uses, ends), Counter(), 0.0
+        for word, n in train.items():
+            ways = readings(made, "▁" + word)
+            chances = [math.exp(sum(made.log[i] for i in way)) for way in ways]
+            likelihood += n * math.log(sum(chances))
+            for way, chance in zip(ways, chances):
+                for i in way:
+                    used[i] += n * chance / sum(chances)
+        uses = dict(used)
+        steps.append(likelihood)
+    return uses, steps
+
+
+def test_weights_and_scores_are_those_of_all_segmentations(spark):
+    path, rng = public_tokenizers.path(PIECES), random.Random(5)
+    words = ["there", "other", "Zér", "漢字", "a\0b", "theother", "x", "▁a", "heather"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(40)] + [None, "unseen there"]
+    docs = frame(spark, texts)
+    train = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for w in slow_words(t))
+    ends = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts)))
+    uses, steps = slow_fit(path, train, ends, 3)
+    table = spark.createDataFrame(list(train.items()), "word string, n_train bigint").repartition(3)
+    found, likelihoods = lattice.fit(table, path, ends, 3)
+    assert likelihoods == pytest.approx(steps) and likelihoods == sorted(likelihoods)
+    assert all(found.get(i, 0) == pytest.approx(n, abs=1e-9) for i, n in uses.items())
+    made = lattice.Lattice(lattice.load_pieces(path), uses, ends)
+    chance = {w: math.log10(sum(math.exp(sum(made.log[i] for i in way)) for way in readings(made, "▁" + w))) for t in texts for w in slow_words(t)}
+    for frequent in (0, 1000):
+        for r in lattice.score(docs, path, frequent=frequent).collect():
+            want = sum(chance[w] for w in slow_words(texts[r["doc_id"]])) + made.end / math.log(10)
+            assert r["score"] == pytest.approx(want)
+
+
+def slow_words(text):
+    return [w.encode().lower().decode() for w in WORD.findall(text or "")]
+
+
+def test_long_words_and_nothing_to_learn_from(spark):
+    path = public_tokenizers.path(PIECES)
+    made = lattice.Lattice(lattice.load_pieces(path), {}, 0)
+    assert made.words([]).tolist() == []
+    assert made.words(["ab", "q" * 70_000, "ab"])[[0, 2]] == pytest.approx(made.words(["ab"])[0])
+    (only,) = lattice.score(frame(spark, ["one two"] * 20).filter("crc32(string(doc_id)) % 7 = 2").limit(1), path).collect()
+    assert only["train_tokens"] == 0 and only["base_score"] == 0 and only["score"] < 0
+
+
 def test_scores(spark):
     import math
     import zlib
@@ -187,7 +250,7 @@ def test_scores_of_odd_rows(odd, none):
     found = lattice.score(odd, path).collect()
     assert len(found) == odd.count() and all(r["score"] is not None and r["base_score"] is not None for r in found)
     assert lattice.score(none, path).count() == 0
-    assert lattice.score(odd.filter("doc_id = 2"), path, classes=None).count() == 1
+    assert lattice.score(odd.filter("doc_id = 2"), path).count() == 1
 
 
 # --- 3
