@@ -10,6 +10,7 @@ from pyspark.ml import Estimator
 from pyspark.ml import classification as mlc
 from pyspark.sql import DataFrame, functions as F
 
+from casemill.operators.boosting import GradientBoosting
 from casemill.operators.classifiers import (
     KernelSVC,
     LinearDiscriminant,
@@ -79,13 +80,7 @@ def _forest(bootstrap: bool):
 
 
 def _boosting(size: Size, p: dict, c: dict):
-    binary = mlc.GBTClassifier(
-        maxIter=p.get("n_estimators", 100),
-        maxDepth=depth(p.get("max_depth", 3)),
-        stepSize=0.1,
-        seed=size.seed,
-    )
-    return mlc.OneVsRest(classifier=binary, parallelism=4, **c)
+    return GradientBoosting(rounds=p.get("n_estimators", 100), depth=p.get("max_depth", 3), seed=size.seed, **c)
 
 
 def _mlp(size: Size, p: dict, c: dict):
@@ -129,7 +124,9 @@ MODELS: dict[str, ModelSpec] = {
     "Perceptron": ModelSpec(
         _online("perceptron"), {"penalty": ["l2"], "alpha": [0.00001, 0.0001, 0.001, 0.01]}
     ),
-    "GradientBoostingClassifier": ModelSpec(_boosting, {"max_depth": _DEPTHS, "n_estimators": _TREES}),
+    "GradientBoostingClassifier": ModelSpec(
+        _boosting, {"max_depth": [1, 10, 50, 200, 500, None], "n_estimators": _TREES}  # any depth can be grown
+    ),
 }
 
 

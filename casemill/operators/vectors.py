@@ -119,8 +119,8 @@ CHUNK, SLOTS = 65_536, 32
 DRIVER_NUMBERS = 1_000_000
 
 
-def summed(blocks: DataFrame, partial: Callable, size: int, partitions: int | None = None) -> np.ndarray:
-    """Sum over all partitions of ``partial(blocks) -> vector`` of a fixed ``size``.
+def summed(blocks: DataFrame, partial: Callable, size: int, partitions: int | None = None, read: Callable = blocks_of) -> np.ndarray:
+    """Sum over all partitions of ``partial(blocks) -> vector`` of a fixed ``size``; ``read`` makes the blocks of Arrow batches.
 
     Each partition gives its vector as a few rows of packed numbers. Vectors of the same slot are added in one task, so the
     rows that are shuffled depend on the partitions and not on what is in the vector, no task sees more than a share of
@@ -130,7 +130,7 @@ def summed(blocks: DataFrame, partial: Callable, size: int, partitions: int | No
     schema = "slot int, start long, value binary"
 
     def run(batches):
-        vector = partial(blocks_of(batches))
+        vector = partial(read(batches))
         if vector is not None:
             slot = TaskContext.get().partitionId() % SLOTS
             for start in range(0, len(vector), CHUNK):

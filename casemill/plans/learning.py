@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,6 +23,8 @@ from casemill.schema import KEY
 from casemill.session import write_through
 
 ROUND = 6
+#: Fits of many short jobs: those of different folds run at the same time.
+SIDE_BY_SIDE = ("GradientBoostingClassifier",)
 FOLDS = 5
 
 
@@ -132,18 +136,20 @@ def predictions(spark, sf, name: str, params: dict | None = None) -> DataFrame:
     """Predictions for every row by the model fitted on the folds without it."""
     folded = write_through(folded_vectors(spark, sf))
     stage = NamedClassifier(name=name, params_=params or {}, seed=31415)
-    parts = []
-    for fold in range(FOLDS):
+
+    def predicted(fold: int) -> DataFrame:
         model = stage.fit(folded.filter(F.col(FOLD) != fold))
-        parts.append(
-            model.transform(folded.filter(F.col(FOLD) == fold)).select(
-                F.col(KEY).alias("vec_id"),
-                F.col(FOLD),
-                F.col("label").cast("int").alias("label"),
-                F.col("prediction").cast("int").alias("prediction"),
-            )
+        return model.transform(folded.filter(F.col(FOLD) == fold)).select(
+            F.col(KEY).alias("vec_id"),
+            F.col(FOLD),
+            F.col("label").cast("int").alias("label"),
+            F.col("prediction").cast("int").alias("prediction"),
         )
-    return reduce(DataFrame.unionByName, parts)
+
+    if name not in SIDE_BY_SIDE:
+        return reduce(DataFrame.unionByName, map(predicted, range(FOLDS)))
+    with ThreadPool(FOLDS) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(predicted), range(FOLDS)))
 
 
 CLASSIFIER_QUERIES = {
@@ -159,7 +165,7 @@ CLASSIFIER_QUERIES = {
     "extra_trees": ("ExtraTreesClassifier", {}),
     "passive_aggressive": ("PassiveAggressiveClassifier", {"C": 0.1}),
     "perceptron": ("Perceptron", {"penalty": "l2", "alpha": 0.0001}),
-    "gradient_boosting": ("GradientBoostingClassifier", {"n_estimators": 5, "max_depth": 3}),
+    "gradient_boosting": ("GradientBoostingClassifier", {}),
 }
 
 

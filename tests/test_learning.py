@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from casemill.operators import isomap as im, neighbors as nb
+from casemill.operators import boosting, isomap as im, neighbors as nb
 from casemill.operators.classifiers import LinearDiscriminant, LinearMargin, MostFrequent, OnlineLinear
 from casemill.operators.reduce import CenteredPCA, TruncatedSVD
 from casemill.operators.registry import MODELS, NamedClassifier, candidates, depth
@@ -224,6 +224,65 @@ def test_every_classifier_learns_and_is_saved(spark, name, tmp_path):
     assert again == rows
 
 
+def slow_boosting(x, y, rounds, depth, step=0.1):
+    """Scores of all rows by boosting with every midpoint as a candidate, one tree after the other."""
+    n, classes = len(x), y.max() + 1
+    scores = np.tile(np.log(np.bincount(y) / n), (n, 1))
+
+    def grow(rows, pull, level):
+        best = (1e-12, None)
+        if level < depth:
+            for f in range(x.shape[1]):
+                values = np.unique(x[rows, f])
+                for cut in (values[1:] + values[:-1]) / 2:
+                    a, b = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                    gain = len(a) * len(b) / len(rows) * (pull[a].mean() - pull[b].mean()) ** 2
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (a, b))
+        if best[1] is None:
+            curve = (np.abs(pull[rows]) * (1 - np.abs(pull[rows]))).sum()
+            return [(rows, (classes - 1) / classes * pull[rows].sum() / curve)]
+        return [leaf for side in best[1] for leaf in grow(side, pull, level + 1)]
+
+    for _ in range(rounds):
+        chances = np.exp(scores) / np.exp(scores).sum(1, keepdims=True)
+        for k in range(classes):
+            for rows, value in grow(np.arange(n), (y == k) - chances[:, k], 0):
+                scores[rows, k] += step * value
+    return scores
+
+
+@pytest.mark.parametrize("depth, numbers", [(1, None), (3, None), (3, 0), (None, None)])
+def test_boosting_equals_plain_numpy(spark, monkeypatch, depth, numbers):
+    """Also with scores renewed in between and with one node a job."""
+    monkeypatch.setattr(boosting, "RENEW", 2)
+    if numbers is not None:
+        monkeypatch.setattr(boosting, "NUMBERS", 50 * 3 * 3)
+    random = np.random.default_rng(4)
+    x = random.integers(0, 15, (110, 3)) + random.integers(0, 2, (110, 3)) * 0.5
+    y = (x[:, 0] > 7).astype(int) + (x[:, 1] + x[:, 2] + random.normal(0, 3, 110) > 16)
+    model = boosting.GradientBoosting(rounds=5, depth=depth).fit(frame(spark, x, y).repartition(3))
+    want = slow_boosting(x, y, 5, 99 if depth is None else depth)
+    if depth is not None:  # without a bound, leaves of one row are reached by different cuts of the same gain
+        assert np.allclose(model.scores(x), want)
+    assert (model.scores(x).argmax(1) == want.argmax(1)).all()
+    found = [r[0] for r in model.transform(frame(spark, x, y)).orderBy(KEY).select("prediction").collect()]
+    assert found == model.scores(x).argmax(1).tolist()
+
+
+def test_boosting_of_odd_tables(spark):
+    x, y = blobs(60)
+    few = boosting.GradientBoosting(rounds=2, bins=4).fit(frame(spark, x, np.where(y == 1, 3, y)))
+    assert few.classes == [0, 2, 3] and max(len(t.feature) for trees in few.rounds for t in trees) > 1
+    one = boosting.GradientBoosting(rounds=2).fit(frame(spark, x, np.zeros(len(y))))
+    assert one.transform(frame(spark, x, y)).filter("prediction <> 0").count() == 0
+    flat = boosting.GradientBoosting(rounds=2).fit(frame(spark, np.ones((6, 2)), np.array([0, 0, 0, 0, 1, 1])))
+    assert flat.scores(np.ones((1, 2))).argmax() == 0
+    with pytest.raises(ValueError):
+        boosting.GradientBoosting().fit(frame(spark, x, y).limit(0))
+    assert [len(boosting.cuts_of(np.array(v, float), 3)) for v in ([1], [1, 1], [1, 2, 2, 5], [1, 2, 3, 4, 5])] == [0, 0, 2, 2]
+
+
 @pytest.mark.parametrize("name", ["Perceptron", "PassiveAggressiveClassifier", "LinearSVC", "LinearDiscriminantAnalysis"])
 def test_a_class_without_rows_is_never_predicted(spark, name):
     x, y = blobs(90)
