@@ -57,7 +57,7 @@ class Tree(NamedTuple):
         return node
 
 
-class _Growing:
+class Growing:
     """A tree to which levels are added."""
 
     def __init__(self):
@@ -216,7 +216,7 @@ class GradientBoosting(Estimator, ClassifierParams, DefaultParamsReadable, Defau
 
     @staticmethod
     def _round(blocks, partitions, fresh, classes, width, n_bins, depth, step) -> list[Tree]:
-        spark, growing = blocks.sparkSession, [_Growing() for _ in range(classes)]
+        spark, growing = blocks.sparkSession, [Growing() for _ in range(classes)]
         nodes, per_node, level = [(k, 0) for k in range(classes)], 3 * width * n_bins, 0
         while nodes and (depth is None or level < depth):
             following = []

@@ -18,6 +18,7 @@ from casemill.operators.classifiers import (
     MostFrequent,
     OnlineLinear,
 )
+from casemill.operators.extra_trees import ExtraTrees
 from casemill.operators.neighbors import KNeighbors
 from casemill.operators.network import Perceptrons
 from casemill.operators.stages import (
@@ -65,18 +66,18 @@ def _tree(size: Size, p: dict, c: dict):
     )
 
 
-def _forest(bootstrap: bool):
-    def build(size: Size, p: dict, c: dict):
-        return mlc.RandomForestClassifier(
-            numTrees=p.get("n_estimators", 100),
-            maxDepth=depth(p.get("max_depth", MAX_DEPTH)),
-            featureSubsetStrategy="sqrt",
-            bootstrap=bootstrap,
-            seed=size.seed,
-            **c,
-        )
+def _forest(size: Size, p: dict, c: dict):
+    return mlc.RandomForestClassifier(
+        numTrees=p.get("n_estimators", 100),
+        maxDepth=depth(p.get("max_depth", MAX_DEPTH)),
+        featureSubsetStrategy="sqrt",
+        seed=size.seed,
+        **c,
+    )
 
-    return build
+
+def _extra_trees(size: Size, p: dict, c: dict):
+    return ExtraTrees(trees=p.get("n_estimators", 100), depth=p.get("max_depth"), seed=size.seed, **c)
 
 
 def _boosting(size: Size, p: dict, c: dict):
@@ -98,7 +99,8 @@ def _online(kind: str):
 
 # The tuned parameters and their candidates.
 _STRENGTH = [0.001, 0.01, 0.1, 1.0, 10.0]
-_DEPTHS = [1, 10, MAX_DEPTH]  # 50, 200, 500 and no limit cannot be built
+_DEPTHS = [1, 10, MAX_DEPTH]  # 50, 200, 500 and no limit cannot be built by Spark's own trees
+_ANY_DEPTH = [1, 10, 50, 200, 500, None]
 _TREES = [10, 100, 500, 1000]
 
 MODELS: dict[str, ModelSpec] = {
@@ -118,15 +120,13 @@ MODELS: dict[str, ModelSpec] = {
         lambda s, p, c: LinearDiscriminant(shrinkage=p.get("shrinkage"), **c),
         {"shrinkage": [None, 0.0, 0.3, 0.6, 1.0]},
     ),
-    "RandomForestClassifier": ModelSpec(_forest(True), {"max_depth": _DEPTHS, "n_estimators": _TREES}),
-    "ExtraTreesClassifier": ModelSpec(_forest(False), {"max_depth": _DEPTHS, "n_estimators": _TREES}),
+    "RandomForestClassifier": ModelSpec(_forest, {"max_depth": _DEPTHS, "n_estimators": _TREES}),
+    "ExtraTreesClassifier": ModelSpec(_extra_trees, {"max_depth": _ANY_DEPTH, "n_estimators": _TREES}),
     "PassiveAggressiveClassifier": ModelSpec(_online("passive_aggressive"), {"C": _STRENGTH}),
     "Perceptron": ModelSpec(
         _online("perceptron"), {"penalty": ["l2"], "alpha": [0.00001, 0.0001, 0.001, 0.01]}
     ),
-    "GradientBoostingClassifier": ModelSpec(
-        _boosting, {"max_depth": [1, 10, 50, 200, 500, None], "n_estimators": _TREES}  # any depth can be grown
-    ),
+    "GradientBoostingClassifier": ModelSpec(_boosting, {"max_depth": _ANY_DEPTH, "n_estimators": _TREES}),
 }
 
 

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from casemill.operators import boosting, isomap as im, neighbors as nb
+from casemill.operators import boosting, extra_trees, isomap as im, neighbors as nb
 from casemill.operators.classifiers import LinearDiscriminant, LinearMargin, MostFrequent, OnlineLinear
 from casemill.operators.reduce import CenteredPCA, TruncatedSVD
 from casemill.operators.registry import MODELS, NamedClassifier, candidates, depth
@@ -283,6 +283,66 @@ def test_boosting_of_odd_tables(spark):
     assert [len(boosting.cuts_of(np.array(v, float), 3)) for v in ([1], [1, 1], [1, 2, 2, 5], [1, 2, 3, 4, 5])] == [0, 0, 2, 2]
 
 
+def slow_extra_tree(x, y, tree, seed, depth):
+    """Class shares of every row in one tree with the same draws, grown node by node in the order of their numbers."""
+    classes, columns = y.max() + 1, int(np.sqrt(x.shape[1]))
+    shares, todo, after = np.zeros((len(x), classes)), [(0, np.arange(len(x)), (), 0)], 1
+    low, high = x.min(0), x.max(0)
+    while todo:
+        following = []
+        for node, rows, path, attempt in todo:
+            counts = np.bincount(y[rows], minlength=classes)
+            shares[rows] = counts / len(rows)
+            if counts.max() == len(rows) or len(path) >= depth:
+                continue
+            chosen, cuts = extra_trees.draw(seed, tree, node, attempt, low, high, path, columns)
+            options = []
+            for column, cut in zip(chosen, cuts):
+                side = x[rows, column] <= cut
+                if side.any() and not side.all():
+                    options.append(sum((np.bincount(y[rows[s]]) ** 2).sum() / s.sum() for s in (side, ~side)))
+                else:
+                    options.append(-1)
+            best = int(np.argmax(options))
+            if options[best] < 0:
+                if attempt < 19:
+                    following.append((node, rows, path, attempt + 1))
+                continue
+            side = x[rows, chosen[best]] <= cuts[best]
+            for right in (0, 1):
+                step = (*path, (int(chosen[best]), bool(right), float(cuts[best])))
+                following.append((after + right, rows[side != bool(right)], step, 0))
+            after += 2
+        todo = following
+    return shares
+
+
+@pytest.mark.parametrize("depth, numbers", [(1, None), (4, 1), (None, None)])
+def test_extra_trees_equal_plain_numpy(spark, monkeypatch, depth, numbers):
+    if numbers is not None:
+        monkeypatch.setattr(extra_trees, "NUMBERS", 24)  # a few nodes a job
+    random = np.random.default_rng(7)
+    x = random.normal(size=(80, 5))
+    y = (x[:, 0] > 0).astype(int) + (x[:, 1] + random.normal(size=80) * 0.3 > 0.5)
+    model = extra_trees.ExtraTrees(trees=6, depth=depth, seed=9).fit(frame(spark, x, y))
+    want = sum(slow_extra_tree(x, y, t, 9, 99 if depth is None else depth) for t in range(6)) / 6
+    assert np.allclose(model.chances(x), want)
+    assert len({t.cut[0] for t in model.trees}) == 6  # each tree has cuts of its own
+    forest = NamedClassifier(name="RandomForestClassifier", params_={"n_estimators": 6, "max_depth": 1}, seed=9).fit(frame(spark, x, y))
+    midpoints = {round(v, 9) for c in x.T for s in [np.sort(c)] for v in (s[1:] + s[:-1]) / 2}
+    assert "RandomForest" in type(forest).__name__ and not midpoints & {round(float(t.cut[0]), 9) for t in model.trees}
+
+
+def test_extra_trees_of_odd_tables(spark):
+    x, y = blobs(30)
+    one = extra_trees.ExtraTrees(trees=2).fit(frame(spark, x, np.full(30, 2)))
+    assert one.classes == [2] and one.chances(x).min() == 1
+    flat = extra_trees.ExtraTrees(trees=2, attempts=2).fit(frame(spark, np.ones((6, 2)), np.array([0, 0, 0, 0, 5, 5])))
+    assert flat.classes == [0, 5] and np.allclose(flat.chances(np.ones((1, 2))), [[2 / 3, 1 / 3]])
+    with pytest.raises(ValueError):
+        extra_trees.ExtraTrees().fit(frame(spark, x, y).limit(0))
+
+
 @pytest.mark.parametrize("name", ["Perceptron", "PassiveAggressiveClassifier", "LinearSVC", "LinearDiscriminantAnalysis"])
 def test_a_class_without_rows_is_never_predicted(spark, name):
     x, y = blobs(90)
