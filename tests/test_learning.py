@@ -604,3 +604,41 @@ def test_strength_of_the_network(spark, tmp_path):
         into[...] = w
     assert np.abs(total[1:] + 100.0 / len(x) * pull).max() < 1e-2
     assert len(candidates(MODELS["MLPClassifier"].grid)) == 20
+
+
+@pytest.mark.parametrize("numbers", [40, 200, 10**6])
+def test_groups_of_cells_lose_no_neighbor(spark, monkeypatch, numbers):
+    """Cells are put together to tasks of a bounded size, and parts are searched by themselves."""
+    monkeypatch.setattr(nb, "TASK_NUMBERS", numbers)
+    monkeypatch.setattr(nb, "LEAST_QUERIES", 20)
+    random = np.random.default_rng(6)
+    x = random.normal(size=(120, 4))
+    part = np.where(np.arange(120) < 100, np.arange(120) % 2, 2)
+    rows = [(i, [float(v) for v in p], int(c), float(i % 3)) for i, (p, c) in enumerate(zip(x, part))]
+    df = spark.createDataFrame(rows, "key long, vector array<double>, part int, label double")
+    found = nb.merged(nb.block_join(df.select("key", "vector"), df, 120, 4, 3, block_rows=8), 3).collect()
+    got = {(r["key"], r["part"]): [(e["neighbor"], e["label"]) for e in r["near"]] for r in found}
+    for p in range(3):
+        members = np.flatnonzero(part == p)
+        wanted = brute(x, x[members], 3, False)
+        assert all(got[i, p] == [(members[j], members[j] % 3) for j in near] for i, near in wanted.items())
+    assert len(got) == 360
+
+
+def test_tasks_do_not_follow_the_cells():
+    """Many small cells make few groups: a query is copied to groups, not to cells."""
+    random = np.random.default_rng(7)
+    pivots, counts = random.normal(size=(500, 3)), random.integers(1, 200, (3, 500))
+    counts[2] //= 150
+    group = nb.task_groups(pivots, counts, 10_000)
+    assert group.max() + 1 <= 3 * counts.sum() / 10_000 + 1
+    assert (group[counts == 0] == -1).all() and (group[counts > 0] >= 0).all()
+    assert max(counts[group == g].sum() for g in range(group.max() + 1)) <= 10_000
+
+
+def test_smallest_values_by_strides():
+    values = np.random.default_rng(8).integers(0, 50, (40, 3001)).astype(float)
+    for many in (1, 7, 40, 400, 5000):
+        some = nb.smallest(values, many)
+        assert all(len(set(row)) == min(many, 3001) for row in some.tolist())
+        assert (np.sort(np.take_along_axis(values, some, 1)) == np.sort(values)[:, :many]).all()
