@@ -642,3 +642,29 @@ def test_smallest_values_by_strides():
         some = nb.smallest(values, many)
         assert all(len(set(row)) == min(many, 3001) for row in some.tolist())
         assert (np.sort(np.take_along_axis(values, some, 1)) == np.sort(values)[:, :many]).all()
+
+
+def test_one_search_for_all_folds_and_prefixes(spark, monkeypatch):
+    """Too many rows to broadcast: the scores of the folds fitted one by one, from a single search."""
+    random = np.random.default_rng(9)
+    x, y = random.normal(size=(90, 3)), random.integers(0, 4, 90)
+    x[60:] = x[:30]
+    rows = [(None if i == 5 else i // 2 if i < 10 else i, [float(v) for v in p], float(c)) for i, (p, c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, f"{KEY} long, vector array<double>, label double").withColumn("features", array_to_vector("vector"))
+    cases = ev.with_folds(df.persist()).persist()
+    wanted = [ev.Candidate(i, "KNeighborsClassifier", {"n_neighbors": k}, ev.Layout()) for i, k in enumerate((1, 5, 100))]
+    searches, original = [], nb.block_join
+    monkeypatch.setattr(nb, "block_join", lambda *a, **k: (searches.append(1), original(*a, **k))[1])
+
+    def scores():
+        judge = ev.Evaluator(cases, 4, features="features", neighbors=[1, 5, 100])
+        first = judge.evaluate(wanted[:1])
+        grid = judge.evaluate(wanted)
+        return first.collect(), grid.collect(), judge.learning_curve(first.first(), [0.5, 1.0]).collect()
+
+    single = scores()
+    assert not searches
+    monkeypatch.setattr(nb, "BROADCAST_NUMBERS", 0)
+    monkeypatch.setattr(nb, "TASK_NUMBERS", 120)
+    assert scores() == single
+    assert len(searches) == 2  # the search and the prefixes; folds fitted one by one take 5 for each
