@@ -668,3 +668,43 @@ def test_one_search_for_all_folds_and_prefixes(spark, monkeypatch):
     monkeypatch.setattr(nb, "TASK_NUMBERS", 120)
     assert scores() == single
     assert len(searches) == 2  # the search and the prefixes; folds fitted one by one take 5 for each
+
+
+def test_the_driver_gets_one_vector_of_a_sum(spark, monkeypatch):
+    """Loops that know their partitions: what is sent does not grow with them; units can be finished where they are added."""
+    from casemill.operators import vectors
+
+    x = np.arange(240.0).reshape(80, 3)
+    blocks = vectors.packed(frame(spark, x), "features", F.col("label")).repartition(8).persist()
+    sent, original = [], type(blocks).toArrow
+    monkeypatch.setattr(type(blocks), "toArrow", lambda df: (sent.append(original(df)), sent[-1])[1])
+    monkeypatch.setattr(vectors, "FEW_NUMBERS", 0)
+
+    def gram(parts):
+        found = [(p.T @ p).ravel() for p, _ in parts]
+        return sum(found) if found else None
+
+    for limit in (16_000_000, 0):
+        monkeypatch.setattr(vectors, "TASK_NUMBERS", limit)
+        sent.clear()
+        assert np.allclose(vectors.summed(blocks, gram, 9, 8), (x.T @ x).ravel())
+        assert sent[0].num_rows == 1
+        sums = vectors.summed(blocks, gram, 9, 8, unit=3, finish=lambda row: [row.sum(), row[0]])
+        assert np.allclose(sums, np.stack([(x.T @ x).sum(1), (x.T @ x)[:, 0]], axis=1))
+        empty = vectors.summed(blocks.filter("false"), lambda parts: None, 9, 8, unit=3, finish=lambda row: [row.sum() + 1])
+        assert (empty == 1).all() and empty.shape == (3, 1)
+
+
+def test_grown_trees_hold_no_counts_of_other_nodes(spark, monkeypatch):
+    made = []
+
+    class Kept(extra_trees.Growing):
+        def __init__(self):
+            super().__init__()
+            made.append(self)
+
+    monkeypatch.setattr(extra_trees, "Growing", Kept)
+    x, y = blobs(spread=2.0)
+    extra_trees.ExtraTrees(trees=3).fit(frame(spark, x, y))
+    values = [v for g in made for v in g.value]
+    assert len(values) > 20 and all(v.base is None for v in values)
