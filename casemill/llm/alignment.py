@@ -39,12 +39,14 @@ from casemill.session import write_through
 #: Pairs of a table that is broadcast: 17 bytes each in every worker.
 BROADCAST_PAIRS = 4_000_000
 #: Characters of the words that a task remembers, with eight more for each word.
-KNOWN_CHARS = 5_000_000
+KNOWN_CHARS = 10_000_000
 #: Characters of the words that are encoded in one call.
 BLOCK_CHARS = 3_000
 #: Pairs that a task adds up before they are handed to Spark.
 PENDING_PAIRS = 2_000_000
 _CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
+#: A space that does not cut a text into words.
+_UNCUT = re.compile(r" (?:(?<![\w!-~] )|(?![\w!-~]))")
 _PLAIN = re.compile(r"[\w!-~](.*[\w!-~])?", re.S)
 _PAIR = 1 << 31  # above every pair number
 RESULT = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
@@ -98,7 +100,9 @@ class Tokenizers:
         self.cuttable = not any(re.search("[^▁]▁", p) for p in pieces)
 
     def words(self, text: str) -> list[str]:
-        return _CUT.split(text) if self.cuttable else [text]
+        if not self.cuttable:
+            return [text]
+        return _CUT.split(text) if _UNCUT.search(text) else text.split(" ")
 
     def encode(self, text: str):
         """``(A ids, A ends, B ids, B ends)`` of a space and the text in bytes, or None if decoded tokens differ."""

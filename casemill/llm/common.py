@@ -121,7 +121,8 @@ class Ragged:
     """Rows of numbers with different lengths."""
 
     def __init__(self):
-        self.data, self.starts, self.used = np.zeros(1024, np.uint32), [0], 0
+        self.data, self.starts, self.used = np.zeros(1024, np.uint32), np.zeros(1024, np.int64), 0
+        self.count = 0
 
     def extend(self, data: np.ndarray, ends) -> None:
         """Add rows that end at ``ends`` of ``data``."""
@@ -129,13 +130,16 @@ class Ragged:
         if need > len(self.data):
             self.data = np.resize(self.data, 2 * need)
         self.data[self.used : need] = data
-        self.starts.extend((self.used + np.asarray(ends)).tolist())
-        self.used = need
+        last = self.count + len(ends)
+        if last >= len(self.starts):
+            self.starts = np.resize(self.starts, 2 * last + 1)
+        self.starts[self.count + 1 : last + 1] = self.used + np.asarray(ends, np.int64)
+        self.used, self.count = need, last
 
     def rows(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows with these numbers one behind the other, and their lengths."""
-        starts = np.array(self.starts)
-        sizes = (starts[1:] - starts[:-1])[numbers]
+        starts = self.starts
+        sizes = starts[numbers + 1] - starts[numbers]
         ends = np.cumsum(sizes)
         places = np.repeat(starts[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
         return self.data[places], sizes

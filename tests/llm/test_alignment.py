@@ -108,6 +108,19 @@ def test_coarse_ends_are_refined():
     assert alignment.refined(coarse, sizes).tolist() == [1, 2, 3, 5, 6, 9, 10]
 
 
+def test_words_without_a_pattern(monkeypatch):
+    known = alignment._tokenizers(public_tokenizers.path(queries.BYTE_LEVEL), public_tokenizers.path(queries.PIECES))
+    for text in ("", " ", " a b", "a b ", "a  b c", "a\n b", "a b\u2581 c", "é 漢 -", "a \t b"):
+        assert known.words(text) == alignment._CUT.split(text)
+
+    class NoPattern:
+        def split(self, text):
+            raise AssertionError("not needed")
+
+    monkeypatch.setattr(alignment, "_CUT", NoPattern())
+    assert known.words("one two, 3") == ["one", "two,", "3"]
+
+
 def test_words_are_places_where_both_cut():
     known = alignment._tokenizers(A, B)
     assert known.cuttable
