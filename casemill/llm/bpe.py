@@ -32,6 +32,8 @@ from casemill.llm.common import Ragged, add_columns, slices, without
 
 #: Where a text may be cut: before a space between letters, digits or ASCII signs.
 _CUT = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
+#: A space where a text may not be cut.
+_UNCUT = re.compile(r" (?:(?<![\w!-~] )|(?![\w!-~]))")
 
 
 _NONE = 1 << 40  # above every rank
@@ -93,7 +95,7 @@ class _State:
 class Transducer:
     """Encodes pieces of bytes. ``max_states`` and ``max_pairs`` bound the memory, not the results."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000, max_pairs: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 160_000, max_pairs: int = 250_000):
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
         self.begins = {t[:i] for t in ranks for i in range(1, len(t))}
         self.max_states, self.max_pairs = max_states, max_pairs
@@ -217,19 +219,43 @@ class Transducer:
         return move
 
     def encode(self, piece: bytes) -> list[int]:
-        state, out, last, pairs = self.start, [], -1, self.pairs
-        for byte in piece:
-            asked, following, sent = state.moves.get(byte) or self._move(state, byte)
-            if asked >= 0 and last >= 0:
-                fits = pairs.get(last << 32 | asked)
-                if not (self._compatible(last, asked) if fits is None else fits):
-                    _, following, sent = (state.refused or {}).get(byte) or self._move(state, byte, True)
-            if sent:
-                out += sent
-                last = sent[-1]
-            state = following
-        out += state.rest()
-        return out
+        return list(self.encode_sorted([piece])[0])
+
+    def encode_sorted(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each piece. What a piece begins with like the one before it is not walked again, so sorted ones
+        take fewest steps."""
+        made, out, before, pairs = [], [], b"", self.pairs
+        trail = [(self.start, -1, 0)]  # after each byte: state, last token, tokens emitted
+        for piece in pieces:
+            same = 0
+            for a, b in zip(before, piece):
+                if a != b:
+                    break
+                same += 1
+            del trail[same + 1 :]
+            state, last, sent = trail[same]
+            del out[sent:]
+            for byte in piece[same:]:
+                asked, following, sent = state.moves.get(byte) or self._move(state, byte)
+                if asked >= 0 and last >= 0:
+                    fits = pairs.get(last << 32 | asked)
+                    if not (self._compatible(last, asked) if fits is None else fits):
+                        _, following, sent = (state.refused or {}).get(byte) or self._move(state, byte, True)
+                if sent:
+                    out += sent
+                    last = sent[-1]
+                state = following
+                trail.append((state, last, len(out)))
+            made.append((*out, *state.rest()))
+            before = piece
+        return made
+
+
+def cut(text: str) -> list[str]:
+    """The parts of a text, each but the first with its space. Most texts can be cut at every space, which needs no pattern."""
+    if "\0" in text or _UNCUT.search(text):
+        return _CUT.split(text)
+    return text.replace(" ", "\0 ").split("\0")
 
 
 class TextEncoder:
@@ -241,9 +267,9 @@ class TextEncoder:
     each part) all are forgotten, so what comes late is remembered like what comes early.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False, max_known: int = 5_000_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False, max_known: int = 10_000_000):
         self.matches = regex.compile(pattern).findall
-        self.cut = _CUT.split if spaced else (lambda text: [text] if text else [])
+        self.cut = cut if spaced else (lambda text: [text] if text else [])
         self.max_known = max_known
         self.transducer = Transducer(ranks)
         self._forget()
@@ -255,13 +281,17 @@ class TextEncoder:
 
     def _learn(self, parts) -> None:
         new = [p for p in parts if p not in self.index]
-        made, ends, known = [], [], self.pieces
-        for part in new:
-            for piece in self.matches(part):
-                ids = known.get(piece)
-                if ids is None:
-                    ids = known[piece] = tuple(self.transducer.encode(piece.encode()))
-                made += ids
+        split = list(map(self.matches, new))
+        known, missing = self.pieces, {}
+        for piece in chain.from_iterable(split):
+            if piece not in known:
+                missing[piece] = piece.encode()
+        order = sorted(missing, key=missing.__getitem__)
+        known.update(zip(order, self.transducer.encode_sorted([missing[p] for p in order])))
+        made, ends = [], []
+        for part, pieces in zip(new, split):
+            for piece in pieces:
+                made += known[piece]
             ends.append(len(made))
             self.index[part] = len(self.index)
             self.chars += len(part) + 8

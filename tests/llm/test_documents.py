@@ -592,6 +592,31 @@ def reference():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+class _NoPattern:
+    def split(self, text):
+        raise AssertionError("not needed")
+
+
+def test_parts_of_texts(monkeypatch):
+    rng = random.Random(11)
+    for _ in range(2000):
+        text = "".join(rng.choices("ab漢 \n\0'é  ", k=rng.randint(0, 12)))
+        assert bpe.cut(text) == bpe._CUT.split(text)
+    monkeypatch.setattr(bpe, "_CUT", _NoPattern())
+    encoder = bpe.TextEncoder(bpe.load_ranks(RANKS), public_tokenizers.PATTERN, True)
+    assert encoder.cut("one two 3") == ["one", " two", " 3"]
+
+
+def test_common_beginnings_are_walked_once(reference):
+    ranks, rng = bpe.load_ranks(RANKS), random.Random(12)
+    pieces = sorted({"".join(rng.choices("abcé", k=rng.randint(0, 9))).encode() for _ in range(800)})
+    transducer = bpe.Transducer(ranks, max_states=200)
+    want = [tuple(bpe.merge_by_rank(p, ranks)) for p in pieces]
+    assert transducer.encode_sorted(pieces) == want
+    rng.shuffle(pieces)
+    assert transducer.encode_sorted(pieces) == [tuple(bpe.merge_by_rank(p, ranks)) for p in pieces]
+
+
 def test_encoding_and_decoding(reference):
     ranks = bpe.load_ranks(RANKS)
     encoders = [bpe.TextEncoder(ranks, public_tokenizers.PATTERN, spaced, max_known=50) for spaced in (False, True)]
