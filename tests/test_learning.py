@@ -1,5 +1,7 @@
 """Neighbours, reducers, classifiers, sweeps and stored results against plain numpy."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
@@ -10,7 +12,7 @@ from casemill.operators import boosting, extra_trees, isomap as im, neighbors as
 from casemill.operators.classifiers import LinearDiscriminant, LinearMargin, MostFrequent, OnlineLinear
 from casemill.operators.reduce import CenteredPCA, TruncatedSVD
 from casemill.operators.registry import MODELS, NamedClassifier, candidates, depth
-from casemill.plans import evaluate as ev
+from casemill.plans import evaluate as ev, learning
 from casemill.schema import KEY
 from casemill.sources.results import ResultStore, load_model
 
@@ -708,3 +710,21 @@ def test_grown_trees_hold_no_counts_of_other_nodes(spark, monkeypatch):
     extra_trees.ExtraTrees(trees=3).fit(frame(spark, x, y))
     values = [v for g in made for v in g.value]
     assert len(values) > 20 and all(v.base is None for v in values)
+
+
+@pytest.mark.parametrize("name", ["DecisionTreeClassifier", "RandomForestClassifier"])
+def test_folds_of_trees_are_fitted_at_the_same_time(spark, tmp_path, monkeypatch, name):
+    rows = [(i, [float(i), 1.0], i % 2) for i in range(20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    all_in = threading.Barrier(learning.FOLDS, timeout=60)
+
+    class Model:
+        def transform(self, df):
+            return df.withColumn("prediction", F.col("label"))
+
+    def fit(stage, df):
+        all_in.wait()
+        return Model()
+
+    monkeypatch.setattr(learning.NamedClassifier, "fit", fit)
+    assert learning.predictions(spark, str(tmp_path), name).count() == 20
