@@ -728,3 +728,39 @@ def test_folds_of_trees_are_fitted_at_the_same_time(spark, tmp_path, monkeypatch
 
     monkeypatch.setattr(learning.NamedClassifier, "fit", fit)
     assert learning.predictions(spark, str(tmp_path), name).count() == 20
+
+
+@pytest.mark.parametrize("layout", [ev.Layout(), ev.Layout(count_evidence=True, include_absent=False)])
+def test_one_pass_for_all_prefixes_of_a_discriminant(spark, monkeypatch, layout):
+    from casemill.plans import shared
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(160):
+        seen = [f"e{j}" for j in range(6) if rng.random() < 0.4]
+        gone = [f"e{j}" for j in range(6) if rng.random() < 0.2 and f"e{j}" not in seen]
+        if i == 150:  # an id and a category that few sets know
+            seen, sex = [*seen, "e9"], "other"
+        else:
+            sex = None if i == 20 else ["female", "male"][int(rng.integers(2))]
+        rows.append((i, sex, int(rng.integers(1, 900)), seen, gone, float(rng.integers(3) if i % 4 else "e0" in seen)))
+    schema = "case_id long, sex string, age_in_months int, evidence_present array<string>, evidence_absent array<string>, label double"
+    cases = ev.with_folds(spark.createDataFrame(rows, schema), 3).persist()
+    passes = []
+    taken = shared.SharedDiscriminants._scores
+    monkeypatch.setattr(shared.SharedDiscriminants, "_scores", lambda *a: passes.append(len(a[3])) or taken(*a))
+
+    def curve():
+        judge = ev.Evaluator(cases, 3, folds=3)
+        sweep = judge.sweep([ev.Candidate(0, "LinearDiscriminantAnalysis", {}, layout)])
+        found = judge.learning_curve(sweep.first(), [0.5, 0.8, 1.0]).collect()
+        assert len(found) == 9
+        return [(r["fold"], r["train"], r["test"]) for r in sweep.first()["fold_scores"]], found
+
+    together = curve()
+    assert passes == [3, 9]
+    monkeypatch.setattr(shared.SharedDiscriminants, "takes", lambda self, c: False)
+    assert curve() == together
+    monkeypatch.undo()
+    monkeypatch.setattr(shared.joint, "MODEL_NUMBERS", 300)  # one set or two in a pass
+    assert curve() == together
