@@ -764,3 +764,74 @@ def test_one_pass_for_all_prefixes_of_a_discriminant(spark, monkeypatch, layout)
     monkeypatch.undo()
     monkeypatch.setattr(shared.joint, "MODEL_NUMBERS", 300)  # one set or two in a pass
     assert curve() == together
+
+
+@pytest.mark.parametrize("kind", ["ties", "noise", "far"])
+def test_rough_search_loses_no_neighbor(monkeypatch, kind):
+    """Leading columns from one pass in single precision, against all distances; far from zero its margin is too wide."""
+    monkeypatch.setattr(nb, "TILE_QUERIES", 50)
+    monkeypatch.setattr(nb, "TILE_ROWS", 128)
+    random = np.random.default_rng(3)
+    x = random.integers(-1, 2, size=(700, 9)).astype(float)
+    if kind != "ties":
+        x = random.normal(size=x.shape) * (1e-6 if kind == "far" else 1.0)
+    x[0] += 1e6 * (kind == "far")
+    ids = random.permutation(len(x))
+    search = nb.Search(x, ids, [(3, 2), (6, 7), (9, 4)])
+    assert search.rough
+    for own in (None, ids):
+        for (n, k), (places, away) in zip(search.wanted, search.nearest(x, own)):
+            squares = ((x[:, None, :n] - x[None, :, :n]) ** 2).sum(axis=2)
+            if own is not None:
+                np.fill_diagonal(squares, np.inf)
+            wanted = np.lexsort((np.broadcast_to(ids, squares.shape), squares))[:, :k]
+            assert (places == wanted).all()
+            assert np.allclose(away, np.take_along_axis(squares, wanted, 1), rtol=1e-9, atol=0)
+
+
+def test_paths_settle_from_what_moved():
+    random = np.random.default_rng(5)
+    away = np.where(random.random((30, 30)) < 0.1, random.random((30, 30)), np.inf)
+    away = np.minimum(away, away.T)
+    src, dst = np.nonzero(np.isfinite(away))
+    first = np.searchsorted(src, np.arange(31))
+    start = np.where(np.arange(30) == 4, 0.0, np.inf)
+    found = im.settled(start.copy(), first, dst, away[src, dst])
+    for _ in range(30):
+        start = np.minimum(start, (start[:, None] + away).min(axis=0))
+    assert (found == start).all()
+
+
+def test_neighbors_of_all_layouts_share_one_search(spark, monkeypatch):
+    """Tables beyond the broadcast of a single classifier are not fitted layout by layout; repeated rows and keys count as rows."""
+    from casemill.operators import joint
+    from casemill.plans import shared
+
+    random = np.random.default_rng(8)
+    rows = []
+    for i in range(90):
+        y = int(random.integers(0, 3))
+        present = [f"p{y}"] if i % 3 else [f"p{random.integers(0, 3)}"]
+        rows.append((i % 80 if i else None, "male" if i % 2 else "female", int(random.integers(1, 4)), present, [], float(y)))
+    schema = "case_id long, sex string, age_in_months long, evidence_present array<string>, evidence_absent array<string>, label double"
+    cases = spark.createDataFrame(rows, schema).withColumn("fold", F.coalesce(F.col("case_id") % 2, F.lit(0)).cast("int")).persist()
+    judge = ev.Evaluator(cases, 3, folds=2)
+    layouts = [ev.Layout(), ev.Layout("Isomap", 2)]
+    wanted = [ev.Candidate(2 * i + j, "KNeighborsClassifier", {"n_neighbors": k}, layout) for i, layout in enumerate(layouts) for j, k in enumerate((3, 30))]
+
+    def scores():
+        return {r["seq"]: [x for s in r["fold_scores"] for x in s] for r in judge.evaluate(wanted).collect()}
+
+    with monkeypatch.context() as m:
+        m.setattr(shared, "JOINT", {})
+        single = scores()
+    monkeypatch.setattr(joint, "BROADCAST_NUMBERS", 0)
+    with monkeypatch.context() as m:
+        m.setattr(nb.KNeighbors, "_fit", lambda *_: pytest.fail("fitted by itself"))
+        together = scores()
+    monkeypatch.setattr(joint, "POINT_NUMBERS", 0)
+    large = scores()
+    assert len(single) == 4
+    for found in (together, large):
+        assert found == {s: pytest.approx(v) for s, v in single.items()}
+    cases.unpersist()
