@@ -404,6 +404,26 @@ def test_queries_search_all_layouts_and_the_whole_grid(monkeypatch):
     assert seen["sweep"] == ev.sweep_candidates(**tuning.SWEEP)
 
 
+def test_best_parameters_are_searched_among_all_models(spark, monkeypatch):
+    from casemill.plans import tuning
+
+    seen, results = {}, spark.createDataFrame([], ev.RESULT_SCHEMA)
+
+    class Judge:
+        def sweep(self, wanted):
+            seen["sweep"] = wanted
+            return results
+
+        def grid_search(self, best, grids):
+            seen["grids"] = grids
+            return results
+
+    monkeypatch.setattr(tuning, "evaluator", lambda spark, sf: Judge())
+    tuning.best_parameters(spark, None)
+    assert seen["sweep"] == ev.sweep_candidates(**ev.FULL_SWEEP) and {c.model for c in seen["sweep"]} == set(ev.FULL_SWEEP["models"])
+    assert seen["grids"] == {n: MODELS[n].grid for n in ev.FULL_SWEEP["models"] if n != "DummyClassifier"}
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     random = np.random.default_rng(4)
