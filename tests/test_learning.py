@@ -335,6 +335,33 @@ def test_extra_trees_equal_plain_numpy(spark, monkeypatch, depth, numbers):
     assert "RandomForest" in type(forest).__name__ and not midpoints & {round(float(t.cut[0]), 9) for t in model.trees}
 
 
+@pytest.mark.parametrize("depth, numbers", [(None, None), (2, 24)])
+def test_large_forests_grow_in_tasks(spark, tmp_path, monkeypatch, depth, numbers):
+    """The driver holds no node, and the forest, its table and a saved copy predict as the small form does."""
+    if numbers is not None:
+        monkeypatch.setattr(extra_trees, "NUMBERS", numbers)
+        monkeypatch.setattr(extra_trees, "QUERY_NUMBERS", 200)  # many chunks
+    x, y = blobs(400, spread=2.0)
+    x[:6], y = x[0], 2 * y  # copies that nothing divides, and labels that are not 0, 1, 2
+    df = frame(spark, x, y).repartition(3).persist()
+    stage = extra_trees.ExtraTrees(trees=30, depth=depth, attempts=3, seed=5)
+    monkeypatch.setattr(extra_trees, "DRIVER_ROWS", 400 * 30)
+    small = stage.fit(df)
+    assert len(small.trees) == 30 and small.table is None
+    monkeypatch.setattr(extra_trees, "DRIVER_ROWS", 400 * 30 - 1)
+    monkeypatch.setattr(extra_trees.ExtraTrees, "_counts", None)
+    large = stage.fit(df)
+    assert not large.trees and large.table.count() == 30
+    assert np.allclose(large.chances(x), small.chances(x), rtol=0, atol=1e-12)
+    large.write().save(str(tmp_path / "forest"))
+    again = extra_trees.ExtraTreesModel.load(str(tmp_path / "forest"))
+    want = small.transform(df).orderBy("case_id").select("case_id", "prediction").collect()
+    for model in (large, again):
+        assert model.transform(df).orderBy("case_id").select("case_id", "prediction").collect() == want
+    assert large.transform(df.limit(0)).count() == 0
+    assert {r["prediction"] for r in want} == {0.0, 2.0, 4.0}
+
+
 def test_extra_trees_of_odd_tables(spark):
     x, y = blobs(30)
     one = extra_trees.ExtraTrees(trees=2).fit(frame(spark, x, np.full(30, 2)))
