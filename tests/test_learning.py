@@ -813,6 +813,26 @@ def test_one_pass_for_all_prefixes_of_a_discriminant(spark, monkeypatch, layout)
     assert curve() == together
 
 
+def test_like_cases_are_predicted_once(spark, monkeypatch):
+    """Cases that are encoded alike, whatever the order of their lists, share their predictions; a missing sex is like another."""
+    from casemill.plans import shared
+
+    kinds = [(None if i == 3 else "fm"[i % 2], 10 + i // 4, [f"e{j}" for j in range(4) if (i >> j) & 1]) for i in range(16)]
+    rows = []
+    for i in range(200):
+        sex, age, seen = kinds[i * 7 % 16]
+        rows.append((i, sex, age, seen[::-1] if i % 3 else seen, [f"e{i}"], float((i * 7 % 16 + (i % 5 == 0)) % 4)))
+    schema = "case_id long, sex string, age_in_months int, evidence_present array<string>, evidence_absent array<string>, label double"
+    cases = ev.with_folds(spark.createDataFrame(rows, schema), 2).persist()
+    seen, taken = [], shared.SharedDiscriminants._scores
+    monkeypatch.setattr(shared.SharedDiscriminants, "_scores", lambda *a: seen.append(a[5](1).count()) or taken(*a))
+    candidate = ev.Candidate(0, "LinearDiscriminantAnalysis", {}, ev.Layout(include_absent=False))
+    together = ev.Evaluator(cases, 4, folds=2).sweep([candidate]).first()["fold_scores"]
+    assert seen == [16]
+    monkeypatch.setattr(shared.SharedDiscriminants, "takes", lambda self, c: False)
+    assert ev.Evaluator(cases, 4, folds=2).sweep([candidate]).first()["fold_scores"] == together
+
+
 @pytest.mark.parametrize("kind", ["ties", "noise", "far"])
 def test_rough_search_loses_no_neighbor(monkeypatch, kind):
     """Leading columns from one pass in single precision, against all distances; far from zero its margin is too wide."""
